@@ -103,30 +103,27 @@ def vocabulary(codes: DataFrame, specials: DataFrame, sizes: dict[str, Sequence[
     pieces = listed.select("system", "__sys", "code", F.explode("__pieces").alias("p")).select(
         "system", "__sys", "code", F.col("p.segment").alias("segment"), F.col("p.token").alias("token"))
     named = pieces.filter(F.col("token") != "")
-    n_special = specials.agg(F.count(F.lit(1)).alias("__n_special"))
     tokens = named.select("__sys", "system", "segment", "token").distinct()
     numbered = o.ordered_scan(tokens, [], ["__sys", "segment", "token"],
                               F.struct("__sys", "segment", F.substring("token", 1, 4)),
                               {"__rn": o.row_number()})
-    # the count is one row, so this join adds a column and multiplies nothing
-    token_table = (numbered.join(n_special, F.lit(True)).select(
+    n_special = specials.select(F.count(F.lit(1))).scalar()
+    token_table = numbered.select(
         "system", "segment", "token",
-        (F.col("__rn") - 1 + F.col("__n_special")).cast("int").alias("index")))
+        (F.col("__rn") - 1 + n_special).cast("int").alias("index"))
 
-    spec = specials.select(F.col("token").alias("__st"), F.col("index").alias("__si"))
-    special_map = spec.agg(F.map_from_entries(F.collect_list(F.struct("__st", "__si"))).alias("__m"))
     placed = named.join(token_table, ["system", "segment", "token"])
     gathered = placed.groupBy("system", "code").agg(
         F.map_from_entries(F.collect_list(F.struct("segment", "index"))).alias("__idx"),
         F.array_sort(F.collect_list(F.struct("segment", "token"))).alias("__tok"))
     n_seg = max([1, *[len(v) for v in sizes.values()]])
-    joined = gathered.join(listed.select("system", "code", "__prov"), ["system", "code"]).join(
-        special_map, F.lit(True))
+    joined = gathered.join(listed.select("system", "code", "__prov"), ["system", "code"])
     system_token = c.map_literal("system", SYSTEMS)
-    raw = F.array(F.element_at("__m", system_token),
+    index_of = {t: i for i, t in enumerate(fv.OPERATIONAL_TOKENS)}
+    raw = F.array(c.map_literal("system", {s: index_of[t] for s, t in SYSTEMS.items()}),
                   *[F.coalesce(F.try_element_at("__idx", F.lit(i)), F.lit(0)) for i in range(1, n_seg + 1)],
                   *[F.lit(0)] * (width - 1 - n_seg))
-    prv = F.element_at("__m", F.lit("[PRV]"))
+    prv = F.lit(index_of["[PRV]"])
     slot = F.array_position(raw, F.lit(0))
     tokens_col = F.when(
         F.col("__prov"),
@@ -171,15 +168,14 @@ def time_bin_texts(spark: SparkSession, small: int, large: int,
     return out.unionByName(last)
 
 
-def catalog(specials: DataFrame, code_map: DataFrame, names: DataFrame, bins: int = 501,
-            small: int = 10, large: int = 60) -> DataFrame:
+def catalog(specials: DataFrame, code_map: DataFrame, names: DataFrame, width: int,
+            bins: int = 501, small: int = 10, large: int = 60) -> DataFrame:
     """(label, kind, family, original_value, text, tokenized_value, tokens) of all classes.
 
     Order: special tokens, diagnoses, medications, labs, numeric bins, time
     bins. `names` has (system, item_code, item_name).
     """
     spark = specials.sparkSession
-    width = code_map.select(F.size("tokens").alias("w")).agg(F.max("w").alias("w"))
     none = F.array().cast("array<int>")
     special = specials.select(
         F.lit(0).alias("grp"), F.col("index").cast("long").alias("pos"), F.lit("").alias("key"),
@@ -210,9 +206,8 @@ def catalog(specials: DataFrame, code_map: DataFrame, names: DataFrame, bins: in
         F.lit("time").alias("family"), F.lit("").alias("original_value"), "text",
         F.lit("").alias("tokenized_value"), none.alias("tokens"))
     every = special.unionByName(codes).unionByName(numeric).unionByName(times)
-    # the width is one row; the join pads every token array to it
-    padded = every.join(width, F.lit(True)).withColumn("tokens", F.concat(
-        "tokens", F.array_repeat(F.lit(0), F.col("w") - F.size("tokens")))).drop("w")
+    padded = every.withColumn("tokens", F.concat(
+        "tokens", F.array_repeat(F.lit(0), F.lit(width) - F.size("tokens"))))
     numbered = o.ordered_scan(padded, [], ["grp", "pos", "key"],
                               F.struct("grp", F.floor(F.col("pos") / 1000), F.substring("key", 1, 4)),
                               {"label": o.row_number()})
