@@ -21,7 +21,7 @@ Q = Queries()
 LAB_SPEC = TableSpec(
     {"patient_id": T.StringType(), "timestamp": T.TimestampNTZType(), "item_code": T.StringType(),
      "numeric": T.DoubleType(), "unit": T.StringType(), "nonnumeric": T.StringType(),
-     "record_no": T.LongType(), "time_available": T.TimestampNTZType()},
+     "record_no": T.StringType(), "time_available": T.TimestampNTZType()},
     ("patient_id", "timestamp", "item_code", "unit", "nonnumeric"),
     ("record_no",), {"unit": ("mg/dL",), "nonnumeric": ("(+)", "(-)")},
     optional=("time_available",), exactly_one=("numeric", "nonnumeric"))
@@ -32,7 +32,7 @@ def _folder(spark, name):
 
 
 @Q.add("""
-select patient_id, ts as timestamp, item_code, "numeric", unit, nonnumeric, cast(record_no as varchar) as record_no,
+select patient_id, ts as timestamp, item_code, "numeric", unit, nonnumeric, record_no,
        cast(null as timestamp) as time_available
 from labs""")
 def read_records(spark, sf):
@@ -42,10 +42,9 @@ def read_records(spark, sf):
         "patient_id", F.date_format(F.col("ts").cast("timestamp"), "yyyy/MM/dd HH:mm").alias("timestamp"),
         "item_code", F.coalesce(F.col("numeric").cast("string"), F.lit("NA")).alias("numeric"),
         F.coalesce("unit", F.lit("")).alias("unit"), F.coalesce("nonnumeric", F.lit("none")).alias("nonnumeric"),
-        F.col("record_no").cast("string").alias("record_no"), F.lit("dropped").alias("other_column"),
+        "record_no", F.lit("dropped").alias("other_column"),
     ).write.csv(path, header=True)
-    spec = TableSpec({**LAB_SPEC.columns, "record_no": T.StringType()}, optional=LAB_SPEC.optional)
-    return records.read_records(spark, f"{path}/*.csv", spec)
+    return records.read_records(spark, f"{path}/*.csv", LAB_SPEC)
 
 
 @Q.add("""
@@ -326,7 +325,7 @@ def attach_admission_attributes(spark, sf):
 select distinct l.patient_id, a.ts as adm_ts, l.ts as lab_ts
 from (select distinct cast(o_custkey as varchar) as patient_id, o_orderdate as ts from orders) a
 join labs l on a.patient_id = l.patient_id join customers p on p.patient_id = a.patient_id
-where a.ts >= timestamp '1996-01-01' and l.item_code in ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#21', 'Brand#22') and l.nonnumeric = '(+)'
+where a.ts >= timestamp '1996-01-01' and l.item_code in ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#7', 'Brand#8') and l.nonnumeric = '(+)'
   and abs(epoch(l.ts) - epoch(a.ts)) <= 2592000 and a.ts >= p.date_of_birth + interval 20 year""")
 def interval_cohort(spark, sf):
     return _cohort(spark, sf).select("patient_id", "adm_ts", "lab_ts")
@@ -338,7 +337,7 @@ def _cohort(spark, sf):
                         F.col("o_orderdate").alias("adm_ts")).distinct()
     return lookups.interval_cohort(
         adm, v.labs(spark, sf), v.customers(spark, sf),
-        ["Brand#11", "Brand#12", "Brand#13", "Brand#21", "Brand#22"], "(+)", "1996-01-01 00:00:00",
+        ["Brand#11", "Brand#12", "Brand#13", "Brand#7", "Brand#8"], "(+)", "1996-01-01 00:00:00",
         hours=720)
 
 
@@ -349,12 +348,12 @@ select patient_id, adm_ts, lab_ts, next_ts from (
    select distinct l.patient_id, a.ts as adm_ts, l.ts as lab_ts
    from (select distinct cast(o_custkey as varchar) as patient_id, o_orderdate as ts from orders) a
    join labs l on a.patient_id = l.patient_id join customers p on p.patient_id = a.patient_id
-   where a.ts >= timestamp '1996-01-01' and l.item_code in ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#21', 'Brand#22') and l.nonnumeric = '(+)'
+   where a.ts >= timestamp '1996-01-01' and l.item_code in ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#7', 'Brand#8') and l.nonnumeric = '(+)'
      and abs(epoch(l.ts) - epoch(a.ts)) <= 2592000 and a.ts >= p.date_of_birth + interval 20 year) c
-  join labs l on l.patient_id = c.patient_id and l.item_code = 'Brand#33' and l.ts > c.adm_ts and l.ts > c.lab_ts))
+  join labs l on l.patient_id = c.patient_id and l.item_code = 'Brand#5' and l.ts > c.adm_ts and l.ts > c.lab_ts))
 where rn = 1""")
 def first_event_after(spark, sf):
-    return lookups.first_event_after(_cohort(spark, sf), v.labs(spark, sf), "Brand#33",
+    return lookups.first_event_after(_cohort(spark, sf), v.labs(spark, sf), "Brand#5",
                                      ["patient_id", "adm_ts"])
 
 

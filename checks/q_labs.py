@@ -171,12 +171,12 @@ def nearest_bin(spark, sf):
 
 
 @Q.add(f"""
-select record_no, round(g.value, 5) as value, g.unit from (select record_no, item_code, record_no % 101 as b from labs) l
+select record_no, round(g.value, 5) as value, g.unit from (select record_no, item_code, line_no % 101 as b from labs) l
  join {_DOMINANT} d on d.item_code = l.item_code join {_GRID} g on g.item_code = d.item_code and g.unit = d.unit and g.idx = b""")
 def bin_to_value(spark, sf):
     labs = v.labs(spark, sf)
     grid = labstats.percentile_grid(labstats.numeric_value_counts(labs), bins=101)
-    rows = labs.select("record_no", "item_code", (F.col("record_no") % 101).alias("bin"))
+    rows = labs.select("record_no", "item_code", (F.col("line_no") % 101).alias("bin"))
     out = labstats.bin_values(rows, grid)
     return out.select("record_no", "value", F.expr("substring_index(value_text, ' ', -1)").alias("unit"))
 

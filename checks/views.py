@@ -91,7 +91,8 @@ def labs(spark, sf):
         .otherwise("mmol/L").alias("unit"),
         F.when(text, F.when(F.col("l_returnflag") == "A", F.lit("(+)"))
                .when(F.col("l_returnflag") == "N", F.lit("(-)")).otherwise(F.col("p_type"))).alias("nonnumeric"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("record_no"))
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("record_no"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_no"))
 
 
 def diagnoses(spark, sf):
@@ -160,6 +161,39 @@ def simulations(spark, sf):
     return moved.select(*cols).unionByName(head)
 
 
+def record_tables(spark, sf):
+    """The events as separate record tables."""
+    e = ev(spark, sf).withColumn("unique_record_id", F.concat(F.lit("E"), F.col("event_id").cast("string")))
+    known = (F.col("ts") + F.make_dt_interval(hours=(F.col("event_id") % 4 * 10).cast("int"))).cast("timestamp_ntz")
+    e = e.withColumns({"timestamp": F.col("ts"), "time_available": F.when(F.col("type") == 6, known)})
+    base = ["patient_id", "timestamp", "unique_record_id"]
+    kind = lambda n: e.filter(F.col("type") == n)
+    number = F.regexp_extract("result", r"^([0-9.]+) mmol", 1)
+    has = number != ""
+    return {
+        "admissions": kind(1).select(*base),
+        "discharges": kind(2).select(*base, F.when(F.col("result") == "[DSC_EXP]", 0).otherwise(1).alias("disposition")),
+        "diagnoses": kind(3).select(*base, F.col("code").alias("item_code"),
+                                    (F.col("event_id") % 6 == 0).cast("int").alias("provisional")),
+        "prescription_orders": kind(4).select(*base, F.col("code").alias("item_code")),
+        "laboratory_results": kind(6).select(
+            *base, F.col("code").alias("item_code"),
+            F.when(has, number).otherwise(F.lit(None)).try_cast("double").alias("numeric"),
+            F.when(has, "mmol/L").alias("unit"), F.when(~has, F.col("result")).alias("nonnumeric"),
+            "time_available"),
+    }
+
+
+def people(spark, sf):
+    return patients(spark, sf).withColumn("unique_record_id", F.concat(F.lit("PT"), "patient_id"))
+
+
+def ev_splits(spark, sf):
+    n = F.col("patient_id").cast("long") % 10
+    return patients(spark, sf).select("patient_id", F.when(n < 7, "train").when(n < 8, "validation")
+                                      .otherwise("test").alias("split"))
+
+
 SQL = {
     "patients": """
 select cast(user_id as varchar) as patient_id,
@@ -208,7 +242,8 @@ select cast(o_custkey as varchar) as patient_id, o_orderdate as ts,
        case when l_linestatus = 'O' then 'mg/dL' when p_size > 40 then null else 'mmol/L' end as unit,
        case when (l_orderkey + l_linenumber) % 10 = 0
             then case l_returnflag when 'A' then '(+)' when 'N' then '(-)' else p_type end end as nonnumeric,
-       l_orderkey * 10 + l_linenumber as record_no
+       concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as record_no,
+       l_orderkey * 10 + l_linenumber as line_no
 from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey""",
     "diagnoses": """
 select cast(o_custkey as varchar) as patient_id, o_orderdate as ts,
@@ -256,6 +291,109 @@ union all
 select s.patient_id, admission_no, day, 'simulation' || cast(i as varchar), -1, 0,
        eval_min // {DAY} * {DAY}, '[' || sex || ']', ''
 from snap s join patients p using (patient_id), (select unnest(range({SIMULATIONS})) as i)""",
+    "ev_splits": """
+select patient_id, case when cast(patient_id as bigint) % 10 < 7 then 'train' when cast(patient_id as bigint) % 10 < 8 then 'validation' else 'test' end as split
+from patients""",
+    "rec": """
+select e.patient_id, date_trunc('minute', ts) as ts, age_min,
+       case when type = 6 then date_diff('minute', cast(date_of_birth as timestamp), date_trunc('minute', ts + to_hours(cast(event_id % 4 * 10 as bigint)))) else 0 end as time_available_min,
+       'E' || cast(event_id as varchar) as rid, case type when 4 then 5 else type end as type, split, train_period,
+       case when type = 3 and event_id % 6 = 0 then code || '(prov.)' else code end as code,
+       case when type = 6 then try_cast(nullif(regexp_extract(result, '^([0-9.]+) mmol', 1), '') as double) end as num,
+       case when type = 6 and result not like '%mmol/L' then result end as nonnum,
+       case when type = 2 then result end as disposition
+from ev e join patients using (patient_id) join ev_splits using (patient_id)""",
+    "train_rec": "select * from rec where split = 'train' and train_period = 1",
+    "nn_tokens": """
+select code, nonnum, n, '[top' || cast(row_number() over (partition by code order by n desc, nonnum) as varchar) || ']' as token
+from (select code, nonnum, count(*) as n from train_rec where type = 6 and num is null group by 1, 2)""",
+    "specials": """
+select token, row_number() over (order by pos) - 1 as index from (
+ select unnest(['[PAD]', '[DX]', '[MED]', '[LAB]', '[ADM]', '[DSC]', '[PRV]', '[EOT]', '[OOV]', '[DSC_EXP]', '[DSC_ALV]',
+  '[F]', '[M]', '[O]', '[U]', '[A]', '[N]']) as token, unnest(range(17)) as pos
+ union all select '[top' || cast(i as varchar) || ']', 100 + i from (select unnest(range(1, (select max(cast(substr(token, 5, length(token) - 5) as int)) from nn_tokens) + 1)) as i))""",
+    "codes": """
+select distinct case type when 3 then 'dx' when 5 then 'med' else 'lab' end as system, case type when 3 then 0 when 5 then 1 else 2 end as sysno,
+       code, case when code like '%(prov.)' then substr(code, 1, length(code) - 7) else code end as base, code like '%(prov.)' as prov
+from train_rec where type in (3, 5, 6)""",
+    "pieces": """
+select system, sysno, code, base, prov, segment, case when piece = '' then '' else repeat('*', start) || piece end as token from (
+ select *, unnest(case system when 'dx' then [substr(base, 1, 1), substr(base, 2, 2), substr(base, 4, 1)]
+   when 'med' then [substr(base, 1, 3), substr(base, 4, 1), substr(base, 5, 1), substr(base, 6, 2)] else [code] end) as piece,
+  unnest(case system when 'dx' then [1, 2, 3] when 'med' then [1, 2, 3, 4] else [1] end) as segment,
+  unnest(case system when 'dx' then [0, 1, 3] when 'med' then [0, 3, 4, 5] else [0] end) as start from codes)""",
+    "vocab": """
+select system, segment, token, row_number() over (order by sysno, segment, token) - 1 + (select count(*) from specials) as index
+from (select distinct system, sysno, segment, token from pieces where token <> '')""",
+    "code_map0": """
+select c.system, c.sysno, c.code, c.base, c.prov, case c.system when 'dx' then 1 when 'med' then 2 else 3 end as t0,
+ coalesce(max(index) filter (p.segment = 1), 0) as t1, coalesce(max(index) filter (p.segment = 2), 0) as t2,
+ coalesce(max(index) filter (p.segment = 3), 0) as t3, coalesce(max(index) filter (p.segment = 4), 0) as t4,
+ string_agg(p.token, ',' order by p.segment) filter (p.token <> '') as joined
+from codes c join pieces p on p.system = c.system and p.code = c.code
+left join vocab v on v.system = p.system and v.segment = p.segment and v.token = p.token group by 1, 2, 3, 4, 5""",
+    "code_map": """
+select system, sysno, code, base, prov, t0, t1, case when prov and t2 = 0 then 6 else t2 end as t2,
+ case when prov and t2 > 0 and t3 = 0 then 6 else t3 end as t3, case when prov and t2 > 0 and t3 > 0 and t4 = 0 then 6 else t4 end as t4,
+ case system when 'dx' then '[DX],' when 'med' then '[MED],' else '[LAB],' end || joined || case when prov then ',[PRV]' else '' end as tokenized_value
+from code_map0""",
+    "grid": """
+select code, n, i as idx, num as value from
+ (select *, row_number() over (partition by code order by num) - 1 as rk, count(*) over (partition by code) as n from train_rec where num is not null) r
+ join (select i, 1 / (1 + exp(-(ln(1e-7 / (1 - 1e-7)) + i * (-2 * ln(1e-7 / (1 - 1e-7)) / 50)))) as p from (select unnest(range(51)) as i)) g
+   on rk = cast(round_even((n - 1) * p, 0) as bigint)""",
+    "catalog": """
+select row_number() over (order by grp, pos, key) - 1 as label, kind, original_value from (
+ select 0 as grp, index as pos, '' as key, 'special' as kind, token as original_value from specials
+ union all select 1 + sysno, 0, code, system, code from code_map
+ union all select 4, i, '', 'numeric', '' from (select unnest(range(51)) as i)
+ union all select 5, i, '', 'time', '' from (select unnest(range(1561)) as i))""",
+    "lab_one": """
+select * from (select r.*, row_number() over (partition by patient_id, age_min, r.code order by coalesce(g.n, t.n, -1) desc, rid) as rn
+ from rec r left join (select code, max(n) as n from grid group by 1) g on g.code = r.code and r.num is not null
+ left join nn_tokens t on t.code = r.code and t.nonnum = r.nonnum where type = 6) where rn = 1""",
+    "lab_bin": """
+select rid, arg_min(idx, (round(abs(g.value - l.num), 9), idx)) as bin from lab_one l join grid g on g.code = l.code
+where l.num is not null group by 1""",
+    "seq": """
+select patient_id, cast(date_of_birth as timestamp) as ts, 0 as age_min, 0 as time_available_min, 'PT' || patient_id as rid, 0 as type,
+ null as code, 0 as t0, 0 as t1, 0 as t2, 0 as t3, 0 as t4, cast(null as double) as rnum, s.index as ridx, '[' || sex || ']' as rtext
+from patients join specials s on s.token = '[' || sex || ']'
+union all
+select patient_id, ts, age_min, time_available_min, rid, type, r.code,
+ case type when 1 then 4 when 2 then 5 else coalesce(m.t0, -2) end, case when type < 3 then 0 else coalesce(m.t1, 0) end,
+ case when type < 3 then 0 else coalesce(m.t2, 0) end, case when type < 3 then 0 else coalesce(m.t3, 0) end, case when type < 3 then 0 else coalesce(m.t4, 0) end,
+ null, coalesce(s.index, 0), disposition
+from rec r left join code_map m on m.code = r.code and m.system = case type when 3 then 'dx' when 5 then 'med' end
+left join specials s on s.token = r.disposition where type in (1, 2, 3, 5)
+union all
+select patient_id, ts, age_min, time_available_min, l.rid, type, l.code, coalesce(m.t0, -2), coalesce(m.t1, 0), 0, 0, 0,
+ b.bin / 50.0::double, case when l.num is null then coalesce(s.index, -2) else 0 end,
+ case when l.num is null then l.nonnum when b.bin is not null then cast(l.num as varchar) || ' mmol/L' end
+from lab_one l left join code_map m on m.code = l.code and m.system = 'lab' left join lab_bin b on b.rid = l.rid
+left join nn_tokens t on t.code = l.code and t.nonnum = l.nonnum left join specials s on s.token = t.token""",
+    "token_rows": """
+select patient_id, ts, age_min, time_available_min, original_value, type, sort_code, priority, num, t0, t1, t2, t3, t4, min(rid) as rid from (
+ select patient_id, ts, age_min, time_available_min, rid, type, '' as sort_code, 0 as priority, null as original_value, null as num, 0 as t0, 0 as t1, 0 as t2, 0 as t3, 0 as t4 from seq
+ union all select patient_id, ts, age_min, time_available_min, rid, type, coalesce(code, ''), 1, code, null, t0, t1, t2, t3, t4 from seq where t0 <> 0
+ union all select patient_id, ts, age_min, time_available_min, rid, type, coalesce(code, ''), 2, rtext, rnum, case when rnum is null then ridx else 0 end, 0, 0, 0, 0
+   from seq where rnum is not null or ridx <> 0) group by all""",
+    "known_rows": "select * from token_rows where t0 <> -2",
+    "tl0": f"""
+select *, case when type = 0 then -1 else age_min end as sort_age from (
+ select patient_id, ts, age_min, original_value, type, sort_code, priority, num, t0, t1, t2, t3, t4, min(rid) as rid from known_rows group by all)
+where type = 0 or ts between timestamp '{TRAIN[0]} 00:00:00' and timestamp '{TEST[1]} 23:59:59'""",
+    "tl1": """
+select *, row_number() over w - 1 as row_no, count(*) over (partition by patient_id) as n,
+ min(age_min) filter (type <> 0) over (partition by patient_id) as first_age,
+ coalesce(last_value(case when type = 0 or original_value = '[DSC]' then 0 when original_value = '[ADM]' then 1 end ignore nulls) over (w rows between unbounded preceding and current row), 0) as state,
+ coalesce(first_value(case when type = 0 or original_value = '[ADM]' then 0 when original_value = '[DSC]' then 1 end ignore nulls) over (w rows between 1 following and unbounded following), 0) as nxt
+from tl0 window w as (partition by patient_id order by sort_age, type, sort_code, priority, rid)""",
+    "tl": """
+select patient_id, case when type = 0 then first_age // 1440 * 1440 else age_min end as age_min, original_value, type, priority, rid, num, t0, t1, t2, t3, t4, row_no,
+ case when state = 1 or (nxt = 1 and type <> 0 and coalesce(original_value, '') <> '[ADM]') then 1 else 0 end as admitted
+from tl1 where n > 2
+union all select patient_id, age_min, '[EOT]', 7, 1, patient_id || 'EOT', null, 7, 0, 0, 0, 0, row_no + 1, state from tl1 where n > 2 and row_no = n - 1""",
 }
 
 
