@@ -162,7 +162,7 @@ def dedup_lab_reports(spark, sf):
 
 @Q.add(f"""
 select record_no, bin from labs left join (
- select record_no, arg_min(idx, (round(abs(g.value - l."numeric"), 9), idx)) as bin from labs l join {_GRID} g
+ select record_no, arg_min(idx, (abs(g.value - l."numeric"), idx)) as bin from labs l join {_GRID} g
   on g.item_code = l.item_code and g.unit = coalesce(l.unit, '') where l."numeric" is not null group by 1) using (record_no)""")
 def nearest_bin(spark, sf):
     labs = v.labs(spark, sf)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks import views as v
@@ -11,6 +13,7 @@ from chronoline import fixed_values as fv
 from chronoline.functions import scalars as c
 from chronoline.operators import matrix, timeline, vocab
 from chronoline.plans import create_dataset as plan
+from chronoline.session import shared_dir
 from chronoline.settings import Settings
 
 Q = Queries()
@@ -23,14 +26,22 @@ NOTHING = "system string, item_code string, item_name string"
 
 
 class Build:
-    """Stages of the dataset build on the event views."""
+    """Stages of the dataset build on the event views.
+
+    Vocabulary, timeline and labelled timeline are written to the shared folder
+    once per session, as a dataset build does, and read from there.
+    """
 
     def __init__(self, spark, sf):
+        self.folder = f"{shared_dir(spark).rstrip('/')}/dataset-{uuid.uuid4().hex}"
+        self.keep = plan.stored_in(self.folder)
         self.people = v.people(spark, sf)
         self.splits = v.ev_splits(spark, sf)
-        self.cleaned = plan.clean_tables(v.record_tables(spark, sf), self.people)
+        records = v.record_tables(spark, sf)
+        self.cleaned = plan.clean_tables(records, self.people)
         names = spark.createDataFrame([], NOTHING)
-        self.voc = plan.build_vocabulary(self.cleaned, self.splits, names, SETTINGS)
+        self.voc = plan.build_vocabulary(self.cleaned, self.splits, names, SETTINGS, self.keep)
+        self._line = self._labelled = None
 
     def rows(self):
         return plan.sequence_tables(self.cleaned, self.people, self.voc, SETTINGS)
@@ -39,21 +50,27 @@ class Build:
         return timeline.explode_rows(self.rows(), self.voc.width)
 
     def line(self):
-        return timeline.build_timeline(
-            timeline.drop_oov(self.token_rows()), plan.periods_of(SETTINGS),
-            fv.OPERATIONAL_TOKENS.index("[EOT]"), self.voc.width)
-
-    def stored_line(self):
-        """Timeline through the shared folder: later stages read it many times."""
-        from chronoline.session import cut_lineage
-        return cut_lineage(self.line())
+        if self._line is None:
+            self._line = self.keep("timeline", timeline.build_timeline(
+                timeline.drop_oov(self.token_rows()), plan.periods_of(SETTINGS),
+                fv.OPERATIONAL_TOKENS.index("[EOT]"), self.voc.width))
+        return self._line
 
     def labelled(self):
-        return plan.label_rows(self.line(), self.voc, self.splits, SETTINGS)
+        if self._labelled is None:
+            self._labelled = self.keep("labelled", plan.label_rows(
+                self.line(), self.voc, self.splits, SETTINGS))
+        return self._labelled
+
+
+_BUILDS: dict = {}
+
 
-    def stored(self):
-        from chronoline.session import cut_lineage
-        return cut_lineage(self.labelled())
+def build(spark, sf) -> Build:
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _BUILDS:
+        _BUILDS[key] = Build(spark, sf)
+    return _BUILDS[key]
 
 
 def token_columns(array="tokens"):
@@ -70,31 +87,31 @@ _SEQ = "select rid as unique_record_id, type, code, t0, t1, t2, t3, t4, round(rn
 
 @Q.add(_SEQ + "type = 0")
 def sequence_demographics(spark, sf):
-    b = Build(spark, sf)
+    b = build(spark, sf)
     return timeline.sequence_demographics(b.people, b.voc.specials, b.voc.width).select(*record_columns())
 
 
 @Q.add(_SEQ + "type = 1")
 def sequence_admissions(spark, sf):
-    b = Build(spark, sf)
+    b = build(spark, sf)
     return timeline.sequence_admissions(b.cleaned["admissions"], b.voc.specials, b.voc.width).select(*record_columns())
 
 
 @Q.add(_SEQ + "type = 2")
 def sequence_discharges(spark, sf):
-    b = Build(spark, sf)
+    b = build(spark, sf)
     return timeline.sequence_discharges(b.cleaned["discharges"], b.voc.specials, b.voc.width).select(*record_columns())
 
 
 @Q.add(_SEQ + "type = 3")
 def sequence_diagnoses(spark, sf):
-    b = Build(spark, sf)
+    b = build(spark, sf)
     return timeline.sequence_codes(b.cleaned["diagnoses"], b.voc.code_map, "dx", 3, b.voc.width).select(*record_columns())
 
 
 @Q.add(_SEQ.replace(" type,", " 5 as type,") + "type = 5")
 def sequence_prescriptions(spark, sf):
-    b = Build(spark, sf)
+    b = build(spark, sf)
     return timeline.sequence_codes(b.cleaned["prescription_orders"], b.voc.code_map, "med", 5,
                                    b.voc.width).select(*record_columns())
 
@@ -102,14 +119,14 @@ def sequence_prescriptions(spark, sf):
 @Q.add(_SEQ + "type = 5")
 def sequence_injections(spark, sf):
     """The order records read as injections."""
-    b = Build(spark, sf)
+    b = build(spark, sf)
     return timeline.sequence_codes(b.cleaned["prescription_orders"], b.voc.code_map, "med", fv.INJECTION,
                                    b.voc.width).select(*record_columns())
 
 
 @Q.add(_SEQ + "type = 6")
 def sequence_labs(spark, sf):
-    b = Build(spark, sf)
+    b = build(spark, sf)
     return timeline.sequence_labs(b.cleaned["laboratory_results"], b.voc.grids, b.voc.nonnumeric,
                                   b.voc.code_map, b.voc.specials, b.voc.width, 51).select(*record_columns())
 
@@ -117,25 +134,25 @@ def sequence_labs(spark, sf):
 @Q.add("""select patient_id, age_min, time_available_min, original_value, type, sort_code, priority, round(num, 6) as num,
  t0, t1, t2, t3, t4, rid from token_rows""")
 def explode_rows(spark, sf):
-    return Build(spark, sf).token_rows().select(
+    return build(spark, sf).token_rows().select(
         "patient_id", "age_min", "time_available_min", "original_value", "type", "sort_code", "priority",
         F.round("numeric", 6).alias("num"), *token_columns(), F.col("unique_record_id").alias("rid"))
 
 
 @Q.add("select patient_id, rid, priority, original_value from known_rows")
 def drop_oov(spark, sf):
-    return timeline.drop_oov(Build(spark, sf).token_rows()).select(
+    return timeline.drop_oov(build(spark, sf).token_rows()).select(
         "patient_id", F.col("unique_record_id").alias("rid"), "priority", "original_value")
 
 
 @Q.add("select type, original_value, count(*) as n_rows from token_rows where t0 = -2 group by 1, 2")
 def oov_report(spark, sf):
-    return timeline.oov_report(Build(spark, sf).token_rows())
+    return timeline.oov_report(build(spark, sf).token_rows())
 
 
 @Q.add("""select patient_id, age_min, original_value, type, priority, rid, round(num, 6) as num, t0, t1, t2, t3, t4, row_no, admitted from tl""")
 def build_timeline(spark, sf):
-    return Build(spark, sf).line().select(
+    return build(spark, sf).line().select(
         "patient_id", "age_min", "original_value", "type", "priority",
         F.col("unique_record_id").alias("rid"), F.round("numeric", 6).alias("num"), *token_columns(),
         F.col("row_no").cast("long").alias("row_no"), "admitted")
@@ -146,7 +163,7 @@ select patient_id, original_value, row_number() over (partition by patient_id or
  rid, priority from tl0""")
 def timeline_order(spark, sf):
     from chronoline.functions import ordered as o
-    rows = timeline.drop_oov(Build(spark, sf).token_rows())
+    rows = timeline.drop_oov(build(spark, sf).token_rows())
     merged = timeline.dedup_rows(rows, [k for k in timeline.ROW_KEY if k != "time_available_min"])
     from chronoline.operators.clean import drop_out_of_period, flag_periods
     kept = drop_out_of_period(flag_periods(merged, plan.periods_of(SETTINGS)))
@@ -173,27 +190,27 @@ _OWN = "(type = 0 or case when split = 'test' then test_period else train_period
 @Q.add(f"""select patient_id, row_no, label, train_period, test_period,
  cast(sum(cast({_OWN} as int)) over (partition by patient_id) >= 40 as int) as included from {_LABELLED}""")
 def label_timeline(spark, sf):
-    return Build(spark, sf).labelled().select(
+    return build(spark, sf).labelled().select(
         "patient_id", F.col("row_no").cast("long").alias("row_no"), "label", "train_period", "test_period", "included")
 
 
 @Q.add("""select tl.patient_id, row_no, c.label as code_label from tl
  left join (select original_value as value, min(label) as label from catalog where kind in ('dx', 'med', 'lab') group by 1) c on c.value = tl.original_value""")
 def label_codes(spark, sf):
-    b = Build(spark, sf)
+    b = build(spark, sf)
     return timeline.label_codes(b.line(), b.voc.catalog).select(
         "patient_id", F.col("row_no").cast("long").alias("row_no"), F.col("code_label").cast("long").alias("code_label"))
 
 
 @Q.add("select patient_id, row_no, case when t0 <> 0 and t1 = 0 then t0 end as token_label from tl")
 def label_tokens(spark, sf):
-    return Build(spark, sf).line().select("patient_id", F.col("row_no").cast("long").alias("row_no"),
+    return build(spark, sf).line().select("patient_id", F.col("row_no").cast("long").alias("row_no"),
                                           timeline.token_label().cast("long").alias("token_label"))
 
 
 @Q.add("select patient_id, row_no, 1000 + cast(round(num * 50) as bigint) as numeric_label from tl where num is not null")
 def label_numerics(spark, sf):
-    return Build(spark, sf).line().filter(F.col("numeric").isNotNull()).select(
+    return build(spark, sf).line().filter(F.col("numeric").isNotNull()).select(
         "patient_id", F.col("row_no").cast("long").alias("row_no"),
         timeline.numeric_label("numeric", 1000, 51).cast("long").alias("numeric_label"))
 
@@ -201,7 +218,7 @@ def label_numerics(spark, sf):
 @Q.add(f"""select patient_id, row_no, {time_bin_sql('prev', 'age_min', '2000')} as time_label from
  (select *, lag(age_min) over (partition by patient_id order by row_no) as prev from tl) where priority = 0 and row_no > 0""")
 def label_time(spark, sf):
-    pairs = matrix.time_pairs(Build(spark, sf).line()).filter(F.col("row_no") > 0)
+    pairs = matrix.time_pairs(build(spark, sf).line()).filter(F.col("row_no") > 0)
     return pairs.select("patient_id", F.col("row_no").cast("long").alias("row_no"),
                         c.time_bin_label("shifted", "original", 2000).alias("time_label"))
 
@@ -211,12 +228,12 @@ def label_time(spark, sf):
   cast(sum(cast({_OWN} as int)) >= 40 as int) as included from {_LABELLED} group by patient_id""")
 def timeline_metadata(spark, sf):
     death = 9  # index of the token of a death at discharge
-    return matrix.timeline_metadata(Build(spark, sf).labelled(), 64, 40, death).drop("split")
+    return matrix.timeline_metadata(build(spark, sf).labelled(), 64, 40, death).drop("split")
 
 
 @Q.add(f"""select patient_id, cast(sum(cast({_OWN} as int)) over (partition by patient_id) as bigint) as effective_length, row_no from {_LABELLED}""")
 def effective_length(spark, sf):
-    return Build(spark, sf).labelled().select("patient_id", "effective_length",
+    return build(spark, sf).labelled().select("patient_id", "effective_length",
                                               F.col("row_no").cast("long").alias("row_no"))
 
 
@@ -226,36 +243,36 @@ select patient_id, age_min, original_value as code, row_no, case when next_rid =
  from tl where coalesce(original_value, '') <> '' window w as (partition by patient_id order by row_no))
 where prev_rid is null or prev_rid <> rid""")
 def event_view(spark, sf):
-    b = Build(spark, sf)
+    b = build(spark, sf)
     return timeline.event_view(b.labelled(), b.voc.catalog).select(
         "patient_id", "age_min", "code", F.col("row_no").cast("long").alias("row_no"), "result")
 
 
 @Q.add("select token, index from specials")
 def special_tokens(spark, sf):
-    return Build(spark, sf).voc.specials.select("token", F.col("index").cast("long").alias("index"))
+    return build(spark, sf).voc.specials.select("token", F.col("index").cast("long").alias("index"))
 
 
 @Q.add("select system, segment, token, index from vocab")
 def vocabulary(spark, sf):
-    return Build(spark, sf).voc.tokens.select("system", "segment", "token", F.col("index").cast("long").alias("index"))
+    return build(spark, sf).voc.tokens.select("system", "segment", "token", F.col("index").cast("long").alias("index"))
 
 
 @Q.add("select system, code as original_value, tokenized_value, t0, t1, t2, t3, t4 from code_map")
 def vocabulary_code_map(spark, sf):
-    return Build(spark, sf).voc.code_map.select("system", "original_value", "tokenized_value", *[
+    return build(spark, sf).voc.code_map.select("system", "original_value", "tokenized_value", *[
         F.col("tokens")[i].cast("long").alias(f"t{i}") for i in range(5)])
 
 
 @Q.add("select label, kind, case when kind = 'numeric' then '' else original_value end as original_value from catalog")
 def catalog(spark, sf):
-    table = Build(spark, sf).voc.catalog
+    table = build(spark, sf).voc.catalog
     return table.select(F.col("label").cast("long").alias("label"), "kind", F.when(
         F.col("kind") == "numeric", "").otherwise(F.col("original_value")).alias("original_value"))
 
 
 @Q.add("""
-select cast(label as bigint) as label, text from (select c.label, c.kind, label - (select min(label) from catalog where kind = 'time') as p,
+select cast(label as bigint) as label, text from (select label,
  case when p < 144 then '+ ' || cast(p * 10 as varchar) || '-' || cast(p * 10 + 9 as varchar) || ' minutes'
   when p = 1560 then 'over 1800 days' else
   case when p < 864 then '+ ' || cast((p - 144) // 24 + 1 as varchar) || ' days'
@@ -263,21 +280,21 @@ select cast(label as bigint) as label, text from (select c.label, c.kind, label
    when p < 1368 then '+ ' || cast((p - 1224) // 24 * 30 + 181 as varchar) || '-' || cast((p - 1224) // 24 * 30 + 210 as varchar) || ' days'
    else '+ ' || cast((p - 1368) // 24 * 180 + 361 as varchar) || '-' || cast((p - 1368) // 24 * 180 + 540 as varchar) || ' days' end
   || ' & ' || lpad(cast(p % 24 as varchar), 2, '0') || ':00-' || lpad(cast(p % 24 as varchar), 2, '0') || ':59' end as text
- from catalog c where kind = 'time')""")
+ from (select label, label - min(label) over () as p from catalog where kind = 'time'))""")
 def catalog_time_texts(spark, sf):
-    table = vocab.catalog_slice(Build(spark, sf).voc.catalog, "time")
+    table = vocab.catalog_slice(build(spark, sf).voc.catalog, "time")
     return table.select(F.col("label").cast("long").alias("label"), "text")
 
 
 @Q.add("select label, kind, original_value from catalog where kind in ('dx', 'med', 'lab')")
 def catalog_slice(spark, sf):
-    return vocab.catalog_slice(Build(spark, sf).voc.catalog, "all_codes").select(
+    return vocab.catalog_slice(build(spark, sf).voc.catalog, "all_codes").select(
         F.col("label").cast("long").alias("label"), "kind", "original_value")
 
 
 @Q.add("select kind, min(label) as first_label, max(label) as last_label, count(*) as n_labels from catalog group by 1")
 def label_ranges(spark, sf):
-    ranges = vocab.label_ranges(Build(spark, sf).voc.catalog)
+    ranges = vocab.label_ranges(build(spark, sf).voc.catalog)
     return ranges.groupBy("kind").agg(
         F.min("first_label").cast("long").alias("first_label"), F.max("last_label").cast("long").alias("last_label"),
         F.sum("n_labels").alias("n_labels"))
@@ -302,7 +319,7 @@ select b.patient_id, b.block_no, pos, coalesce(label, -1) as label, years, num,
 from (select distinct patient_id, row_no // 64 as block_no from tl) b cross join (select unnest(range(64)) as pos)
 left join {_MATRIX} m on m.patient_id = b.patient_id and m.row_no = b.block_no * 64 + pos""")
 def timeline_matrix(spark, sf):
-    m = matrix.timeline_matrix(Build(spark, sf).labelled(), 64, 5)
+    m = matrix.timeline_matrix(build(spark, sf).labelled(), 64, 5)
     return _exploded(m.withColumn("block_no", F.col("block_no").cast("long")), ["patient_id", "block_no"])
 
 
@@ -314,14 +331,14 @@ _POINTS = f"""(select patient_id, length, case when length > 64 and lo is not nu
 
 @Q.add(f"select patient_id, unnest(range(min_start, max_start + 1)) as start from {_POINTS}")
 def slice_points(spark, sf):
-    points = matrix.slice_points(Build(spark, sf).labelled(), 64)
+    points = matrix.slice_points(build(spark, sf).labelled(), 64)
     return matrix.slice_point_rows(points).withColumn("start", F.col("start").cast("long"))
 
 
 @Q.add("""select patient_id, row_no, age_min as original, prev as shifted from
  (select *, lag(age_min) over (partition by patient_id order by row_no) as prev from tl) where priority = 0""")
 def time_pairs(spark, sf):
-    return matrix.time_pairs(Build(spark, sf).line()).withColumn("row_no", F.col("row_no").cast("long"))
+    return matrix.time_pairs(build(spark, sf).line()).withColumn("row_no", F.col("row_no").cast("long"))
 
 
 @Q.add(f"""
@@ -329,7 +346,7 @@ select patient_id, row_no, update_period, cast(sum(cast(update_period = 1 or typ
 from (select *, cast(ts between timestamp '2024-01-10 00:00:00' and timestamp '2024-01-20 23:59:59' as int) as update_period from (select l.*, cast(date_of_birth as timestamp) + to_minutes(age_min) as ts
   from {_LABELLED} l join patients using (patient_id)) where split in ('train', 'validation'))""".replace("select l.*,", "select l.* exclude (ts),"))
 def update_subset(spark, sf):
-    return matrix.update_subset(Build(spark, sf).labelled(), ("2024-01-10", "2024-01-20"), 20).select(
+    return matrix.update_subset(build(spark, sf).labelled(), ("2024-01-10", "2024-01-20"), 20).select(
         "patient_id", F.col("row_no").cast("long").alias("row_no"), "update_period", "included")
 
 
@@ -352,7 +369,7 @@ from (select c.patient_id, c.start, c.length, pos, m.years, m.num, m.t0, m.admit
  left join {_MATRIX} m on m.patient_id = c.patient_id and m.row_no = case when pos < 2 then pos else c.start + pos - 2 end
  left join {_MATRIX} n on n.patient_id = c.patient_id and n.row_no = case when pos + 1 < 2 then pos + 1 else c.start + pos - 1 end)""")
 def training_windows(spark, sf):
-    labelled = Build(spark, sf).stored()
+    labelled = build(spark, sf).labelled()
     windows = matrix.training_windows(labelled, matrix.slice_points(labelled, 64), 64, 5)
     return _exploded(windows.withColumn("start", F.col("start").cast("long")), ["patient_id", "start"])
 
@@ -380,7 +397,7 @@ def time_shuffle(spark, sf):
     kind = (F.when(F.col("priority") == 0, "time").when(value == "[DSC]", "dsc")
             .when(value.isin("[DSC_EXP]", "[DSC_ALV]"), "disposition").when(value == "[EOT]", "eot")
             .when((F.col("type") == 6) & (F.col("priority") == 1), "lab").otherwise("other"))
-    rows = Build(spark, sf).stored_line().select("patient_id", "age_min", "row_no", kind.alias("kind"))
+    rows = build(spark, sf).line().select("patient_id", "age_min", "row_no", kind.alias("kind"))
     out = matrix.time_shuffle(rows, replicates=2)
     return out.select("patient_id", F.col("replicate").cast("long").alias("replicate"),
                       F.col("row_no").cast("long").alias("row_no"), F.col("new_row_no").cast("long").alias("new_row_no"))
@@ -388,7 +405,7 @@ def time_shuffle(spark, sf):
 
 @Q.add()
 def time_noise(spark, sf):
-    labelled = Build(spark, sf).labelled()
+    labelled = build(spark, sf).labelled()
     out = matrix.time_noise(labelled, 1, 500)
     return out.select("patient_id", "row_no", "noise_min", "age_min", "label")
 
@@ -397,7 +414,7 @@ def time_noise(spark, sf):
 select patient_id, row_no from (select patient_id, row_no, count(*) over (partition by patient_id) as n from tl)
 where n <= 64 or row_no < 2 or row_no >= n - 62""")
 def truncate_history(spark, sf):
-    return matrix.truncate_history(Build(spark, sf).line(), ["patient_id"], 64).select(
+    return matrix.truncate_history(build(spark, sf).line(), ["patient_id"], 64).select(
         "patient_id", F.col("row_no").cast("long").alias("row_no"))
 
 
@@ -409,7 +426,7 @@ from (select *, count(*) over (partition by patient_id) - cast(anchor > last_age
  from (select *, 30000000 + cast(patient_id as bigint) * 200000 as anchor from tl where type <> 7)))
 where not (anchor > last_age and ends and row_no = last_row)""")
 def clean_history(spark, sf):
-    rows = Build(spark, sf).line().withColumns({
+    rows = build(spark, sf).line().withColumns({
         "is_time": (F.col("priority") == 0).cast("int"),
         "anchor": F.lit(30000000) + F.col("patient_id").cast("long") * 200000})
     return matrix.clean_history(rows, ["patient_id"], "anchor", is_padding=F.col("type") == 7).select(
@@ -420,7 +437,7 @@ def clean_history(spark, sf):
 select patient_id, count(*) as n_rows, max(row_no) as last_row, cast(sum(admitted) as bigint) as n_admitted from tl where row_no >= 0 group by 1""")
 def timeline_totals(spark, sf):
     """The same timeline through stored stages, condensed per patient."""
-    return Build(spark, sf).stored_line().groupBy("patient_id").agg(
+    return build(spark, sf).line().groupBy("patient_id").agg(
         F.count(F.lit(1)).alias("n_rows"), F.max("row_no").cast("long").alias("last_row"),
         F.sum("admitted").alias("n_admitted"))
 
@@ -435,8 +452,8 @@ select request_id, count(*) as n_rows, count(*) filter (priority = 0) as n_times
  group by 1""")
 def single_patient_timeline(spark, sf):
     """Timelines as of every evaluation time, in one job."""
-    b = Build(spark, sf)
-    requests = v.snapshots(spark, sf).select(
+    b = build(spark, sf)
+    requests = v.windows(spark, sf).select(
         "patient_id", F.col("eval_min").alias("as_of_min"),
         F.concat_ws(":", "patient_id", F.col("admission_no").cast("string"), F.col("day").cast("string"))
         .alias("request_id"))
@@ -453,7 +470,7 @@ select patient_id, row_no, original_value as code, age_min, case when prev_code
 where (prev_rid is null or prev_rid <> rid)""".replace(", case when prev_code is not null then '' else '' end as note", ""))
 def decode_timeline(spark, sf):
     """Labels back to events: codes and ages equal those of the event view."""
-    b = Build(spark, sf)
+    b = build(spark, sf)
     line = b.line()
     labelled = timeline.label_codes(line, b.voc.catalog)
     first_numeric, _ = plan.label_bounds(b.voc.catalog)

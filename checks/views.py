@@ -6,6 +6,7 @@ Every view exists twice: as a DataFrame function and as DuckDB SQL.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -161,6 +162,28 @@ def simulations(spark, sf):
     return moved.select(*cols).unionByName(head)
 
 
+_STAGES: dict = {}
+
+
+def stage(spark, sf, name, make):
+    """A derived table written once per session to the shared folder."""
+    from chronoline.plans.create_dataset import stored_in
+    from chronoline.session import shared_dir
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _STAGES:
+        folder = f"{shared_dir(spark).rstrip('/')}/stages-{uuid.uuid4().hex}"
+        _STAGES[key] = stored_in(folder)(name, make(spark, sf))
+    return _STAGES[key]
+
+
+def windows(spark, sf):
+    return stage(spark, sf, "snapshots", snapshots)
+
+
+def simulated(spark, sf):
+    return stage(spark, sf, "simulations", simulations)
+
+
 def record_tables(spark, sf):
     """The events as separate record tables."""
     e = ev(spark, sf).withColumn("unique_record_id", F.concat(F.lit("E"), F.col("event_id").cast("string")))
@@ -353,7 +376,7 @@ select * from (select r.*, row_number() over (partition by patient_id, age_min,
  from rec r left join (select code, max(n) as n from grid group by 1) g on g.code = r.code and r.num is not null
  left join nn_tokens t on t.code = r.code and t.nonnum = r.nonnum where type = 6) where rn = 1""",
     "lab_bin": """
-select rid, arg_min(idx, (round(abs(g.value - l.num), 9), idx)) as bin from lab_one l join grid g on g.code = l.code
+select rid, arg_min(idx, (abs(g.value - l.num), idx)) as bin from lab_one l join grid g on g.code = l.code
 where l.num is not null group by 1""",
     "seq": """
 select patient_id, cast(date_of_birth as timestamp) as ts, 0 as age_min, 0 as time_available_min, 'PT' || patient_id as rid, 0 as type,

@@ -65,29 +65,32 @@ def _train_rows(df: DataFrame, splits: DataFrame, settings: Settings) -> DataFra
 
 
 def build_vocabulary(cleaned: dict[str, DataFrame], splits: DataFrame, names: DataFrame,
-                     settings: Settings) -> Vocabulary:
+                     settings: Settings, keep: Callable | None = None) -> Vocabulary:
     """Lab statistics, tokens and catalog from train patients in the train period.
 
-    `names` has (system, item_code, item_name).
+    `names` has (system, item_code, item_name). `keep` may store each table:
+    all of them are small and read many times.
     """
+    keep = keep or (lambda name, df: df)
     labs = _train_rows(cleaned["laboratory_results"], splits, settings)
     counts = labstats.numeric_value_counts(labs)
-    grids = labstats.percentile_grid(counts, settings.numeric_bins)
-    nonnumeric = labstats.rank_nonnumeric_tokens(labstats.nonnumeric_counts(labs))
-    specials = vocab.special_tokens(nonnumeric)
+    grids = keep("percentiles", labstats.percentile_grid(counts, settings.numeric_bins))
+    nonnumeric = keep("nonnumeric_stats", labstats.rank_nonnumeric_tokens(labstats.nonnumeric_counts(labs)))
+    specials = keep("special_tokens", vocab.special_tokens(nonnumeric))
     dx = labstats.with_provisional_code(_train_rows(cleaned["diagnoses"], splits, settings))
     med = [_train_rows(cleaned[n], splits, settings) for n in ("prescription_orders", "injection_orders")
            if n in cleaned]
     listed = [dx.select(F.lit("dx").alias("system"), F.col("item_code").alias("code"))]
     listed += [m.select(F.lit("med").alias("system"), F.col("item_code").alias("code")) for m in med]
     listed += [t.select(F.lit("lab").alias("system"), F.col("item_code").alias("code"))
-               for t in (counts, nonnumeric)]
-    codes = vocab.distinct_codes(*listed)
+               for t in (grids, nonnumeric)]
+    codes = keep("codes", vocab.distinct_codes(*listed))
     tokens, code_map = vocab.vocabulary(codes, specials, settings.segment_sizes)
+    tokens, code_map = keep("tokens", tokens), keep("code_map", code_map)
     width = vocab.token_width({k: v for k, v in settings.segment_sizes.items() if v},
                               settings.token_width)
-    table = vocab.catalog(specials, code_map, names, width, settings.numeric_bins,
-                          settings.td_small_step, settings.td_large_step)
+    table = keep("catalog", vocab.catalog(specials, code_map, names, width, settings.numeric_bins,
+                                          settings.td_small_step, settings.td_large_step))
     return Vocabulary(specials, code_map, tokens, table, grids, nonnumeric, width)
 
 
@@ -139,10 +142,7 @@ def create_dataset(records: dict[str, DataFrame], patients: DataFrame, names: Da
         splits = keep("splits", cohort.temporal_split(
             spans, (settings.train_start, settings.train_end), (settings.test_start, settings.test_end),
             settings.train_size, settings.val_size, settings.seed))
-    voc = build_vocabulary(cleaned, splits, names, settings)
-    voc.grids, voc.nonnumeric = keep("percentiles", voc.grids), keep("nonnumeric_stats", voc.nonnumeric)
-    voc.specials, voc.code_map = keep("special_tokens", voc.specials), keep("code_map", voc.code_map)
-    voc.catalog = keep("catalog", voc.catalog)
+    voc = build_vocabulary(cleaned, splits, names, settings, keep)
     ids = splits.select("patient_id")
     seq = sequence_tables({n: d.join(ids, "patient_id", "left_semi") for n, d in cleaned.items()},
                           patients.join(ids, "patient_id", "left_semi"), voc, settings)
