@@ -168,14 +168,15 @@ def neutrophil_counts(events: DataFrame, keys: Sequence[str] = ("patient_id",),
     """
     at = [*keys, "age_min"]
     result = F.coalesce("result", F.lit(""))
-    wbc = (events.filter((F.col("code") == rules["wbc_code"]) & result.endswith(rules["wbc_unit"]))
-           .select(*at, (c.any_number("result") * rules["wbc_const"]).alias("wbc"))
-           .filter(F.col("wbc").isNotNull()).groupBy(*at).agg(F.min("wbc").alias("wbc")))
-    share = (events.filter(F.col("code").isin(*rules["neutrophil_codes"])
-                           & result.endswith(rules["neutrophil_unit"]))
-             .select(*at, (c.any_number("result") * 0.01).alias("share"))
-             .filter(F.col("share").isNotNull()).groupBy(*at).agg(F.min("share").alias("share")))
-    return wbc.join(share, at).select(*at, (F.col("wbc") * F.col("share")).alias("anc"))
+    is_wbc = (F.col("code") == rules["wbc_code"]) & result.endswith(rules["wbc_unit"])
+    is_share = F.col("code").isin(*rules["neutrophil_codes"]) & result.endswith(rules["neutrophil_unit"])
+    number = c.any_number("result")
+    # counts and shares are unsigned, so the product of the minima is the lowest product
+    lowest = events.filter(is_wbc | is_share).groupBy(*at).agg(
+        F.min(F.when(is_wbc, number * rules["wbc_const"])).alias("wbc"),
+        F.min(F.when(is_share, number * 0.01)).alias("share"))
+    return (lowest.select(*at, (F.col("wbc") * F.col("share")).alias("anc"))
+            .filter(F.col("anc").isNotNull()))
 
 
 def keep_ids(df: DataFrame, ids: DataFrame, on: str = "patient_id") -> DataFrame:
