@@ -10,6 +10,7 @@ values are joined back on (group, piece). Results equal the plain window.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -148,9 +149,8 @@ def ordered_scan(
         .select(*renamed, *[expr.alias(n) for n, expr in carried.items()])
     )
     scanned = base.select("*", *[expr.alias(n) for n, expr in local.items()])
-    on = F.lit(True)
-    for i, k in enumerate(inner):
-        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    # plain equality: the window's partitioning and sort serve the join as they are
+    on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"__k{i}") for i, k in enumerate(inner)])
     joined = scanned.join(pieces, on, "left")
 
     result = []

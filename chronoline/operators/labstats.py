@@ -82,31 +82,36 @@ def numeric_value_counts(labs: DataFrame) -> DataFrame:
 
 def numeric_stats(counts: DataFrame, trim_percent: float = fv.TRIM_PERCENT,
                   trim_min_count: int = fv.TRIM_MIN_COUNT) -> DataFrame:
-    """Robust statistics per (code, unit) over values clipped to the outer percentiles."""
+    """Robust statistics per (code, unit) over values clipped to the outer percentiles.
+
+    Clipping leaves the quartiles as they are (the limits lie outside them), so
+    one ordered scan gives limits and quartiles; mean and spread are moments
+    around the median, and only the MAD needs a second scan.
+    """
     keys = ["item_code", "unit"]
     tail = trim_percent / 100.0
-    outer = q.percentiles(counts, keys, "value",
-                          {"min": 0.0, "p_lo": tail, "p_hi": 1.0 - tail, "max": 1.0})
+    if tail > 0.25:
+        raise ValueError("trimming must stay outside the quartiles")
+    marks = q.percentiles(counts, keys, "value", {
+        "min": 0.0, "p_lo": tail, "q1": 0.25, "med": 0.5, "q3": 0.75, "p_hi": 1.0 - tail, "max": 1.0})
     trims = F.col("n") >= trim_min_count
-    limits = outer.select(
-        *keys, F.col("n").alias("count"), "min", "max",
+    centres = marks.select(
+        *keys, F.col("n").alias("count"), "min", "max", "med", (F.col("q3") - F.col("q1")).alias("iqr"),
         F.when(trims, F.col("p_lo")).otherwise(F.col("min")).alias("lower_limit"),
         F.when(trims, F.col("p_hi")).otherwise(F.col("max")).alias("upper_limit"))
-    clipped = (counts.join(limits, keys)
-               .withColumn("value", F.greatest("lower_limit", F.least("upper_limit", "value")))
-               .groupBy(*keys, "value").agg(F.sum("cnt").alias("cnt")))
-    middle = q.percentiles(clipped, keys, "value", {"q1": 0.25, "med": 0.5, "q3": 0.75})
-    means = clipped.groupBy(*keys).agg(q.weighted_mean(F.col("value"), F.col("cnt")).alias("mean"))
-    centres = limits.join(middle.drop("n"), keys).join(means, keys)
-    centred = clipped.join(centres.select(*keys, "med", "mean"), keys)
-    spread = centred.groupBy(*keys).agg(F.sqrt(
-        F.sum(F.col("cnt") * F.pow(F.col("value") - F.col("mean"), 2)) / F.sum("cnt")).alias("std"))
-    deviations = (centred.withColumn("dev", F.abs(F.col("value") - F.col("med")))
-                  .groupBy(*keys, "dev").agg(F.sum("cnt").alias("cnt")))
+    clipped = F.greatest("lower_limit", F.least("upper_limit", "value"))
+    centred = (counts.join(centres.select(*keys, "med", "lower_limit", "upper_limit"), keys)
+               .select(*keys, "cnt", "med", (clipped - F.col("med")).alias("off")))
+    moments = centred.groupBy(*keys).agg(
+        F.max("med").alias("__m"), q.weighted_mean(F.col("off"), F.col("cnt")).alias("__o"),
+        q.weighted_mean(F.col("off") * F.col("off"), F.col("cnt")).alias("__s"))
+    moments = moments.select(
+        *keys, (F.col("__m") + F.col("__o")).alias("mean"),
+        F.sqrt(F.greatest(F.col("__s") - F.col("__o") * F.col("__o"), F.lit(0.0))).alias("std"))
+    deviations = (centred.groupBy(*keys, F.abs("off").alias("dev")).agg(F.sum("cnt").alias("cnt")))
     mad = q.percentiles(deviations, keys, "dev", {"mad": 0.5}).drop("n")
-    return (centres.join(spread, keys).join(mad, keys)
-            .select(*keys, "count", "mean", "med", "std", "mad",
-                    (F.col("q3") - F.col("q1")).alias("iqr"), "min", "max",
+    return (centres.join(moments, keys).join(mad, keys)
+            .select(*keys, "count", "mean", "med", "std", "mad", "iqr", "min", "max",
                     "lower_limit", "upper_limit"))
 
 
@@ -133,7 +138,7 @@ def percentile_values(counts: DataFrame, bins: int = 501, eps: float = fv.LOGIT_
     hi = F.least(F.lit(bins - 1), F.ceil(grid_index(F.col("upto") - 0.5)) + 1)
     whole = F.sequence(F.lit(0), F.lit(bins - 1)).cast("array<bigint>")
     candidates = F.when(F.col("n") == 1, whole).otherwise(F.sequence(lo, hi))
-    rank = F.bround((F.col("n") - 1) * c.logit_quantile(F.col("idx"), bins, eps))
+    rank = F.rint((F.col("n") - 1) * c.logit_quantile(F.col("idx"), bins, eps))
     return (ranked.withColumn("idx", F.explode(candidates))
             .filter((first <= rank) & (rank < F.col("upto")))
             .select(*keys, "n", F.col("idx").cast("int"), value))
@@ -187,16 +192,20 @@ def nearest_bins(labs: DataFrame, grids: DataFrame, value: str = "numeric", out:
     joined = labs.join(g, (F.col("item_code") == F.col("__c"))
                        & (F.coalesce("unit", F.lit("")) == F.coalesce("__u", F.lit(""))), "left")
     v = F.col(value)
-    block = F.greatest(F.size(F.filter("__coarse", lambda x: x <= v)), F.lit(1))
-    part = F.slice("__g", (block - 1) * stride + 1, stride + 1)
-    inner = F.size(F.filter(part, lambda x: x <= v))
-    lower = F.try_element_at(part, F.when(inner > 0, inner))
-    upper = F.try_element_at(part, inner + 1)
+    # one step per column: each search runs once per row
+    found = (joined
+             .withColumn("__b", F.greatest(F.size(F.filter("__coarse", lambda x: x <= v)), F.lit(1)))
+             .withColumn("__p", F.slice("__g", (F.col("__b") - 1) * stride + 1, stride + 1))
+             .withColumn("__k", F.size(F.filter("__p", lambda x: x <= v)))
+             .withColumn("__lo", F.try_element_at("__p", F.when(F.col("__k") > 0, F.col("__k"))))
+             .withColumn("__hi", F.try_element_at("__p", F.col("__k") + 1)))
+    lower, upper = F.col("__lo"), F.col("__hi")
     near = (F.when(lower.isNull(), upper).when(upper.isNull(), lower)
             .when(F.abs(lower - v) <= F.abs(upper - v), lower).otherwise(upper))
     index = F.when(v.isNotNull() & F.col("__g").isNotNull(),
                    F.array_position("__g", near).cast("int") - 1)
-    return joined.withColumn(out, index).drop("__c", "__u", "__g", "__coarse")
+    return found.withColumn(out, index).drop(
+        "__c", "__u", "__g", "__coarse", "__b", "__p", "__k", "__lo", "__hi")
 
 
 def bin_values(rows: DataFrame, grids: DataFrame, index: str = "bin", out: str = "value") -> DataFrame:

@@ -181,6 +181,9 @@ def logistic_recalibration(counts: DataFrame, keys: Sequence[str] = (), steps: i
     aggregation per key over the condensed counts, so a key of any size is
     summed in parallel.
     """
+    if not keys:
+        # a constant key keeps every step one join and one aggregation
+        return logistic_recalibration(counts.withColumn("__one", F.lit(0)), ["__one"], steps).drop("__one")
     keys = list(keys)
     p = F.least(F.greatest(F.col("prob"), F.lit(1e-10)), F.lit(1 - 1e-10))
     data = counts.select(*keys, "n", "pos", F.log(p / (1 - p)).alias("x"))

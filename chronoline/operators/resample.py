@@ -32,7 +32,7 @@ def bootstrap_weights(ids: DataFrame, replicates: int, size: int | None = None,
     travels.
     """
     indexed = dense_index(ids, key, seed)
-    n = indexed.select(F.max("n")).scalar()
+    n = ids.select(F.count_distinct(key)).scalar()
     if size is None:
         slots = indexed.select(F.col("idx").alias("slot"))
     else:
@@ -107,11 +107,11 @@ def draw_with_replacement(df: DataFrame, n: int, key: Sequence[str], seed: int =
     """`n` rows drawn with replacement, numbered by `draw`."""
     keyed = df.withColumn("__d", c.stable_digest(seed, *key))
     indexed = o.ordered_scan(keyed, [], ["__d", *key], o.hash_segment("__d"), {
-        "__i": o.row_number(), "__n": o.total("sum", F.lit(1))}).drop("__d")
-    total = indexed.select(F.max("__n")).scalar()
+        "__i": o.row_number()}).drop("__d")
+    total = df.select(F.count(F.lit(1))).scalar()
     draws = df.sparkSession.range(n).select(F.col("id").alias("draw"))
     draws = draws.withColumn("__i", c.digest_index(c.stable_digest(seed, "draw"), total) + 1)
-    return draws.join(indexed, "__i").drop("__i", "__n")
+    return draws.join(indexed, "__i").drop("__i")
 
 
 def available_samples(df: DataFrame) -> DataFrame:
@@ -138,10 +138,9 @@ def epoch_resample(metadata: DataFrame, max_length: int, epoch: int, seed: int =
     keyed = metadata.select("patient_id", weight.alias("__w")).withColumn(
         "__d", c.stable_digest(seed, "patient_id"))
     line = o.ordered_scan(keyed, [], ["__d", "patient_id"], o.hash_segment("__d"), {
-        "__end": o.running_sum(F.col("__w")), "__i": o.row_number(),
-        "__total": o.total("sum", F.col("__w"))})
-    total = line.select(F.max("__total")).scalar()
-    n = line.select(F.count(F.lit(1))).scalar()
+        "__end": o.running_sum(F.col("__w")), "__i": o.row_number()})
+    total = keyed.select(F.sum("__w")).scalar()
+    n = keyed.select(F.count(F.lit(1))).scalar()
     points = line.select(F.col("__i").alias("draw")).withColumn(
         "__x", c.digest_uniform(c.stable_digest(seed, F.lit(epoch), "draw")) * total)
     starts = line.select((F.col("__end") - F.col("__w")).alias("__x"), F.lit(0).alias("__r"),

@@ -373,14 +373,16 @@ def length_calibration(lengths: DataFrame, levels: int = 21) -> DataFrame:
     steps = levels - 1
     low_q = [0.5 - 0.5 * i / steps for i in range(levels)]
     high_q = [0.5 + 0.5 * i / steps for i in range(levels)]
-    sim = lengths.filter(F.col("sim_id") != REAL).groupBy(*keys).agg(
-        F.percentile("n_tokens", F.array(*[F.lit(x) for x in low_q])).alias("__lo"),
-        F.percentile("n_tokens", F.array(*[F.lit(x) for x in high_q])).alias("__hi"))
-    real = lengths.filter(F.col("sim_id") == REAL).select(*keys, "n_tokens")
-    level = F.explode(F.sequence(F.lit(0), F.lit(steps)))
-    out = sim.join(real, keys).withColumn("i", level)
-    low = F.element_at("__lo", F.col("i") + 1)
-    high = F.element_at("__hi", F.col("i") + 1) - F.when(F.col("i") == 0, F.lit(0.01)).otherwise(F.lit(0.0))
+    is_real = F.col("sim_id") == REAL
+    both = lengths.groupBy(*keys).agg(
+        F.percentile(F.when(~is_real, F.col("n_tokens")),
+                     F.array(*[F.lit(x) for x in low_q + high_q])).alias("__q"),
+        F.max(F.when(is_real, F.col("n_tokens"))).alias("n_tokens"))
+    both = both.filter(F.col("n_tokens").isNotNull() & F.col("__q").isNotNull())
+    out = both.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(steps))))
+    low = F.element_at("__q", F.col("i") + 1)
+    high = F.element_at("__q", F.col("i") + 1 + levels) - F.when(
+        F.col("i") == 0, F.lit(0.01)).otherwise(F.lit(0.0))
     return out.select(
         *keys, (F.col("i") * (100 // steps)).cast("int").alias("level"), low.alias("low"),
         high.alias("high"), "n_tokens",
