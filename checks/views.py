@@ -328,13 +328,19 @@ select e.patient_id, date_trunc('minute', ts) as ts, age_min,
 from ev e join patients using (patient_id) join ev_splits using (patient_id)""",
     "train_rec": "select * from rec where split = 'train' and train_period = 1",
     "nn_tokens": """
-select code, nonnum, n, '[top' || cast(row_number() over (partition by code order by n desc, nonnum) as varchar) || ']' as token
-from (select code, nonnum, count(*) as n from train_rec where type = 6 and num is null group by 1, 2)""",
+select code, nonnum, n, case when n_signs = n_all then case nonnum when '(+)' then '[pos]' when '(-)' then '[neg]' else '[n/p]' end
+  else '[top' || cast(rk as varchar) || ']' end as token from (
+ select *, row_number() over (partition by code order by n desc, nonnum) as rk, count(*) over (partition by code) as n_all,
+  count(*) filter (nonnum in ('(+)', '(-)', '(+-)')) over (partition by code) as n_signs
+ from (select code, nonnum, count(*) as n from train_rec where type = 6 and num is null group by 1, 2))""",
     "specials": """
 select token, row_number() over (order by pos) - 1 as index from (
  select unnest(['[PAD]', '[DX]', '[MED]', '[LAB]', '[ADM]', '[DSC]', '[PRV]', '[EOT]', '[OOV]', '[DSC_EXP]', '[DSC_ALV]',
   '[F]', '[M]', '[O]', '[U]', '[A]', '[N]']) as token, unnest(range(17)) as pos
- union all select '[top' || cast(i as varchar) || ']', 100 + i from (select unnest(range(1, (select max(cast(substr(token, 5, length(token) - 5) as int)) from nn_tokens) + 1)) as i))""",
+ union all select distinct token, case token when '[pos]' then 50 when '[neg]' then 51 else 52 end from nn_tokens where token not like '[top%'
+ union all select '[top' || cast(i as varchar) || ']', 100 + i from (select unnest(range(
+   (select min(cast(substr(token, 5, length(token) - 5) as int)) from nn_tokens where token like '[top%'),
+   (select max(cast(substr(token, 5, length(token) - 5) as int)) from nn_tokens where token like '[top%') + 1)) as i))""",
     "codes": """
 select distinct case type when 3 then 'dx' when 5 then 'med' else 'lab' end as system, case type when 3 then 0 when 5 then 1 else 2 end as sysno,
        code, case when code like '%(prov.)' then substr(code, 1, length(code) - 7) else code end as base, code like '%(prov.)' as prov
