@@ -1 +1 @@
-"""Registered queries: each operator on the given tables, with its SQL twin."""
+"""Registered queries: each operator on the given tables, with its SQL counterpart."""

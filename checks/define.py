@@ -11,7 +11,7 @@ class Queries:
         self.oracles = {}
 
     def add(self, sql: str | None = None, name: str | None = None):
-        """Register the decorated (spark, sf_dir) function, with its SQL twin."""
+        """Register the decorated (spark, sf_dir) function, with its SQL counterpart."""
         def wrap(fn):
             key = name or fn.__name__
 

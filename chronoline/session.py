@@ -35,17 +35,22 @@ def apply_defaults(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's checkpoint folder.
 
-    Where the session names none (a local test), a temporary folder is taken
-    and registered, so later calls see the same one.
+    Only where the session names none (a local test) a temporary folder is
+    taken, the same one for the whole session.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="chronoline-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="chronoline-")
+    return _LOCAL_FOLDERS[app]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Registered queries against their SQL twins at the smallest scale."""
+"""Registered queries against their SQL counterparts at the smallest scale."""
 
 import duckdb
 import pytest
