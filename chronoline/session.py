@@ -1,10 +1,10 @@
-"""Session defaults and lineage cutting."""
+"""Session defaults and the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Joins carry no broadcast hints for tables that grow with the data: Spark
 # broadcasts below the threshold by measured size and otherwise shuffles, and
@@ -39,24 +39,19 @@ _LOCAL_FOLDERS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: the cluster's checkpoint folder.
+    """Folder every executor can reach: the one the session names in `spark.checkpoint.dir`.
 
-    Only where the session names none (a local test) a temporary folder is
-    taken, the same one for the whole session.
+    A local session without that setting gets a temporary folder, the same one
+    for its whole life. On a cluster such a folder would differ from machine to
+    machine, so a missing setting is an error there.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    master = spark.sparkContext.master
+    if master.split("[")[0] != "local":
+        raise ValueError(f"spark.checkpoint.dir must name a shared folder on master {master}")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_FOLDERS:
         _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="chronoline-")
     return _LOCAL_FOLDERS[app]
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and continue from there."""
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
