@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoline.llm import url_filters, warc
+from chronoline.llm import quality, url_filters, warc
 from chronoline.session import apply_defaults
 
 QUERIES = {
+    "op1_quality_rules": quality.op1_quality_rules,
     "op2_url_filters": url_filters.op2_url_filters,
     "op5_warc": warc.op5_warc,
 }
