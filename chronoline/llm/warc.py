@@ -74,9 +74,11 @@ def write_archive(records: DataFrame, folder: str, min_revisit: int = 0, date: s
     rows = records.select("record_id", "uri", F.coalesce("payload", F.lit(b"")).alias("payload"))
     keyed = rows.select("record_id", "uri", F.sha2("payload", 256).alias("sha256"), F.sha1("payload").alias("sha1"),
                         F.octet_length("payload").cast("long").alias("length"))
-    # The smallest id as a struct, so that a null id counts and sorts first.
-    first = keyed.groupBy("sha256").agg(F.min(F.struct("record_id")).alias("first"))
-    joined = keyed.join(first, "sha256").withColumn("refers_to", F.col("first.record_id"))
+    # A null id counts, and sorts first.
+    first = keyed.groupBy("sha256").agg(F.max(F.col("record_id").isNull()).alias("any_null"),
+                                        F.min("record_id").alias("least"))
+    first = first.select("sha256", F.when(~F.col("any_null"), F.col("least")).alias("refers_to"))
+    joined = keyed.join(first, "sha256")
     kind = F.when(F.col("record_id").eqNullSafe(F.col("refers_to")) | (F.col("length") < min_revisit),
                   "response").otherwise("revisit")
     headers = joined.withColumn("kind", kind).select(
@@ -87,9 +89,9 @@ def write_archive(records: DataFrame, folder: str, min_revisit: int = 0, date: s
     # Rows that repeat id and payload meet in the join's own partitioning, so the
     # payload moves once and is stored once. No number is written as an empty text.
     id_key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("id_key")
-    owners = first.select(id_key("first.record_id"), F.col("sha256").alias("wanted"))
-    payloads = (rows.select(id_key("record_id"), "payload").join(owners, "id_key")
-                .where(F.sha2("payload", 256) == F.col("wanted"))
+    owners = first.select(id_key("refers_to"), F.col("sha256").alias("wanted"))
+    payloads = (rows.select(id_key("record_id"), F.sha2("payload", 256).alias("wanted"), "payload")
+                .join(owners, ["id_key", "wanted"])
                 .groupBy("id_key", "wanted").agg(F.first("payload").alias("payload"))
                 .select(F.unhex("wanted").alias("key"), "payload"))
     payloads.write.mode("overwrite").parquet(f"{folder}/payloads")
@@ -108,20 +110,21 @@ def original_record(header: Column, payload: Column) -> Column:
 def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     """Records with header, payload (verified), record_type, refers_to, digest and length."""
     headers = spark.read.parquet(f"{folder}/headers")
+    # Digests and lengths are taken beside the stored payload, before the join, so a
+    # reader that does not ask for the bytes does not move them.
     payloads = spark.read.parquet(f"{folder}/payloads").select(
-        "key", "payload", F.sha1("payload").alias("sha1"),
+        "key", "payload", base32_of_hex(F.sha1("payload")).alias("digest"),
+        F.octet_length("payload").cast("long").alias("length"),
         (F.unhex(F.sha2("payload", 256)) == F.col("key")).alias("sound"))
     h = F.col("header")
-    digest = base32_of_hex(F.col("sha1"))
-    sound = (F.col("sound") & (field(h, "WARC-Payload-Digest") == F.concat(F.lit("sha1:"), digest))
-             & (field(h, "Content-Length") == F.octet_length("payload").cast("string")))
-    checked = F.when(sound, F.col("payload")).otherwise(
-        F.raise_error(F.concat(F.lit("payload fails its digest: "), F.hex("key"))))
+    sound = (F.coalesce("sound", F.lit(False)) & (field(h, "WARC-Payload-Digest") == F.concat(F.lit("sha1:"), "digest"))
+             & (field(h, "Content-Length") == F.col("length").cast("string")))
+    checked = lambda c: F.when(sound, F.col(c)).otherwise(
+        F.raise_error(F.concat(F.lit("payload missing, or not of its digest: "), F.hex("key")))).alias(c)
     number = lambda name: F.nullif(F.regexp_extract(field(h, name), ":(-?[0-9]*)>", 1), F.lit("")).cast("long")
     return (headers.join(payloads, "key", "left")
-            .select(number("WARC-Record-ID").alias("record_id"), h, checked.alias("payload"),
-                    digest.alias("digest"), field(h, "WARC-Type").alias("record_type"),
-                    number("WARC-Refers-To").alias("refers_to")))
+            .select(number("WARC-Record-ID").alias("record_id"), h, "payload", checked("digest"), checked("length"),
+                    field(h, "WARC-Type").alias("record_type"), number("WARC-Refers-To").alias("refers_to")))
 
 
 def page_records(pages: DataFrame) -> DataFrame:
@@ -133,7 +136,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/llm-warc-{uuid.uuid4().hex}"
     write_archive(page_records(table(spark, sf_dir, "pages")), folder)
     return read_archive(spark, folder).select(
-        F.col("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.col("record_id").alias("page_id"), F.col("length").alias("payload_bytes"),
         F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 
