@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoline.llm import quality, url_filters, warc
+from chronoline.llm import packing, quality, url_filters, warc
 from chronoline.session import apply_defaults
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_url_filters": url_filters.op2_url_filters,
+    "op3_packing": packing.op3_packing,
     "op5_warc": warc.op5_warc,
 }
 ORACLES = {"op2_url_filters": url_filters.op2_sql(), "op5_warc": warc.OP5_SQL}
