@@ -15,8 +15,8 @@ Sequence ids hold the partition's number, so equal plans give equal ids, also wh
 lost task runs again.
 
 Token ids of a text are those of its parts between blanks and line ends, as no token
-of the vocabulary spans white space; parts are looked up in a cache of at most
-`CACHE_WORDS` entries and go through the tokenizer once each.
+of the vocabulary spans white space; parts are looked up in a cache of at most twice
+`CACHE_WORDS` entries and go through the tokenizer when they are not found there.
 
 Defined cases: null text = empty text = the end token alone. Null or repeated ids are
 carried along; each row is packed. An empty table gives no sequence. Very long texts
@@ -36,25 +36,41 @@ from pyspark.sql import functions as F
 from chronoline.llm.common import small_batches, table
 
 MAX_TOKENS, END = 2048, 1
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 SCHEMA = ("doc_id long, start long, length long, ids binary, doc_tokens long, "
           "sequence_id long, offset long, cost double")
 
 
 class _Words(dict):
-    """Token ids (little-endian, 32 bits) by word."""
+    """Token ids (little-endian, 32 bits) by word; the words of the last generation are kept too.
+
+    The tokenizer lower-cases, and splits a letter from a mark after it, so marks and
+    capitals (of Latin-1, where both are free of context) share the entry of the word.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.old = Tokenizer.from_file(path), {}
 
     def __missing__(self, word: str) -> bytes:
+        out = self.old.get(word)
+        if out is None:
+            out = self._ids(word)
         if len(self) >= CACHE_WORDS:
+            self.old = dict(self)
             self.clear()
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        self[word] = out = np.array(ids, dtype="<u4").tobytes()
+        self[word] = out
         return out
 
+    def _ids(self, word: str) -> bytes:
+        # The one letter that lower-cases into a letter and a mark is left to the tokenizer.
+        if len(word) > 1 and word[-1] in ".,;:!?" and word[-2].isalpha() and word[-2] != "\u0130":
+            return self[word[:-1]] + self[word[-1]]
+        # A special token in capitals is ordinary text.
+        if "|" not in word and word != (low := word.lower()) and max(word) <= "\xff":
+            return self[low]
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
 
 @functools.lru_cache(maxsize=4)
 def _words(path: str | None) -> _Words:

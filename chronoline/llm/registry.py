@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoline.llm import decontamination, packing, quality, simhash, url_filters, warc
+from chronoline.llm import decontamination, packing, pii, quality, simhash, url_filters, warc
 from chronoline.session import apply_defaults
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op5_warc": warc.op5_warc,
     "op6_decontamination": decontamination.op6_decontamination,
     "op8_simhash": simhash.op8_simhash,
+    "op9_pii": pii.op9_pii,
 }
 ORACLES = {"op6_decontamination": decontamination.OP6_SQL, "op2_url_filters": url_filters.op2_sql(), "op5_warc": warc.OP5_SQL}
 

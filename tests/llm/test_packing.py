@@ -26,7 +26,8 @@ def test_ids_by_parts_are_the_tokenizers_ids(text):
 
 
 def test_special_tokens_in_texts(words):
-    for text in ("a<|endoftext|>b c", "<|startoftext|>", "", None, " \n "):
+    for text in ("a<|endoftext|>b c", "<|startoftext|>", "<|ENDOFTEXT|>", "Hello, WORLD. It's", "a.b, c,. D_,",
+                 "\u01c5, \u0130. \u03a3,", "J\u030c, E\u0301.", "", None, " \n "):
         assert packing.token_bytes(text, words) == brute(words, text)
 
 
