@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoline.llm import decontamination, packing, pii, quality, simhash, substring, url_filters, warc
+from chronoline.llm import decontamination, licenses, packing, pii, quality, simhash, substring, url_filters, warc
 from chronoline.session import apply_defaults
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op7_substring_dedup": substring.op7_substring_dedup,
     "op8_simhash": simhash.op8_simhash,
     "op9_pii": pii.op9_pii,
+    "op10_license_scans": licenses.op10_license_scans,
 }
 ORACLES = {"op7_substring_dedup": substring.OP7_SQL, "op6_decontamination": decontamination.OP6_SQL, "op2_url_filters": url_filters.op2_sql(), "op5_warc": warc.OP5_SQL}
 
