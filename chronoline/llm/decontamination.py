@@ -15,7 +15,8 @@ are verified by exact comparison of shingle texts.
 Candidate search, verification and joins work on distinct texts (by SHA-256), so a
 third of the table being copies of one text costs one text. The sketches are
 broadcast only if counted to hold at most `BROADCAST_ROWS` values; beyond, they are
-an ordinary join side.
+an ordinary join side. The texts of candidates are fetched by a sort-merge join at any
+size, as their number grows with the corpus.
 
 Defined cases: null, empty or blank texts hold nothing and are held by nothing. Null
 ids and repeated rows appear as often as they occur; items of equal text each count.
@@ -34,6 +35,10 @@ SHINGLE, PERCENT = 5, 80
 BROADCAST_ROWS = 2_000_000
 
 
+def digest_of(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
 def shingle_hashes(words: Column, size: int) -> Column:
     """A hash of each run of `size` words."""
     def of(hashes):
@@ -82,7 +87,7 @@ def contained_in_texts(docs: DataFrame, items: DataFrame, text: str = "text", pe
     values, ceiling, sizes = facts[0] or 0, facts[1], sorted(facts[2])
     probes = index.select("item_id", "size", F.explode("sketch").alias("h"))
     probes = F.broadcast(probes) if values <= BROADCAST_ROWS else probes
-    keyed = docs.where(F.col(text).isNotNull()).select(F.sha2(F.col(text), 256).alias("digest"), F.col(text).alias("__text"))
+    keyed = docs.where(F.col(text).isNotNull()).select(digest_of(F.col(text)).alias("digest"), F.col(text).alias("__text"))
     low = keyed.select("digest", words_of(F.lower("__text")).alias("w"))
 
     def below_ceiling(k):
@@ -97,7 +102,7 @@ def contained_in_texts(docs: DataFrame, items: DataFrame, text: str = "text", pe
             .groupBy("digest", "item_id").agg(F.count(F.lit(1)).alias("hits")))
     pairs = stored(hits.join(index.select("item_id", F.size("sketch").alias("k"), "lacking"), "item_id")
                    .where(F.col("hits") >= F.col("k") - F.col("lacking")).select("digest", "item_id"), "candidates")
-    wanted = keyed.join(pairs.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"])
+    wanted = keyed.join(pairs.select("digest").distinct().hint("merge"), "digest", "left_semi").dropDuplicates(["digest"])
     held = wanted.join(pairs, "digest").join(index.select("item_id", "size", "texts", "m"), "item_id")
     shared = F.size(F.array_intersect("texts", _by_size(F.col("size"), lambda k: shingle_texts(words_of(F.lower("__text")), k))))
     return (held.select("digest", "item_id", F.col("m").alias("n_shingles"), shared.alias("n_shared"))
@@ -112,7 +117,7 @@ def contained(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", tex
               item_id: str = "item_id", item_text: str = "text", percent: int = PERCENT) -> DataFrame:
     """A row for each document and each item that it holds."""
     found = stored(contained_in_texts(docs, _items(benchmark, item_id, item_text), text, percent), "contained")
-    ids = docs.select(F.col(doc_id).alias("doc_id"), F.sha2(F.col(text), 256).alias("digest"))
+    ids = docs.select(F.col(doc_id).alias("doc_id"), digest_of(F.col(text)).alias("digest"))
     return ids.join(found, "digest").select(
         "doc_id", "item_id", F.col("n_shingles").cast("long"), F.col("n_shared").cast("long"),
         (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
@@ -122,7 +127,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", per
     """The documents that hold no item, columns as they are."""
     found = stored(contained_in_texts(docs, _items(benchmark, "item_id", "text"), text, percent)
                    .select(F.col("digest").alias("__digest")).distinct(), "contained")
-    return (docs.withColumn("__digest", F.sha2(F.col(text), 256)).join(found, "__digest", "left_anti").drop("__digest"))
+    return (docs.withColumn("__digest", digest_of(F.col(text))).join(found.hint("merge"), "__digest", "left_anti").drop("__digest"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
