@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoline.llm import decontamination, licenses, packing, pii, quality, simhash, substring, url_filters, warc
+from chronoline.llm import chat, decontamination, licenses, packing, pii, quality, simhash, substring, url_filters, warc
 from chronoline.session import apply_defaults
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_url_filters": url_filters.op2_url_filters,
     "op3_packing": packing.op3_packing,
+    "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_warc": warc.op5_warc,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_substring_dedup": substring.op7_substring_dedup,
@@ -20,7 +21,7 @@ QUERIES = {
     "op9_pii": pii.op9_pii,
     "op10_license_scans": licenses.op10_license_scans,
 }
-ORACLES = {"op7_substring_dedup": substring.OP7_SQL, "op6_decontamination": decontamination.OP6_SQL, "op2_url_filters": url_filters.op2_sql(), "op5_warc": warc.OP5_SQL}
+ORACLES = {"op4_chat_formatting": chat.OP4_SQL, "op7_substring_dedup": substring.OP7_SQL, "op6_decontamination": decontamination.OP6_SQL, "op2_url_filters": url_filters.op2_sql(), "op5_warc": warc.OP5_SQL}
 
 
 def _with_defaults(fn):
