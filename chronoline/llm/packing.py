@@ -41,6 +41,13 @@ SCHEMA = ("doc_id long, start long, length long, ids binary, doc_tokens long, "
           "sequence_id long, offset long, cost double")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in the vocabulary: its own if it prints, else one from 256 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class _Words(dict):
     """Token ids (little-endian, 32 bits) by word; the words of the last generation are kept too.
 
@@ -51,6 +58,7 @@ class _Words(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer, self.old = Tokenizer.from_file(path), {}
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
 
     def __missing__(self, word: str) -> bytes:
         out = self.old.get(word)
@@ -67,8 +75,13 @@ class _Words(dict):
         if len(word) > 1 and word[-1] in ".,;:!?" and word[-2].isalpha() and word[-2] != "\u0130":
             return self[word[:-1]] + self[word[-1]]
         # A special token in capitals is ordinary text.
-        if "|" not in word and word != (low := word.lower()) and max(word) <= "\xff":
-            return self[low]
+        if word and "|" not in word and max(word) <= "\xff":
+            if word != (low := word.lower()):
+                return self[low]
+            # Small letters alone are one piece, which no normalisation changes.
+            if word.isalpha():
+                pieces = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+                return np.array([p.id for p in pieces], dtype="<u4").tobytes()
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
