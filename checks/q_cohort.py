@@ -215,7 +215,10 @@ def available_samples(spark, sf):
     return resample.available_samples(v.table(spark, sf, "orders"))
 
 
-@Q.add()
+@Q.add(f"""
+select draw, patient_id, cast(floor((age_min + ({_draw("concat_ws('|', '0', draw, 'noise')")} * 2 - 1) * 0.05::double * (age_min / 525600.0::double) * 365 * 1440) / 1440) * 1440 as bigint) as age_min
+from (select draw, cast(floor({_draw("'0|' || cast(draw as varchar)")} * (select count(distinct patient_id) from evd)) as bigint) + 1 as pick from (select unnest(range(1000)) as draw)) d
+join (select patient_id, age_min, row_number() over (order by md5('0|' || patient_id), patient_id) as rn from (select patient_id, min(age_min) as age_min from evd group by 1)) a on a.rn = d.pick""")
 def sample_ages(spark, sf):
     ages = v.evd(spark, sf).groupBy("patient_id").agg(F.min("age_min").alias("age_min"))
     return resample.sample_ages(ages, 1000)
@@ -224,9 +227,8 @@ def sample_ages(spark, sf):
 @Q.add(f"""
 select epoch, cast(draw as bigint) as draw, drawn as patient_id from (
  select 3 as epoch, p.draw, arg_max(l.patient_id, l.start) as drawn from
- (select row_number() over (order by md5('0|' || patient_id), patient_id) as draw from {_PEOPLE}) n
- join (select draw, {_draw("concat_ws('|', '0', '3', draw)")} * (select sum(least(greatest(n / 64.0::double, 1), 10)) from (select count(*) as n from evd group by patient_id)) as x
-   from (select unnest(range(1, (select count(*) from {_PEOPLE}) + 1)) as draw)) p on p.draw = n.draw
+ (select draw, {_draw("concat_ws('|', '0', '3', draw)")} * total as x
+   from (select total, unnest(range(1, cast(ceil(total) as bigint) + 1)) as draw from (select sum(least(greatest(n / 64.0::double, 1), 10)) as total from (select count(*) as n from evd group by patient_id)))) p
  join (select patient_id, coalesce(sum(w) over (order by md5('0|' || patient_id), patient_id rows between unbounded preceding and 1 preceding), 0) as start
    from (select patient_id, least(greatest(count(*) / 64.0::double, 1), 10) as w from evd group by 1)) l on l.start < p.x group by p.draw)""")
 def epoch_resample(spark, sf):

@@ -90,7 +90,7 @@ def _matched(spark, sf):
     """Windows with baseline, joined to events."""
     def make(spark, sf):
         based = simeval.baseline_creatinine(v.windows(spark, sf), _observed(spark, sf), RULES)
-        return simeval.window_to_events(based, v.evd(spark, sf), v.simulated(spark, sf), carry=["base_cre"])
+        return simeval.window_to_events(based, v.evd(spark, sf), v.simulated(spark, sf), carry=["base_cre"], order="event_id")
     return v.stage(spark, sf, "matched", make)
 
 
@@ -225,19 +225,21 @@ def correlation_matrix(spark, sf):
 
 
 _NUM = "try_cast(nullif(regexp_extract(result, '^([+-]?\\d*\\.?\\d+(?:[eE][-+]?\\d+)?)', 1), '') as double)"
-_REACH = f"""(select {_K}, sim_id, h as reach, age_min, code, {_NUM} as x, result from {_MATCHED} cross join (select unnest(range(1, 8)) as h)
- where type = 6 and cast(ceil((age_min - eval_min) / 1440.0) as int) <= h and code in ('LAB1', 'LAB2'))"""
-
-
-@Q.add(f"""select case when sim_id = 'real' then 'real' else 'simulation' end as source, cast(s.reach as int) as horizon, count(*) as n_rows, count(LAB1) as n_1, count(LAB2) as n_2,
- round(avg(LAB1), 6) as mean_1, round(avg(LAB2), 6) as mean_2 from (select *, r as reach from {_SPINE} cross join (select unnest(range(1, 8)) as r)) s
- left join (select {_K}, sim_id, reach, age_min, arg_min(x, result) filter (code = 'LAB1') as LAB1, arg_min(x, result) filter (code = 'LAB2') as LAB2 from {_REACH} where x is not null group by all) p
- using ({_K}, sim_id, reach) group by 1, 2""")
+_ORDERED = f"""(select s.patient_id, admission_no, day, eval_min, 'real' as sim_id, event_id, type, age_min, code, result from snap s join evd e on e.patient_id = s.patient_id and type <> 0 and age_min > eval_min and age_min <= eval_min + 10080
+ union all select s.patient_id, s.admission_no, s.day, eval_min, sim_id, event_id, type, age_min, code, result from snap s join simulations m on m.patient_id = s.patient_id and m.admission_no = s.admission_no and m.day = s.day and type <> 0 and age_min > eval_min and age_min <= eval_min + 10080)"""
+_REACH = f"""(select {_K}, sim_id, h as reach, event_id, type, age_min, code, {_NUM} as x from {_ORDERED} cross join (select unnest(range(1, 8)) as h)
+ where age_min <= eval_min + h * 1440)"""
+_FIRST = ", ".join(f"arg_min(x, event_id) filter (code = '{x}') as {x}" for x in _LAB_CODES)
+
+
+@Q.add(f"""select * from (with reached as {_REACH},
+wide as (select {_K}, sim_id, reach, age_min, {_FIRST} from reached where type = 6 and x is not null and code in ({', '.join(f"'{x}'" for x in _LAB_CODES)}) group by all),
+spine as (select {_K}, sim_id, r as reach from (select distinct {_K}, sim_id from simulations) cross join (select unnest(range(1, 8)) as r)
+ union all select distinct {_K}, sim_id, reach from reached where sim_id = 'real')
+select {_K}, sim_id, cast(reach as int) as reach, age_min, {', '.join(_LAB_CODES)}, case when sim_id = 'real' then 'real' else 'simulation' end as source
+from spine left join wide using ({_K}, sim_id, reach))""")
 def lab_distribution(spark, sf):
-    wide = simeval.lab_distribution(_matched(spark, sf), _spine(spark, sf), ["LAB1", "LAB2"])
-    return wide.groupBy("source", F.col("reach").alias("horizon")).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count("LAB1").alias("n_1"), F.count("LAB2").alias("n_2"),
-        F.round(F.avg("LAB1"), 6).alias("mean_1"), F.round(F.avg("LAB2"), 6).alias("mean_2"))
+    return simeval.lab_distribution(_matched(spark, sf), _spine(spark, sf), _LAB_CODES)
 
 
 @Q.add("""

@@ -403,11 +403,18 @@ def time_shuffle(spark, sf):
                       F.col("row_no").cast("long").alias("row_no"), F.col("new_row_no").cast("long").alias("new_row_no"))
 
 
-@Q.add()
+_NOISE = "cast(floor(cast('0x' || substr(md5(concat_ws('|', '0', '1', patient_id, 'noise')), 1, 13) as bigint)::double / 4503599627370496.0 * 121) as bigint) - 60"
+
+
+@Q.add(f"""
+select patient_id, row_no, noise as noise_min, case when type = 0 then age_min else new_age end as age_min,
+ case when priority = 0 and row_no <> 0 and label <> {fv.IGNORED_LABEL} then {time_bin_sql('new_prev', 'new_age', '500')} else label end as label
+from (select *, greatest(age_min + noise, head) as new_age, greatest(prev + noise, head) as new_prev
+ from (select *, {_NOISE} as noise, max(age_min) filter (row_no = 0) over (partition by patient_id) as head from {_LABELLED}))""")
 def time_noise(spark, sf):
     labelled = build(spark, sf).labelled()
     out = matrix.time_noise(labelled, 1, 500)
-    return out.select("patient_id", "row_no", "noise_min", "age_min", "label")
+    return out.select("patient_id", F.col("row_no").cast("long").alias("row_no"), "noise_min", "age_min", "label")
 
 
 @Q.add(f"""
@@ -446,10 +453,20 @@ _ASKED = "(select patient_id, eval_min as as_of, patient_id || ':' || admission_
 
 
 @Q.add(f"""
-select request_id, count(*) as n_rows, count(*) filter (priority = 0) as n_times, max(age_min) as last_age from (
- select distinct request_id, age_min, type, sort_code, priority, original_value, num, t0, t1, t2, t3, t4 from (
-  select a.request_id, k.* from {_ASKED} a join known_rows k on k.patient_id = a.patient_id and (k.type = 0 or (k.age_min <= as_of and k.time_available_min <= as_of))))
- group by 1""")
+select * from (with known as (select request_id, ts, age_min, type, sort_code, priority, original_value, num, t0, t1, t2, t3, t4, min(rid) as rid from (
+  select a.request_id, k.* from {_ASKED} a join known_rows k on k.patient_id = a.patient_id and (k.type = 0 or (k.age_min <= as_of and k.time_available_min <= as_of)))
+ group by all),
+sorted as (select *, row_number() over w as place, lag(priority) over w as before, min(age_min) filter (type <> 0) over (partition by request_id) as first_age
+ from known window w as (partition by request_id order by case when type = 0 then -1 else age_min end, type, sort_code, priority, rid)),
+numbered as (select *, row_number() over (partition by request_id order by place) - 1 as row_no,
+  case when type = 0 then coalesce(first_age // 1440 * 1440, age_min) else age_min end as age
+ from sorted where not (priority = 0 and coalesce(before, 1) = 0)),
+stepped as (select *, lag(age) over (partition by request_id order by row_no) as prev from numbered)
+select request_id, row_no, age as age_min, type, original_value, round(num, 6) as num,
+ cast(case when row_no = 0 then -1 when priority = 0 then {time_bin_sql('prev', 'age', "(select min(label) from catalog where kind = 'time')")}
+  when num is not null then (select min(label) from catalog where kind = 'numeric') + round(num * 50)
+  when t0 <> 0 and t1 = 0 then t0 else coalesce(code_label, -1) end as int) as label
+from stepped left join (select original_value as value, min(label) as code_label from catalog where kind in ('dx', 'med', 'lab') group by 1) c on c.value = original_value)""")
 def single_patient_timeline(spark, sf):
     """Timelines as of every evaluation time, in one job."""
     b = build(spark, sf)
@@ -458,9 +475,8 @@ def single_patient_timeline(spark, sf):
         F.concat_ws(":", "patient_id", F.col("admission_no").cast("string"), F.col("day").cast("string"))
         .alias("request_id"))
     rows = plan.timelines_as_of(b.cleaned, b.people, requests, b.voc, SETTINGS)
-    return rows.groupBy("request_id").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("priority") == 0).alias("n_times"),
-        F.max(F.when(F.col("type") != 0, F.col("age_min"))).alias("last_age"))
+    return rows.select("request_id", F.col("row_no").cast("long").alias("row_no"), "age_min", "type", "original_value",
+                       F.round("numeric", 6).alias("num"), "label")
 
 
 @Q.add("""

@@ -197,22 +197,29 @@ def time_shuffle(rows: DataFrame, replicates: int = 1, seed: int = 0, head: int
 def time_noise(labelled: DataFrame, epoch: int, first_time_label: int, seed: int = 0,
                span: int = 60, small: int = 10, large: int = 60, segment_minutes: int = 7 * DAY
                ) -> DataFrame:
-    """Shift all non-demographic times of a patient by one random offset within an hour."""
+    """Shift all non-demographic times of a patient by one random offset within an hour.
+
+    Both ends of a step move, so its length stays; none passes the age of the
+    patient's first demographic row.
+    """
     u = c.digest_uniform(c.stable_digest(seed, F.lit(epoch), "patient_id", F.lit("noise")))
     offset = (F.floor(u * (2 * span + 1)) - span).cast("long")
     head = F.col("type") == fv.DEMOGRAPHICS
-    moved = labelled.withColumn("noise_min", offset).withColumn(
-        "age_min", F.when(head, F.col("age_min"))
-        .otherwise(F.greatest(F.col("age_min") + F.col("noise_min"), F.lit(0))))
-    scanned = o.ordered_scan(moved, ["patient_id"], ["age_min", "row_no"],
+    floor = F.when(F.col("row_no") == 0, F.col("age_min"))
+    scanned = o.ordered_scan(labelled.withColumn("noise_min", offset), ["patient_id"], ["age_min", "row_no"],
                              o.time_segment("age_min", segment_minutes),
-                             {"__prev": o.lag(F.col("age_min"))})
+                             {"__prev": o.lag(F.col("age_min")), "__floor": o.total("max", floor)})
+
+    def noisy(age: str) -> Column:
+        return F.greatest(F.col(age) + F.col("noise_min"), F.coalesce("__floor", F.lit(0)))
+
+    moved = scanned.withColumn("__prev", noisy("__prev")).withColumn(
+        "age_min", F.when(head, F.col("age_min")).otherwise(noisy("age_min"))).drop("__floor")
     is_time = F.col("years").isNotNull()
     relabel = is_time & (F.col("row_no") != 0) & (F.col("label") != fv.IGNORED_LABEL)
-    # a step may turn negative when the shift passes the demographic day
-    prev = F.least(F.col("__prev"), F.col("age_min"))
+    prev = F.col("__prev")
     parts = c.age_components("age_min")
-    return (scanned
+    return (moved
             .withColumn("label", F.when(relabel, c.time_bin_label(prev, "age_min", first_time_label,
                                                                   small, large))
                         .otherwise(F.col("label")).cast("int"))

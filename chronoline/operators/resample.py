@@ -93,14 +93,13 @@ def subsample_trajectories(ids: DataFrame, keys: Sequence[str], sizes: Sequence[
 
 
 def draw_samples(df: DataFrame, n: int, key: Sequence[str], seed: int = 0) -> DataFrame:
-    """`n` rows without replacement, in digest order; `available` holds the row count."""
-    keyed = df.withColumn("__d", c.stable_digest(seed, *key))
-    ranked = o.ordered_scan(keyed, [], ["__d", *key], o.hash_segment("__d"), {
-        "__r": o.row_number(), "available": o.total("sum", F.lit(1))})
+    """The `n` rows of least digest, without replacement; `available` holds the row count."""
+    available = df.select(F.count(F.lit(1))).scalar()
     enough = F.when(F.col("available") >= n, F.lit(True)).otherwise(
         F.raise_error(F.concat(F.lit(f"asked for {n} samples, available: "),
                                F.col("available").cast("string"))).cast("boolean"))
-    return ranked.filter(enough & (F.col("__r") <= n)).drop("__r", "__d")
+    least = df.withColumn("__d", c.stable_digest(seed, *key)).orderBy("__d", *key).limit(n)
+    return least.withColumn("available", available).filter(enough).drop("__d")
 
 
 def draw_with_replacement(df: DataFrame, n: int, key: Sequence[str], seed: int = 0) -> DataFrame:
@@ -129,7 +128,7 @@ def sample_ages(ages: DataFrame, n: int, noise: float = 0.05, seed: int = 0) ->
 
 def epoch_resample(metadata: DataFrame, max_length: int, epoch: int, seed: int = 0,
                    max_weight: float = 10.0) -> DataFrame:
-    """Length-weighted draw with replacement, as many as there are timelines.
+    """Length-weighted draw with replacement, as many as the weights add up to (rounded up).
 
     Weights are clip(length / max_length, 1, max_weight). Points on the
     cumulative weight line are matched to timelines with an ordered scan.
@@ -138,10 +137,11 @@ def epoch_resample(metadata: DataFrame, max_length: int, epoch: int, seed: int =
     keyed = metadata.select("patient_id", weight.alias("__w")).withColumn(
         "__d", c.stable_digest(seed, "patient_id"))
     line = o.ordered_scan(keyed, [], ["__d", "patient_id"], o.hash_segment("__d"), {
-        "__end": o.running_sum(F.col("__w")), "__i": o.row_number()})
+        "__end": o.running_sum(F.col("__w"))})
     total = keyed.select(F.sum("__w")).scalar()
-    n = keyed.select(F.count(F.lit(1))).scalar()
-    points = line.select(F.col("__i").alias("draw")).withColumn(
+    n = F.ceil(total)
+    whole = keyed.agg(F.ceil(F.sum("__w")).alias("__n")).where("__n > 0")
+    points = whole.select(F.explode(F.sequence(F.lit(1).cast("long"), "__n")).alias("draw")).withColumn(
         "__x", c.digest_uniform(c.stable_digest(seed, F.lit(epoch), "draw")) * total)
     starts = line.select((F.col("__end") - F.col("__w")).alias("__x"), F.lit(0).alias("__r"),
                          "patient_id", F.lit(None).cast("long").alias("draw"))

@@ -78,15 +78,18 @@ class TaskRules:
 
 
 def window_to_events(windows: DataFrame, events: DataFrame, simulations: DataFrame,
-                     horizon_days: int = 7, carry: Sequence[str] = ()) -> DataFrame:
+                     horizon_days: int = 7, carry: Sequence[str] = (),
+                     order: str | None = None) -> DataFrame:
     """Real and simulated events of (eval, eval + horizon] per window.
 
+    `order` names the column of both inputs that holds the order of their rows.
+
     Adds `sim_id` ("real" for observed rows) and `horizon`, the first horizon
     in days that reaches the event.
     """
     spans = windows.select(*WINDOW, "eval_min", *carry).withColumns({
         "start_min": F.col("eval_min"), "end_min": F.col("eval_min") + horizon_days * DAY})
-    columns = ["type", "age_min", "code", "result"]
+    columns = ["type", "age_min", "code", "result"] + ([order] if order else [])
     real = events_in_windows(
         events.filter(F.col("type") != fv.DEMOGRAPHICS).select("patient_id", *columns), spans)
     real = real.withColumn("sim_id", F.lit(REAL))
@@ -326,15 +329,21 @@ def correlation_matrix(pivot: DataFrame, codes: Sequence[str], min_pairs: int =
 
 
 def lab_distribution(matched: DataFrame, trajectories: DataFrame, codes: Sequence[str],
-                     horizon_days: int = 7) -> DataFrame:
-    """Lab pivots per (source, horizon) of real and simulated windows."""
-    spread = matched.filter(F.col("type") == fv.LAB).withColumn(
-        "reach", F.explode(F.sequence("horizon", F.lit(horizon_days))))
+                     horizon_days: int = 7, order: str = "event_id") -> DataFrame:
+    """Lab pivots per (source, horizon) of real and simulated windows.
+
+    Of several values of a code at one time the first by `order` counts. A
+    simulation without values has an empty row; a real window has one if any of
+    its events lies within the horizon.
+    """
     keys = [*WINDOW, "sim_id", "reach"]
-    spine = trajectories.select(*WINDOW, "sim_id").withColumn(
+    onward = F.explode(F.sequence("horizon", F.lit(horizon_days)))
+    spread = matched.filter(F.col("type") == fv.LAB).withColumn("reach", onward)
+    simulated = trajectories.filter(F.col("sim_id") != REAL).select(*WINDOW, "sim_id").withColumn(
         "reach", F.explode(F.sequence(F.lit(1), F.lit(horizon_days))))
-    tied = spread.withColumn("__o", F.col("result"))
-    wide = lab_pivot(tied, codes, keys, "__o", fill=spine)
+    seen = (matched.filter(F.col("sim_id") == REAL).groupBy(*WINDOW, "sim_id").agg(F.min("horizon").alias("horizon"))
+            .withColumn("reach", onward).drop("horizon"))
+    wide = lab_pivot(spread, codes, keys, order, fill=simulated.unionByName(seen))
     source = F.when(F.col("sim_id") == REAL, F.lit("real")).otherwise(F.lit("simulation"))
     return wide.withColumn("source", source)
 
@@ -384,7 +393,7 @@ def length_calibration(lengths: DataFrame, levels: int = 21) -> DataFrame:
     high = F.element_at("__q", F.col("i") + 1 + levels) - F.when(
         F.col("i") == 0, F.lit(0.01)).otherwise(F.lit(0.0))
     return out.select(
-        *keys, (F.col("i") * (100 // steps)).cast("int").alias("level"), low.alias("low"),
+        *keys, (F.col("i") * 100 / F.lit(steps)).cast("int").alias("level"), low.alias("low"),
         high.alias("high"), "n_tokens",
         ((low <= F.col("n_tokens")) & (F.col("n_tokens") <= high)).cast("int").alias("within"))
 

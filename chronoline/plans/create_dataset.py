@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoline import fixed_values as fv
+from chronoline.functions import ordered
 from chronoline.operators import cohort, labstats, matrix, timeline, vocab
 from chronoline.operators.clean import clean_records, flag_periods
 from chronoline.schema import CLEANING_RULES
@@ -16,6 +17,8 @@ from chronoline.settings import Settings
 
 RECORD_TABLES = ("admissions", "discharges", "diagnoses", "prescription_orders",
                  "injection_orders", "laboratory_results")
+# Rows of one piece where a timeline is scanned by row number.
+ROW_PIECE = 4096
 
 
 @dataclass
@@ -183,6 +186,11 @@ def timelines_as_of(cleaned: dict[str, DataFrame], patients: DataFrame, requests
         sequence_tables(named, people, voc, settings), voc.width))
     line = timeline.build_timeline(rows, None, fv.OPERATIONAL_TOKENS.index("[EOT]"), voc.width,
                                    end_row=False, segment_minutes=settings.segment_minutes)
+    # Of two time rows in a row the later one goes, and the rows are numbered anew.
+    kept = timeline.drop_repeated_time_rows(line, ["row_no"], F.col("priority") == 0, ROW_PIECE)
+    numbered = ordered.ordered_scan(kept, ["patient_id"], ["row_no"], F.floor(F.col("row_no") / F.lit(ROW_PIECE)),
+                                    {"__n": ordered.row_number()})
+    line = numbered.withColumn("row_no", (F.col("__n") - 1).cast("int")).drop("__n")
     labelled = label_rows(line, voc, None, settings)
     return labelled.withColumnRenamed("patient_id", "request_id")
 
