@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _SEG = "__seg"
+_KEY = "__key"
 
 
 class Scan:
@@ -81,14 +82,12 @@ def ordered_scan(
 
     `segment` must be a function of the leading order column that never falls
     as that column rises. `order` is ascending and must be total in a group.
-    An empty `keys` ranks the whole table.
+    An empty `keys` ranks the whole table. Null keys form a group of their own
+    and null order values come first: group and piece are structs, which are
+    never null themselves and compare null fields as equal.
     """
-    if not keys:
-        df = df.withColumn("__all", F.lit(0))
-        keys = ["__all"]
-    keys = list(keys)
-    base = df.withColumn(_SEG, segment)
-    inner = [*keys, _SEG]
+    base = df.withColumns({_KEY: F.struct(*keys) if keys else F.struct(F.lit(0)), _SEG: F.struct(segment)})
+    inner = [_KEY, _SEG]
     wl = Window.partitionBy(*inner).orderBy(*_asc(order))
     before = wl.rowsBetween(Window.unboundedPreceding, -1)
     upto = wl.rowsBetween(Window.unboundedPreceding, 0)
@@ -126,10 +125,10 @@ def ordered_scan(
         else:
             raise ValueError(scan.kind)
 
-    wp = Window.partitionBy(*keys).orderBy(_SEG)
+    wp = Window.partitionBy(_KEY).orderBy(_SEG)
     p_before = wp.rowsBetween(Window.unboundedPreceding, -1)
     p_after = wp.rowsBetween(1, Window.unboundedFollowing)
-    p_all = Window.partitionBy(*keys)
+    p_all = Window.partitionBy(_KEY)
     carried: dict[str, Column] = {}
     for name, scan in outputs.items():
         col = F.col(f"__p_{name}")
@@ -167,7 +166,7 @@ def ordered_scan(
         else:
             value = car
         result.append(value.alias(name))
-    kept = [c for c in df.columns if c != "__all" and c not in outputs]
+    kept = [c for c in df.columns if c not in outputs]
     return joined.select(*kept, *result)
 
 
@@ -187,6 +186,14 @@ def number_segment(value: str | Column) -> Column:
     return (F.when(v > 0, piece).when(v < 0, -piece).otherwise(F.lit(0))).cast("long")
 
 
+def digits_for(rows: int, piece: int = 100_000) -> int:
+    """Digits of a digest that cut so many rows into pieces of at most about `piece` rows."""
+    digits = 1
+    while 16 ** digits * piece < rows:
+        digits += 1
+    return digits
+
+
 def hash_segment(text: str | Column, digits: int = 3) -> Column:
     """Piece of a hexadecimal digest: its first digits."""
     col = F.col(text) if isinstance(text, str) else text

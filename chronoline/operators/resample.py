@@ -105,9 +105,10 @@ def draw_samples(df: DataFrame, n: int, key: Sequence[str], seed: int = 0) -> Da
 def draw_with_replacement(df: DataFrame, n: int, key: Sequence[str], seed: int = 0) -> DataFrame:
     """`n` rows drawn with replacement, numbered by `draw`."""
     keyed = df.withColumn("__d", c.stable_digest(seed, *key))
-    indexed = o.ordered_scan(keyed, [], ["__d", *key], o.hash_segment("__d"), {
+    size = df.count()
+    indexed = o.ordered_scan(keyed, [], ["__d", *key], o.hash_segment("__d", o.digits_for(size)), {
         "__i": o.row_number()}).drop("__d")
-    total = df.select(F.count(F.lit(1))).scalar()
+    total = F.lit(size)
     draws = df.sparkSession.range(n).select(F.col("id").alias("draw"))
     draws = draws.withColumn("__i", c.digest_index(c.stable_digest(seed, "draw"), total) + 1)
     return draws.join(indexed, "__i").drop("__i")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from chronoline.functions import ordered as o
 from chronoline.functions import scalars as c
 from chronoline.schema import EVENT_VIEW, SOURCES, TableSpec
 
+HEADER_READERS = 8
+
 
 def _typed(name: str, kind: T.DataType) -> Column:
     text = F.when(F.col(name).isin(*fv.NULL_STRINGS), None).otherwise(F.col(name))
@@ -28,23 +32,39 @@ def _typed(name: str, kind: T.DataType) -> Column:
     return text
 
 
+def _by_header(spark: SparkSession, path: str | list[str]) -> dict[tuple[str, ...], list[str]]:
+    """The files of a path or glob by their header line; only these lines come to the driver."""
+    files = [r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect()]
+    with ThreadPoolExecutor(HEADER_READERS) as readers:
+        headers = readers.map(lambda f: tuple(spark.read.csv(f, header=True, inferSchema=False).columns), files)
+        groups: dict[tuple[str, ...], list[str]] = {}
+        for file, header in zip(files, headers, strict=True):
+            groups.setdefault(header, []).append(file)
+    return groups
+
+
 def read_records(spark: SparkSession, path: str | list[str], spec: TableSpec | str) -> DataFrame:
-    """Read the CSV files of one table and cast them by its declaration.
+    """Read the CSV files of one table by column name and cast them by its declaration.
 
-    Dates must follow the declared format (other text is an error), numbers
-    that cannot be read become null, absent optional columns become nulls and
-    an absent required column is an error.
+    Every file is read by its own header, so files may differ in the order and
+    choice of columns. Dates must follow the declared format (other text is an
+    error), numbers that cannot be read become null, optional columns that a
+    file lacks become nulls and an absent required column is an error.
     """
     spec = SOURCES[spec] if isinstance(spec, str) else spec
-    raw = spark.read.csv(path, header=True, inferSchema=False)
-    missing = [n for n in spec.columns if n not in raw.columns]
-    required = [n for n in missing if n not in spec.optional]
-    if required:
-        raise ValueError(f"required columns are missing: {required}")
-    return raw.select(*[
-        (F.lit(None).cast(t) if n in missing else _typed(n, t)).alias(n)
-        for n, t in spec.columns.items()
-    ])
+    parts = []
+    for header, files in _by_header(spark, path).items():
+        missing = [n for n in spec.columns if n not in header]
+        required = [n for n in missing if n not in spec.optional]
+        if header and required:
+            raise ValueError(f"required columns are missing: {required} in {files[0]}")
+        if header:
+            parts.append(spark.read.csv(files, header=True, inferSchema=False).select(*[
+                (F.lit(None).cast(t) if n in missing else _typed(n, t)).alias(n)
+                for n, t in spec.columns.items()]))
+    if not parts:
+        raise ValueError(f"no file with a header: {path}")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def validate_table(df: DataFrame, spec: TableSpec | str,
@@ -89,7 +109,7 @@ def assign_record_ids(df: DataFrame, table: str, key: Sequence[str],
     sees the whole table, and it does not depend on how the rows are laid out.
     """
     digest = df.withColumn("__d", F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key])))
-    ranked = o.ordered_scan(digest, [], ["__d", *key], o.hash_segment("__d"),
+    ranked = o.ordered_scan(digest, [], ["__d", *key], o.hash_segment("__d", o.digits_for(df.count())),
                             {"__n": o.row_number()})
     prefix = fv.RECORD_ID_PREFIXES[table]
     return ranked.withColumn(out, F.concat(F.lit(prefix), F.col("__n").cast("string"))

@@ -73,3 +73,18 @@ def test_one_shuffle_of_the_rows_and_no_product(spark, skewed):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
     # rows once; condensed pieces: combine, order, join
     assert plan.count("Exchange hashpartitioning") == 4
+
+
+def test_null_keys_and_null_order_values(spark):
+    rows = [(k, x, i) for i, (k, x) in enumerate([(None, 5), (None, None), (None, 70), ("a", None), ("a", 3), ("a", 99), (None, 5)])]
+    frame = spark.createDataFrame(rows, "k string, x long, i long").repartition(3)
+    got = o.ordered_scan(frame, ["k"], ["x", "i"], o.time_segment("x", 10), {
+        "n": o.row_number(), "s": o.running_sum(F.col("i")), "p": o.lag(F.col("i")), "q": o.lead(F.col("i")),
+        "t": o.total("sum", F.lit(1))}).collect()
+    assert sorted((r["i"], r["n"], r["s"], r["p"], r["q"], r["t"]) for r in got) == [
+        (0, 2, 1, 1, 6, 4), (1, 1, 1, None, 0, 4), (2, 4, 9, 6, None, 4), (3, 1, 3, None, 4, 3), (4, 2, 7, 3, 5, 3),
+        (5, 3, 12, 4, None, 3), (6, 3, 7, 0, 2, 4)]
+
+
+def test_digits_follow_the_number_of_rows():
+    assert [o.digits_for(n) for n in (0, 1_600_000, 1_600_001, 10 ** 12)] == [1, 1, 2, 6]

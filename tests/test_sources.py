@@ -104,3 +104,30 @@ def test_stateless_stages_run_on_a_stream(spark, tmp_path, patients):
     want = clean_stream(batch, *args)
     assert sorted(map(str, spark.table("cleaned").collect())) == sorted(map(str, want.collect()))
     assert want.count() == 1 and want.select(c.age_text("age_min").alias("t")).first()["t"].endswith("01:01")
+
+
+def test_files_are_read_by_their_own_header(spark, tmp_path):
+    write(tmp_path, "a.csv", "patient_id,timestamp,item_code", "p1,2020/01/01 00:00,X")
+    write(tmp_path, "b.csv", "item_code,patient_id,timestamp,extra", "Y,p2,2020/01/02 00:00,z")
+    got = records.read_records(spark, str(tmp_path / "*.csv"), "prescription_orders")
+    assert sorted((r["patient_id"], r["item_code"]) for r in got.collect()) == [("p1", "X"), ("p2", "Y")]
+
+
+def test_optional_columns_are_settled_per_file(spark, tmp_path):
+    write(tmp_path, "a.csv", "department,patient_id,timestamp", "d,p1,2020/01/01 00:00")
+    write(tmp_path, "b.csv", "patient_id,timestamp", "p2,2020/01/02 00:00")
+    got = records.read_records(spark, str(tmp_path / "*.csv"), "admissions")
+    assert sorted((r["patient_id"], r["department"]) for r in got.collect()) == [("p1", "d"), ("p2", None)]
+    write(tmp_path, "c.csv", "timestamp", "2020/01/02 00:00")
+    with pytest.raises(ValueError, match="patient_id"):
+        records.read_records(spark, str(tmp_path / "*.csv"), "admissions")
+
+
+def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
+    from chronoline import session
+
+    class Cluster:
+        sparkContext = type("C", (), {"master": "spark://host:7077", "applicationId": "x"})()
+        conf = type("F", (), {"get": staticmethod(lambda key, default=None: default)})()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Cluster())
