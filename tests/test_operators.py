@@ -290,3 +290,45 @@ def test_digest_uniform_range(spark):
     got = spark.range(1000).select(c.digest_uniform(c.stable_digest(0, "id")).alias("u")).agg(
         F.min("u"), F.max("u"), F.avg("u")).first()
     assert 0 <= got[0] < 0.01 and 0.99 < got[1] < 1 and abs(got[2] - 0.5) < 0.05
+
+
+@pytest.mark.parametrize("noise,ages,labels", [(30, [1440000, 1440000, 1440040, 1440070], [-1, 7, 501, 503]),
+                                               (-56, [1440000, 1440000, 1440000, 1440000], [-1, 7, 500, 500]),
+                                               (-15, [1440000, 1440000, 1440000, 1440025], [-1, 7, 500, 502])])
+def test_noise_moves_both_ends_of_a_step(rows, monkeypatch, noise, ages, labels):
+    from chronoline.operators import matrix
+    monkeypatch.setattr(matrix.c, "digest_uniform", lambda d: F.lit((noise + 60.5) / 121))
+    line = rows([("p", 0, 1440000, 0, 2, -1), ("p", 1, 1440000, 0, None, 7), ("p", 2, 1440010, 3, 2, 501), ("p", 3, 1440040, 3, 2, 503)],
+                "patient_id string, row_no int, age_min long, type int, years int, label int")
+    got = matrix.time_noise(line, 1, 500).orderBy("row_no").collect()
+    assert [r["age_min"] for r in got] == ages and [r["label"] for r in got] == labels
+    assert {r["noise_min"] for r in got} == {noise}
+
+
+def test_epoch_draws_follow_the_weights(rows):
+    from chronoline.operators import resample
+    lengths = rows([("a", 10), ("b", 96), ("c", 64 * 30)], "patient_id string, effective_length long")
+    got = resample.epoch_resample(lengths, 64, 0).collect()  # weights 1, 1.5 and 10
+    assert sorted(r["draw"] for r in got) == list(range(1, 14)) and {r["patient_id"] for r in got} <= {"a", "b", "c"}
+    assert resample.epoch_resample(lengths.filter("patient_id = 'x'"), 64, 0).count() == 0
+
+
+def test_first_lab_value_is_by_row_order(rows):
+    from chronoline.operators import simeval
+    names = "patient_id string, admission_no int, day int, sim_id string, horizon int, type int, age_min long, code string, result string, event_id long"
+    matched = rows([("p", 1, 0, "real", 1, 6, 60, "L", "20 mmol/L", 1), ("p", 1, 0, "real", 1, 6, 60, "L", "100 mmol/L", 2),
+                    ("p", 1, 1, "real", 2, 3, 70, "D", "", 3), ("p", 1, 0, "s1", 2, 6, 80, "L", "7 mmol/L", 4)], names)
+    all_of = rows([("p", 1, d, s) for d in (0, 1, 2) for s in ("real", "s1")], "patient_id string, admission_no int, day int, sim_id string")
+    got = simeval.lab_distribution(matched, all_of, ["L"], 2).collect()
+    assert sorted((r["day"], r["sim_id"], r["reach"], r["L"]) for r in got if r["L"] is not None) == [
+        (0, "real", 1, 20.0), (0, "real", 2, 20.0), (0, "s1", 2, 7.0)]
+    # Simulations always have a row; real windows only with events within the horizon.
+    assert sorted((r["day"], r["sim_id"], r["reach"]) for r in got if r["L"] is None) == [
+        (0, "s1", 1), (1, "real", 2), (1, "s1", 1), (1, "s1", 2), (2, "s1", 1), (2, "s1", 2)]
+
+
+def test_repeated_time_rows_go(rows):
+    from chronoline.operators import timeline
+    line = rows([("p", i, p) for i, p in enumerate((0, 1, 0, 0, 0, 2, 0))], "patient_id string, row_no int, priority int")
+    got = timeline.drop_repeated_time_rows(line, ["row_no"], F.col("priority") == 0, 3)
+    assert sorted(r["row_no"] for r in got.collect()) == [0, 1, 2, 5, 6]
