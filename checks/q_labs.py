@@ -53,12 +53,14 @@ def nonnumeric_counts(spark, sf):
 
 
 def mixed_counts(spark, sf):
-    """Half of the brands keep only sign results, so that both token rules run."""
-    counts = labstats.nonnumeric_counts(v.labs(spark, sf))
-    return counts.filter(F.col("nonnumeric").startswith("(") | (F.substring("item_code", -1, 1) < "3"))
+    """All results; other texts of brands that end in 3 or more become a sign, so that both token rules run."""
+    text = F.when(F.col("nonnumeric").startswith("(") | (F.substring("item_code", -1, 1) < "3"), F.col("nonnumeric")).otherwise(
+        F.when(F.col("nonnumeric").isNotNull(), F.lit("(+-)")))
+    return labstats.nonnumeric_counts(v.labs(spark, sf).withColumn("nonnumeric", text))
 
 
-_MIXED = f"(select * from {_NONNUM} where nonnumeric like '(%' or substr(item_code, -1, 1) < '3')"
+_MIXED = """(select item_code, case when nonnumeric like '(%' or substr(item_code, -1, 1) < '3' then nonnumeric else '(+-)' end as nonnumeric, count(*) as "count"
+ from labs where "numeric" is null and nonnumeric is not null group by 1, 2)"""
 _TOKENS = f"""(select item_code, nonnumeric, "count", case when n_preset = n then case nonnumeric when '(+)' then '[pos]' when '(-)' then '[neg]' else '[n/p]' end
   else '[top' || cast(rk as varchar) || ']' end as token from (
   select *, row_number() over (partition by item_code order by "count" desc, nonnumeric) as rk, count(*) over (partition by item_code) as n,

@@ -186,11 +186,11 @@ def lab_cooccurrence(spark, sf):
     f"select '{a}' as code_1, '{b}' as code_2, cast(sum({a} * {b}) as bigint) as n_both from {_PRESENCE}"
     for i, a in enumerate(_LAB_CODES) for b in _LAB_CODES[i + 1:]))
 def lab_cooccurrence_pairs(spark, sf):
-    presence = simeval.lab_presence(_matched(spark, sf), _spine(spark, sf), [*WINDOW, "sim_id"], _LAB_CODES)
-    return simeval.presence_pairs(presence, _LAB_CODES)
+    present = _matched(spark, sf).filter(F.col("type") == 6)
+    return simeval.presence_pairs(present, [*WINDOW, "sim_id"], _LAB_CODES)
 
 
-_BRANDS = ["Brand#1", "Brand#2", "Brand#3", "Brand#4", "Brand#5"]
+_BRANDS = [f"Brand#{i}" for i in range(1, 26)]
 _DAYS = "epoch(ts)::bigint // 60"
 _CELL = ", ".join(f"arg_min(\"numeric\", record_no) filter (item_code = '{b}') as \"{b}\"" for b in _BRANDS)
 _PIVOT = f"""(select patient_id, {_DAYS} as age_min, {_CELL} from labs where "numeric" is not null and item_code in ({', '.join(f"'{b}'" for b in _BRANDS)}) group by 1, 2)"""
@@ -204,7 +204,7 @@ def _lab_rows(spark, sf):
                    "nonnumeric").alias("result"), "numeric")
 
 
-@Q.add(f"""select * from {_PIVOT} union all select patient_id, null, null, null, null, null, null from customers
+@Q.add(f"""select * from {_PIVOT} union all select patient_id, null{', null' * len(_BRANDS)} from customers
  where patient_id not in (select patient_id from {_PIVOT})""")
 def lab_pivot(spark, sf):
     rows = _lab_rows(spark, sf).filter(F.col("numeric").isNotNull())
@@ -220,8 +220,8 @@ def _corr(a: str, b: str) -> str:
 @Q.add(" union all ".join(_corr(a, b) for i, a in enumerate(_BRANDS) for b in _BRANDS[i:]))
 def correlation_matrix(spark, sf):
     rows = _lab_rows(spark, sf).filter(F.col("numeric").isNotNull())
-    wide = simeval.lab_pivot(rows, _BRANDS, order="record_no")
-    return simeval.correlation_matrix(wide, _BRANDS).withColumn("r", F.round("r", 6))
+    values = simeval.lab_values(rows, order="record_no")
+    return simeval.correlation_matrix(values, codes=_BRANDS).withColumn("r", F.round("r", 6))
 
 
 _NUM = "try_cast(nullif(regexp_extract(result, '^([+-]?\\d*\\.?\\d+(?:[eE][-+]?\\d+)?)', 1), '') as double)"

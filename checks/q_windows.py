@@ -164,14 +164,13 @@ _PAIRS = """(select a.patient_id, a.age_min as adm_min, min(d.age_min) as dsc_mi
 from (select distinct patient_id, age_min from evd where code = '[ADM]') a
 join evd d on d.patient_id = a.patient_id and d.code = '[DSC]' and d.age_min >= a.age_min group by 1, 2)"""
 _DAYS = f"""(select patient_id, adm_min, unnest(range(s, e + 1)) as hospital_day from
- (select *, least(e0, s + 9) as e from
-  (select patient_id, adm_min, adm_min // 1440 + cast(adm_min % 1440 > 720 as int) as s,
-          dsc_min // 1440 - cast(dsc_min % 1440 < 720 as int) as e0 from {_PAIRS})) where e >= s)"""
+ (select patient_id, adm_min, adm_min // 1440 + cast(adm_min % 1440 > 720 as int) as s,
+         dsc_min // 1440 - cast(dsc_min % 1440 < 720 as int) as e from {_PAIRS}) where e >= s)"""
 
 
 @Q.add(f"select patient_id, adm_min, hospital_day from {_DAYS}")
 def inpatient_day_table(spark, sf):
-    return stays.inpatient_day_table(v.evd(spark, sf), hour=12, max_days=10).select(
+    return stays.inpatient_day_table(v.evd(spark, sf), hour=12).select(
         "patient_id", "adm_min", "hospital_day")
 
 
@@ -183,7 +182,7 @@ left join (select * from evd where type <> 0) e on e.patient_id = d.patient_id a
 group by 1, 2, 3, 4""")
 def baseline_distribution(spark, sf):
     e = v.evd(spark, sf).filter(F.col("type") != 0)
-    days = stays.inpatient_day_table(v.evd(spark, sf), hour=12, max_days=10).select(
+    days = stays.inpatient_day_table(v.evd(spark, sf), hour=12).select(
         "patient_id", "hospital_day").distinct()
     return stays.baseline_distribution(e, days, [
         F.count("event_id").alias("n_events"),

@@ -104,11 +104,6 @@ NEUTROPENIA = {
     "neutrophil_unit": "%", "thresholds": (100, 500),
 }
 
-# ---- Fixed values: cohort query codes --------------------------------------
-COVID_TEST_CODES = ("5F6251411063---11", "5F6251413063---01",
-                    "5F6251450061---11", "5F6251450063---11")
-CRP_CODE = "5C0700000023---01"
-
 # ---- Fixed values: sex-plausibility rules ----------------------------------
 FEMALE_DX_PREFIXES = (
     "O", "Z32", "Z33", "Z34", "Z35", "Z36", "Z37", "Z39", "C53", "C54", "C55", "C56",

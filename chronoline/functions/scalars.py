@@ -58,9 +58,14 @@ def components_to_age(parts: dict[str, Column] | None = None) -> Column:
     return reduce(lambda a, b: a + b, terms)
 
 
+def section_bins(start: int, end: int, step: int) -> int:
+    """Day bins of one section of the time bins; the last may reach beyond its end."""
+    return (end - start) // step + 1
+
+
 def n_time_bins(small: int, large: int, sections: Sequence = fv.TIME_BIN_SECTIONS) -> int:
     per_day = DAY // large
-    return DAY // small + sum(((e - s) // k + 1) * per_day for s, e, k in sections) + 1
+    return DAY // small + sum(section_bins(*section) * per_day for section in sections) + 1
 
 
 def time_bin_label(previous: str | Column, new: str | Column, first: int | Column = 0,
@@ -78,7 +83,7 @@ def time_bin_label(previous: str | Column, new: str | Column, first: int | Colum
     for start, end, step in sections:
         within = offset + F.floor((calendar - start) / step) * per_day + clock
         expr = expr.when((calendar >= start) & (calendar <= end), within)
-        offset += ((end - start) // step + 1) * per_day
+        offset += section_bins(start, end, step) * per_day
     return (first_label + expr.otherwise(F.lit(offset))).cast("int")
 
 
@@ -215,7 +220,7 @@ def digest_index(digest: Column, n: Column) -> Column:
 
 
 def stable_seed(seed: int, *parts: str | Column) -> Column:
-    """31-bit seed from the digest of the key parts."""
+    """28-bit seed from the digest of the key parts."""
     return F.conv(F.substring(stable_digest(seed, *parts), 1, 7), 16, 10).cast("long")
 
 

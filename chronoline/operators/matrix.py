@@ -195,8 +195,8 @@ def time_shuffle(rows: DataFrame, replicates: int = 1, seed: int = 0, head: int
 
 
 def time_noise(labelled: DataFrame, epoch: int, first_time_label: int, seed: int = 0,
-               span: int = 60, small: int = 10, large: int = 60, segment_minutes: int = 7 * DAY
-               ) -> DataFrame:
+               span: int = 60, small: int = 10, large: int = 60, segment_minutes: int = 7 * DAY,
+               sections: Sequence = fv.TIME_BIN_SECTIONS) -> DataFrame:
     """Shift all non-demographic times of a patient by one random offset within an hour.
 
     Both ends of a step move, so its length stays; none passes the age of the
@@ -221,7 +221,7 @@ def time_noise(labelled: DataFrame, epoch: int, first_time_label: int, seed: int
     parts = c.age_components("age_min")
     return (moved
             .withColumn("label", F.when(relabel, c.time_bin_label(prev, "age_min", first_time_label,
-                                                                  small, large))
+                                                                  small, large, sections))
                         .otherwise(F.col("label")).cast("int"))
             .withColumns({k: F.when(is_time, v) for k, v in parts.items()}).drop("__prev"))
 

@@ -283,14 +283,48 @@ def lab_presence(rows: DataFrame, trajectories: DataFrame, keys: Sequence[str],
         F.coalesce(F.max((F.col("code") == x).cast("int")), F.lit(0)).alias(x) for x in codes])
 
 
-def presence_pairs(presence: DataFrame, codes: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """(code_1, code_2, n_both) over a bounded list of codes, from one aggregation."""
-    pairs = [(a, b) for i, a in enumerate(codes) for b in codes[i + 1:]]
-    counted = presence.groupBy(*by).agg(*[
-        F.sum(F.col(a) * F.col(b)).cast("long").alias(f"__{i}") for i, (a, b) in enumerate(pairs)])
-    return counted.select(*by, F.explode(F.array(*[
-        F.struct(F.lit(a).alias("code_1"), F.lit(b).alias("code_2"), F.col(f"__{i}").alias("n_both"))
-        for i, (a, b) in enumerate(pairs)])).alias("p")).select(*by, "p.*")
+def _all_pairs(found: DataFrame, codes: Sequence[str] | None, by: Sequence[str], same: bool) -> DataFrame:
+    """`found` with rows of zero count for the pairs of the listed codes that never meet."""
+    if codes is None:
+        return found
+    spark, listed = found.sparkSession, [(a, b) for i, a in enumerate(codes) for b in codes[i + (not same):]]
+    pairs = spark.createDataFrame(listed, "code_1 string, code_2 string")
+    if by:
+        pairs = found.select(*by).distinct().withColumn("__p", F.explode(F.array(*[
+            F.struct(F.lit(a).alias("code_1"), F.lit(b).alias("code_2")) for a, b in listed]))).select(*by, "__p.*")
+    return pairs.join(found, [*by, "code_1", "code_2"], "left")
+
+
+def presence_pairs(present: DataFrame, keys: Sequence[str], codes: Sequence[str] | None = None,
+                   by: Sequence[str] = ()) -> DataFrame:
+    """(code_1, code_2, n_both): trajectories that hold both codes.
+
+    `present` has (keys, code); it joins itself on the trajectory, whose codes
+    are bounded by the dictionary. With `codes`, pairs in the order of that list
+    and zeros for pairs that never meet.
+    """
+    rank = _rank("code", codes)
+    rows = present.select(*by, *keys, "code").distinct().withColumn("__k", rank).filter(F.col("__k").isNotNull())
+    one = rows.withColumnsRenamed({"code": "code_1", "__k": "__a"})
+    two = rows.withColumnsRenamed({"code": "code_2", "__k": "__b"})
+    counted = (one.join(two, [*by, *keys]).filter(F.col("__a") < F.col("__b"))
+               .groupBy(*by, "code_1", "code_2").agg(F.count(F.lit(1)).alias("n_both")))
+    return _all_pairs(counted, codes, by, False).withColumn("n_both", F.coalesce("n_both", F.lit(0).cast("long")))
+
+
+def _rank(code: str, codes: Sequence[str] | None) -> Column:
+    """Place of a code in the list, or the code itself."""
+    if codes is None:
+        return F.col(code)
+    return F.nullif(F.array_position(F.array(*[F.lit(x) for x in codes]), F.col(code)), F.lit(0))
+
+
+def lab_values(rows: DataFrame, keys: Sequence[str] = ("patient_id",), order: str = "event_id",
+               codes: Sequence[str] | None = None) -> DataFrame:
+    """(keys, age_min, code, value): numeric results, the first of a code at one time."""
+    wanted = rows if codes is None else rows.filter(F.col("code").isin(*codes))
+    parsed = wanted.withColumn("value", c.leading_number("result")).filter(F.col("value").isNotNull())
+    return parsed.groupBy(*keys, "age_min", "code").agg(F.min_by("value", F.col(order)).alias("value"))
 
 
 def lab_pivot(rows: DataFrame, codes: Sequence[str], keys: Sequence[str] = ("patient_id",),
@@ -299,33 +333,30 @@ def lab_pivot(rows: DataFrame, codes: Sequence[str], keys: Sequence[str] = ("pat
 
     With `fill`, trajectories without values get one empty row.
     """
-    value = c.leading_number("result")
-    parsed = (rows.filter(F.col("code").isin(*codes)).withColumn("__v", value)
-              .filter(F.col("__v").isNotNull()))
-    wide = parsed.groupBy(*keys, "age_min").pivot("code", list(codes)).agg(
-        F.min_by("__v", F.col(order)))
+    wide = lab_values(rows, keys, order, codes).groupBy(*keys, "age_min").pivot("code", list(codes)).agg(F.first("value"))
     if fill is not None:
         empty = fill.select(*keys).distinct().join(wide.select(*keys), list(keys), "left_anti")
         wide = wide.unionByName(empty, allowMissingColumns=True)
     return wide
 
 
-def correlation_matrix(pivot: DataFrame, codes: Sequence[str], min_pairs: int = 10,
-                       by: Sequence[str] = ()) -> DataFrame:
-    """(code_1, code_2, n, r): pairwise-complete Pearson, null below `min_pairs`."""
-    pairs = [(a, b) for i, a in enumerate(codes) for b in codes[i:]]
-    aggs = []
-    for i, (a, b) in enumerate(pairs):
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        aggs += [F.count_if(both).alias(f"__n{i}"),
-                 F.corr(F.when(both, F.col(a)), F.when(both, F.col(b))).alias(f"__r{i}")]
-    wide = pivot.groupBy(*by).agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(a).alias("code_1"), F.lit(b).alias("code_2"),
-                              F.col(f"__n{i}").alias("n"), F.col(f"__r{i}").alias("r"))
-                     for i, (a, b) in enumerate(pairs)])
-    long = wide.select(*by, F.explode(rows).alias("p")).select(*by, "p.*")
-    r = F.when((F.col("n") >= min_pairs) & ~F.isnan("r"), F.col("r"))
-    return long.withColumn("r", r)
+def correlation_matrix(values: DataFrame, keys: Sequence[str] = ("patient_id",), codes: Sequence[str] | None = None,
+                       min_pairs: int = 10, by: Sequence[str] = ()) -> DataFrame:
+    """(code_1, code_2, n, r): Pearson over times with both codes, null below `min_pairs`.
+
+    `values` has (keys, age_min, code, value), one value per cell; it joins itself
+    on the time, whose codes are bounded by the dictionary. With `codes`, pairs
+    in the order of that list and empty rows for pairs that never meet.
+    """
+    rows = values.select(*by, *keys, "age_min", "code", "value").withColumn("__k", _rank("code", codes)).filter(
+        F.col("__k").isNotNull())
+    one = rows.withColumnsRenamed({"code": "code_1", "value": "__x", "__k": "__a"})
+    two = rows.withColumnsRenamed({"code": "code_2", "value": "__y", "__k": "__b"})
+    found = (one.join(two, [*by, *keys, "age_min"]).filter(F.col("__a") <= F.col("__b"))
+             .groupBy(*by, "code_1", "code_2").agg(F.count(F.lit(1)).alias("n"), F.corr("__x", "__y").alias("__r")))
+    long = _all_pairs(found, codes, by, True)
+    r = F.when((F.col("n") >= min_pairs) & ~F.isnan("__r"), F.col("__r"))
+    return long.withColumn("r", r).withColumn("n", F.coalesce("n", F.lit(0).cast("long"))).drop("__r")
 
 
 def lab_distribution(matched: DataFrame, trajectories: DataFrame, codes: Sequence[str],

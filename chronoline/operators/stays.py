@@ -116,16 +116,26 @@ def stays(events: DataFrame, order: Sequence[str] = EVENT_ORDER,
 
 
 def admission_day_snapshots(admissions: DataFrame, eval_minute: int = 720,
-                            max_days: int = 30) -> DataFrame:
-    """One row per admission and day whose evaluation time lies inside the stay."""
+                            max_days: int | None = None) -> DataFrame:
+    """One row per admission and day whose evaluation time lies inside the stay.
+
+    `max_days` leaves out later days; `days_left_out` counts them.
+    """
     n_days = F.floor((F.col("dsc_day_min") - F.col("adm_day_min")) / DAY)
-    days = F.sequence(F.lit(0), F.least(n_days, F.lit(max_days)).cast("int"))
+    last = n_days if max_days is None else F.least(n_days, F.lit(max_days))
+    days = F.sequence(F.lit(0), last.cast("int"))
     at = F.col("adm_day_min") + F.col("day") * DAY + eval_minute
     return (admissions.withColumn("day", F.explode(days)).withColumn("eval_min", at)
             .filter((F.col("adm_min") <= F.col("eval_min"))
                     & (F.col("eval_min") <= F.col("dsc_min"))))
 
 
+def days_left_out(admissions: DataFrame, eval_minute: int, max_days: int) -> DataFrame:
+    """(n_days, n_left_out): the snapshot days of all stays and those beyond `max_days`."""
+    return admission_day_snapshots(admissions, eval_minute).agg(
+        F.count(F.lit(1)).alias("n_days"), F.count_if(F.col("day") > max_days).alias("n_left_out"))
+
+
 def inpatient_day_table(events: DataFrame, hour: int | None = None, min_days: int = 0,
                         max_days: int | None = None, segment_minutes: int = 7 * DAY) -> DataFrame:
     """Every sampling day of every paired stay."""

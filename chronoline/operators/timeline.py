@@ -258,7 +258,7 @@ def numeric_label(value: str | Column, first: int | Column, bins: int) -> Column
 def label_timeline(timeline: DataFrame, catalog: DataFrame, splits: DataFrame | None,
                    periods: dict[str, tuple[str, str]], first_numeric: int, first_time: int,
                    bins: int = 501, small: int = 10, large: int = 60, min_length: int = 50,
-                   segment_minutes: int = 7 * DAY) -> DataFrame:
+                   segment_minutes: int = 7 * DAY, sections: Sequence = fv.TIME_BIN_SECTIONS) -> DataFrame:
     """Add label, period flags and `included` to a timeline."""
     flagged = flag_periods(label_codes(timeline, catalog), periods)
     single = splits is None
@@ -276,7 +276,7 @@ def label_timeline(timeline: DataFrame, catalog: DataFrame, splits: DataFrame |
     label = (F.when(F.col("row_no") == 0, ignored)
              .when((F.col("original_value") == "[EOT]") & (F.col("admitted") == 1)
                    & F.lit(not single), ignored)
-             .when(is_time, c.time_bin_label("__prev", "age_min", first_time, small, large))
+             .when(is_time, c.time_bin_label("__prev", "age_min", first_time, small, large, sections))
              .otherwise(F.coalesce(numeric_label("numeric", first_numeric, bins), token_label(),
                                    F.col("code_label"), ignored)))
     out = scanned.withColumn("label", label.cast("int"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoline import fixed_values as fv
@@ -150,7 +150,7 @@ def time_bin_texts(spark: SparkSession, small: int, large: int,
                  (F.col("id") * small + small - 1).cast("string"), F.lit(" minutes")).alias("text"))
     out, offset = first, per_small
     for start, end, step in sections:
-        n = ((end - start) // step + 1) if step == 1 else len(range(start, end, step))
+        n = c.section_bins(start, end, step)
         day = F.lit(start) + F.floor(F.col("id") / per_large) * step
         lo = F.pmod("id", F.lit(per_large)) * large
         hi = lo + large - 1
@@ -169,7 +169,8 @@ def time_bin_texts(spark: SparkSession, small: int, large: int,
 
 
 def catalog(specials: DataFrame, code_map: DataFrame, names: DataFrame, width: int,
-            bins: int = 501, small: int = 10, large: int = 60) -> DataFrame:
+            bins: int = 501, small: int = 10, large: int = 60,
+            sections: Sequence = fv.TIME_BIN_SECTIONS) -> DataFrame:
     """(label, kind, family, original_value, text, tokenized_value, tokens) of all classes.
 
     Order: special tokens, diagnoses, medications, labs, numeric bins, time
@@ -201,17 +202,16 @@ def catalog(specials: DataFrame, code_map: DataFrame, names: DataFrame, width: i
         F.concat((c.logit_quantile(F.col("id"), bins) * 100).cast("string"),
                  F.lit(" percentile")).alias("text"),
         F.lit("").alias("tokenized_value"), none.alias("tokens"))
-    times = time_bin_texts(spark, small, large).select(
+    times = time_bin_texts(spark, small, large, sections).select(
         F.lit(5).alias("grp"), "pos", F.lit("").alias("key"), F.lit("time").alias("kind"),
         F.lit("time").alias("family"), F.lit("").alias("original_value"), "text",
         F.lit("").alias("tokenized_value"), none.alias("tokens"))
     every = special.unionByName(codes).unionByName(numeric).unionByName(times)
     padded = every.withColumn("tokens", F.concat(
         "tokens", F.array_repeat(F.lit(0), F.lit(width) - F.size("tokens"))))
-    numbered = o.ordered_scan(padded, [], ["grp", "pos", "key"],
-                              F.struct("grp", F.floor(F.col("pos") / 1000), F.substring("key", 1, 4)),
-                              {"label": o.row_number()})
-    return numbered.select((F.col("label") - 1).cast("int").alias("label"), "kind", "family",
+    # One window: the catalog has the size of the code dictionaries.
+    number = F.row_number().over(Window.orderBy("grp", "pos", "key"))
+    return padded.withColumn("label", number).select((F.col("label") - 1).cast("int").alias("label"), "kind", "family",
                            "original_value", "text", "tokenized_value", "tokens")
 
 

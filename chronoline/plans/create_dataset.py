@@ -93,7 +93,8 @@ def build_vocabulary(cleaned: dict[str, DataFrame], splits: DataFrame, names: Da
     width = vocab.token_width({k: v for k, v in settings.segment_sizes.items() if v},
                               settings.token_width)
     table = keep("catalog", vocab.catalog(specials, code_map, names, width, settings.numeric_bins,
-                                          settings.td_small_step, settings.td_large_step))
+                                          settings.td_small_step, settings.td_large_step,
+                                          settings.td_sections))
     return Vocabulary(specials, code_map, tokens, table, grids, nonnumeric, width)
 
 
@@ -164,7 +165,7 @@ def label_rows(line: DataFrame, voc: Vocabulary, splits: DataFrame | None, setti
     return timeline.label_timeline(
         line, voc.catalog, splits, periods_of(settings), first_numeric, first_time,
         settings.numeric_bins, settings.td_small_step, settings.td_large_step, settings.min_length,
-        settings.segment_minutes)
+        settings.segment_minutes, settings.td_sections)
 
 
 def timelines_as_of(cleaned: dict[str, DataFrame], patients: DataFrame, requests: DataFrame,
