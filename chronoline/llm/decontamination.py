@@ -33,6 +33,7 @@ from chronoline.llm.common import let, stored, table, words_of
 
 SHINGLE, PERCENT = 5, 80
 BROADCAST_ROWS = 2_000_000
+SALTS = 32
 
 
 def digest_of(text: Column) -> Column:
@@ -102,7 +103,10 @@ def contained_in_texts(docs: DataFrame, items: DataFrame, text: str = "text", pe
             .groupBy("digest", "item_id").agg(F.count(F.lit(1)).alias("hits")))
     pairs = stored(hits.join(index.select("item_id", F.size("sketch").alias("k"), "lacking"), "item_id")
                    .where(F.col("hits") >= F.col("k") - F.col("lacking")).select("digest", "item_id"), "candidates")
-    wanted = keyed.join(pairs.select("digest").distinct().hint("merge"), "digest", "left_semi").dropDuplicates(["digest"])
+    # Copies of a frequent text are spread over salts, the few candidates repeated for each.
+    salted = pairs.select("digest").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = keyed.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    wanted = spread.join(salted.hint("merge"), ["digest", "salt"], "left_semi").drop("salt").dropDuplicates(["digest"])
     held = wanted.join(pairs, "digest").join(index.select("item_id", "size", "texts", "m"), "item_id")
     shared = F.size(F.array_intersect("texts", _by_size(F.col("size"), lambda k: shingle_texts(words_of(F.lower("__text")), k))))
     return (held.select("digest", "item_id", F.col("m").alias("n_shingles"), shared.alias("n_shared"))
