@@ -7,19 +7,21 @@ from pyspark.sql import functions as F
 from checks import views as v
 from checks.define import Queries
 from checks.q_cohort import drawn_sql
+from checks.q_simulation import _PROBS
 from chronoline.operators import metrics as m
 from chronoline.operators import resample
 
 Q = Queries()
 REPLICATES = 5
 
-_BOUNDS = "(select grp, min(prob) - 1e-8::double as lo, max(prob) + 1e-8::double as hi, (max(prob) + 1e-8::double - (min(prob) - 1e-8::double)) / 99 as step from metric_input group by grp)"
-_THRESHOLDS = f"(select grp, k, case when k = 99 then hi else lo + k * step end as threshold from {_BOUNDS} cross join (select unnest(range(100)) as k))"
+def _thresholds(source: str) -> str:
+    bounds = f"(select grp, min(prob) - 1e-8::double as lo, max(prob) + 1e-8::double as hi, (max(prob) + 1e-8::double - (min(prob) - 1e-8::double)) / 99 as step from {source} group by grp)"
+    return f"(select grp, k, case when k = 99 then hi else lo + k * step end as threshold from {bounds} cross join (select unnest(range(100)) as k))"
 
 
-def _confusion_sql(rows: str, keys: str = "grp", weight: str = "1") -> str:
+def _confusion_sql(rows: str, keys: str = "grp", weight: str = "1", source: str = "metric_input") -> str:
     return f"""(select {', '.join(f'r.{k}' for k in keys.split(', '))}, t.k, t.threshold, cast(sum({weight} * label) filter (prob >= threshold) as bigint) as tp0, cast(sum({weight} * (1 - label)) filter (prob >= threshold) as bigint) as fp0,
- cast(sum({weight} * label) as bigint) as p, cast(sum({weight} * (1 - label)) as bigint) as n from {rows} r join {_THRESHOLDS} t on t.grp = r.grp group by all)"""
+ cast(sum({weight} * label) as bigint) as p, cast(sum({weight} * (1 - label)) as bigint) as n from {rows} r join {_thresholds(source)} t on t.grp = r.grp group by all)"""
 
 
 def _cells(conf: str, keys: str = "grp") -> str:
@@ -142,10 +144,10 @@ def oe_ratio(spark, sf):
     return _digits(m.oe_ratio(_counts(spark, sf), ["grp"]), "oe")
 
 
-def _newton_sql(steps: int) -> str:
+def _newton_sql(steps: int, source: str = _CLIPPED) -> str:
     """The refits as nested aggregations: the same steps, written in SQL."""
-    data = f"(select grp, label, ln(prob / (1 - prob)) as x from {_CLIPPED})"
-    coef = "(select grp, 0.0::double as a, 0.0::double as i, 1.0::double as s from metric_input group by grp)"
+    data = f"(select grp, label, ln(prob / (1 - prob)) as x from {source})"
+    coef = f"(select grp, 0.0::double as a, 0.0::double as i, 1.0::double as s from {source} group by grp)"
     for _ in range(steps):
         coef = f"""(select grp, a + ga / ha as a, i + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) as i, s + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) as s from (
  select grp, max(a) as a, max(i) as i, max(s) as s, sum(label - o) as ga, sum(o * (1 - o)) as ha, sum(label - f) as g0, sum((label - f) * x) as g1,
@@ -159,27 +161,53 @@ def logistic_recalibration(spark, sf):
     return _digits(m.logistic_recalibration(_counts(spark, sf), ["grp"]), "citl", "slope", "intercept")
 
 
-_GRID = f"(select grp, g, lo + g * 0.005::double as x0, hi - lo as span from (select grp, min(prob) as lo, unnest(range(cast(ceil((max(prob) - min(prob)) / 0.005::double) as bigint))) as g, max(prob) as hi from {_CLIPPED} group by grp))"
-_NEAR = f"""(select *, row_number() over (partition by grp, g order by d) as rk, count(*) over (partition by grp, g) as n from (
- select g.grp, g.g, x0, span, prob, label, abs(prob - x0) as d, prob - x0 as dx from {_CLIPPED} c join {_GRID} g on g.grp = c.grp))"""
-_WEIGHTED = f"""(select *, case when d <= 0.001 * r then 1 else (1 - (d / r) ** 3) ** 3 end as w from (
- select *, max(d) filter (rk <= floor(0.5 * n + 1e-10)) over (partition by grp, g) as r from {_NEAR}) where d <= 0.999 * r)"""
+def _lowess_sql(source: str, bounds: str) -> str:
+    """(grp, g, x, smooth) over rows `source` and (grp, lo, hi) `bounds`."""
+    grid = f"(select grp, g, lo + g * 0.005::double as x0, hi - lo as span from (select *, unnest(range(cast(ceil((hi - lo) / 0.005::double) as bigint))) as g from {bounds}))"
+    near = f"""(select *, row_number() over (partition by grp, g order by d) as rk, count(*) over (partition by grp, g) as n from (
+ select g.grp, g.g, x0, span, prob, label, abs(prob - x0) as d, prob - x0 as dx from {source} c join {grid} g on g.grp = c.grp))"""
+    weighted = f"""(select *, case when d <= 0.001 * r then 1 else (1 - (d / r) ** 3) ** 3 end as w from (
+ select *, max(d) filter (rk <= floor(0.5 * n + 1e-10)) over (partition by grp, g) as r from {near}) where d <= 0.999 * r)"""
+    return f"""(select grp, g, x, case when sqrt(greatest(var, 0)) <= 0.001 * span then my else my - cov / var * mx end as smooth from (
+ select grp, g, max(x0) as x, max(span) as span, sum(w * dx) / sum(w) as mx, sum(w * label) / sum(w) as my, sum(w * dx * dx) / sum(w) - (sum(w * dx) / sum(w)) ** 2 as var,
+  sum(w * dx * label) / sum(w) - sum(w * dx) / sum(w) * (sum(w * label) / sum(w)) as cov from {weighted} group by 1, 2))"""
 
 
-@Q.add(f"""select grp, cast(g as int) as g, round(x, 6) as x, round(case when sqrt(greatest(var, 0)) <= 0.001 * span then my else my - cov / var * mx end, 5) as smooth from (
- select grp, g, max(x0) as x, max(span) as span, sum(w * dx) / sum(w) as mx, sum(w * label) / sum(w) as my, sum(w * dx * dx) / sum(w) - (sum(w * dx) / sum(w)) ** 2 as var,
-  sum(w * dx * label) / sum(w) - sum(w * dx) / sum(w) * (sum(w * label) / sum(w)) as cov from {_WEIGHTED} group by 1, 2)""")
+_SPAN = f"(select grp, min(prob) as lo, max(prob) as hi from {_CLIPPED} group by grp)"
+
+
+@Q.add(f"select grp, cast(g as int) as g, round(x, 6) as x, round(smooth, 5) as smooth from {_lowess_sql(_CLIPPED, _SPAN)}")
 def lowess_curve(spark, sf):
     out = m.lowess_curve(_counts(spark, sf), ["grp"])
     return out.select("grp", "g", F.round("x", 6).alias("x"), F.round("smooth", 5).alias("smooth"))
 
 
-@Q.add()
+_CLIP = "least(greatest(prob, 1e-4::double), (1 - 1e-4::double))"
+_BOOT_CLIPPED = f"(select replicate as grp, label, {_CLIP} as prob from {_BOOT_ROWS})"
+_BOOT_SPAN = f"(select distinct replicate as grp, lo, hi from {_BOOT_ROWS} cross join (select min({_CLIP}) as lo, max({_CLIP}) as hi from metric_input))"
+_BOOT_ITEMS = " union all ".join([
+    f"select 'oe' as item, sum(label) / sum(prob) as value from boot group by grp",
+    *[f"select '{name}', {x} from {_newton_sql(8, 'boot')}" for name, x in (("citl", "a"), ("slope", "s"), ("intercept", "i"))],
+    """select 'bin_' || b, avg(label) from (select distinct grp from boot) g cross join (select unnest(range(10)) as b) left join boot x on x.grp = g.grp
+ and prob >= b * 0.1::double and (prob < (b + 1) * 0.1::double or b = 9) group by g.grp, b""",
+    f"select 'smooth_' || g, smooth from {_lowess_sql('boot', _BOOT_SPAN)}"])
+
+
+@Q.add(f"""select * from (with boot as materialized {_BOOT_CLIPPED}, items as ({_BOOT_ITEMS})
+select item, round(avg(value), 5) as mean, round(quantile_cont(value, 0.025), 5) as lower, round(quantile_cont(value, 0.975), 5) as upper from items group by item)""")
 def bootstrap_calibration(spark, sf):
-    return _digits(m.bootstrap_calibration(_rows(spark, sf), _weights(spark, sf), "id"), "mean", "lower", "upper")
+    return _digits(m.bootstrap_calibration(_rows(spark, sf), _weights(spark, sf), "id"), "mean", "lower", "upper", n=5)
+
+
+_TASK_PROBS = f"(select task || '|' || horizon as grp, task, cast(horizon as int) as horizon, actual as label, prob from {_PROBS})"
+_TASK_CELLS = _cells(_confusion_sql("probs", "task, horizon", source="probs"), "task, horizon")
 
 
-@Q.add()
+@Q.add(f"""select * from (with probs as materialized {_TASK_PROBS}, cells as materialized {_TASK_CELLS},
+totals as (select task, horizon, count(*) as n, cast(sum(label) as bigint) as n_events, sum(label) / nullif(sum(prob), 0) as oe from probs group by all)
+select t.task, t.horizon, n, n_events, round(auroc, 6) as auroc, round(auprc, 6) as auprc, round(oe, 6) as oe from totals t
+left join {_auroc("cells", "task, horizon")} a on a.task = t.task and a.horizon = t.horizon
+left join {_auprc("cells", "task, horizon")} p on p.task = t.task and p.horizon = t.horizon)""")
 def task_metrics(spark, sf):
     """Metrics per task and horizon of the simulated futures."""
     from checks.q_simulation import RULES
