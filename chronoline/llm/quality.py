@@ -105,7 +105,7 @@ def features(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
         _count("[^\\p{Lu}]+", t).alias("n_upper"),
         _count("[^!]+", t).alias("n_shouts"),
         F.size(F.array_intersect(w, stop)).cast("long").alias("n_function_words"),
-        F.size(F.filter("__lines", lambda x: x.rlike("[.!?;:,)»”\"'][\\x20\\x09-\\x0D]*$"))).cast("long").alias("n_closed_lines"))
+        F.size(F.filter("__lines", lambda x: x.rlike("[.!?;:,)»”\"'][\\x20\\x09-\\x0D]*\\z"))).cast("long").alias("n_closed_lines"))
 
 
 def base_failed() -> Column:
@@ -114,38 +114,39 @@ def base_failed() -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """A rule that votes `votes` where `when` holds and abstains elsewhere; `alarms`
-    bounds the share of good documents for which a rule votes bad."""
+    """A rule that votes `votes` where its condition holds and abstains elsewhere;
+    `alarms` bounds the share of good documents for which a rule votes bad."""
     name: str
     votes: str
-    when: Column
     alarms: float = 1.0
 
 
-def rules() -> list[Rule]:
-    """Conditions on the counts, all in whole numbers."""
+RULES = (Rule("symbols", "bad", 0.002), Rule("some_symbols", "bad", 0.02), Rule("upper_case", "bad", 0.002),
+         Rule("some_upper_case", "bad", 0.02), Rule("shouting", "bad", 0.002), Rule("repeated_lines", "bad", 0.01),
+         Rule("repeated_words", "bad", 0.02), Rule("long_words", "bad", 0.005), Rule("function_words", "good"),
+         Rule("closed_lines", "good"))
+
+
+def conditions() -> dict[str, Column]:
+    """When each rule votes, by the counts of a document, all in whole numbers."""
     n, chars, lines = F.col("n_words"), F.col("word_chars"), F.col("n_lines")
     above = lambda part, whole, percent: F.col(part) * 100 > whole * percent
-    return [
-        Rule("symbols", "bad", above("n_symbols", n, 10), 0.002),
-        Rule("some_symbols", "bad", above("n_symbols", n, 3), 0.02),
-        Rule("upper_case", "bad", above("n_upper", chars, 30), 0.002),
-        Rule("some_upper_case", "bad", above("n_upper", chars, 15), 0.02),
-        Rule("shouting", "bad", above("n_shouts", n, 20), 0.002),
-        Rule("repeated_lines", "bad", above("n_dup_lines", lines, 30), 0.01),
-        Rule("repeated_words", "bad", above("n_repeat_words", n, 10), 0.02),
-        Rule("long_words", "bad", chars > 25 * n, 0.005),
-        Rule("function_words", "good", F.col("n_function_words") >= 2),
-        Rule("closed_lines", "good", 2 * F.col("n_closed_lines") >= lines),
-    ]
-
-
-def pattern_code(of: list[Rule]) -> Column:
+    return {
+        "symbols": above("n_symbols", n, 10), "some_symbols": above("n_symbols", n, 3),
+        "upper_case": above("n_upper", chars, 30), "some_upper_case": above("n_upper", chars, 15),
+        "shouting": above("n_shouts", n, 20), "repeated_lines": above("n_dup_lines", lines, 30),
+        "repeated_words": above("n_repeat_words", n, 10), "long_words": chars > 25 * n,
+        "function_words": F.col("n_function_words") >= 2, "closed_lines": 2 * F.col("n_closed_lines") >= lines,
+    }
+
+
+def pattern_code() -> Column:
     """The set of rules that vote, as one number."""
-    return reduce(lambda code, rule: code * 2 + F.when(rule.when, 1).otherwise(0), of, F.lit(0)).cast("int")
+    when = conditions()
+    return reduce(lambda code, rule: code * 2 + F.when(when[rule.name], 1).otherwise(0), RULES, F.lit(0)).cast("int")
 
 
-def posteriors(codes: DataFrame, of: list[Rule], code: str = "code", iterations: int = ITERATIONS) -> DataFrame:
+def posteriors(codes: DataFrame, of: tuple[Rule, ...] = RULES, code: str = "code", iterations: int = ITERATIONS) -> DataFrame:
     """(code, posterior, in_good, in_bad) of each vote pattern that occurs, by expectation-maximisation.
 
     `in_good` and `in_bad` hold the chance of each rule in turn to vote in the two classes.
@@ -195,9 +196,8 @@ def posteriors(codes: DataFrame, of: list[Rule], code: str = "code", iterations:
 
 def judged(counted: DataFrame, threshold: float = 0.5) -> DataFrame:
     """`counted` (rows of `features`, stored, as they are read twice) with code, base_failed, posterior and kept."""
-    votes = rules()
-    coded = counted.select("*", pattern_code(votes).alias("code"), base_failed().alias("base_failed"))
-    fitted = posteriors(coded.select("code"), votes).select("code", "posterior")
+    coded = counted.select("*", pattern_code().alias("code"), base_failed().alias("base_failed"))
+    fitted = posteriors(coded.select("code")).select("code", "posterior")
     # At most 2^rules rows, whatever the corpus.
     return (coded.join(F.broadcast(fitted), "code")
             .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold)))
@@ -210,9 +210,9 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     whole = docs.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in columns]).alias("__doc"),
                         F.col(text).alias("__body"))
     counted = features(whole, "__body", ("__doc",))
-    coded = stored(counted.select("__doc", pattern_code(rules()).alias("code"), base_failed().alias("base_failed")),
+    coded = stored(counted.select("__doc", pattern_code().alias("code"), base_failed().alias("base_failed")),
                    "quality")
-    fitted = posteriors(coded.select("code"), rules()).select("code", "posterior")
+    fitted = posteriors(coded.select("code")).select("code", "posterior")
     return (coded.join(F.broadcast(fitted), "code")
             .where(~F.col("base_failed") & (F.col("posterior") >= 0.5))
             .select(*[F.col("__doc").getField(c).alias(c) for c in columns]))
@@ -222,3 +222,49 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = stored(features(table(spark, sf_dir, "documents")), "quality")
     return judged(counted).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op1_sql() -> str:
+    """The same counts, votes and iterations in SQL; each iteration is a subquery of the next."""
+    of = RULES
+    votes = ("n_symbols * 100 > n_words * 10", "n_symbols * 100 > n_words * 3", "n_upper * 100 > word_chars * 30",
+             "n_upper * 100 > word_chars * 15", "n_shouts * 100 > n_words * 20", "n_dup_lines * 100 > n_lines * 30",
+             "n_repeat_words * 100 > n_words * 10", "word_chars > 25 * n_words", "n_function_words >= 2",
+             "2 * n_closed_lines >= n_lines")
+    places = range(len(of))
+    stop = ", ".join(f"'{w}'" for w in FUNCTION_WORDS)
+    left = lambda pattern: f"length(regexp_replace(t, '{pattern}', '', 'g'))"
+    odds = "ln(share / (1 - share)) + " + " + ".join(
+        f"CASE WHEN v{j} THEN ln(g{j} / b{j}) ELSE ln((1 - g{j}) / (1 - b{j})) END" for j in places)
+    scored = lambda params: f"(SELECT p.*, 1 / (1 + exp(-({odds}))) AS q FROM patterns p, {params} m)"
+    m = PSEUDO_DOCUMENTS
+    chance = lambda w, j, start, low, high: (
+        f"greatest({low}, least({high}, (coalesce(sum(n * ({w})) FILTER (v{j}), 0) + {m} * {start}) / (sum(n * ({w})) + {m})))")
+    start = lambda side, j: START[of[j].votes][side]
+    params = "(SELECT {}::DOUBLE AS share, {})".format(START_SHARE, ", ".join(
+        f"{start(side, j)}::DOUBLE AS {name}{j}" for side, name in ((0, "g"), (1, "b")) for j in places))
+    steps = [f"e0 AS MATERIALIZED {params}"]
+    for k in range(ITERATIONS):
+        new = ", ".join([f"(sum(n * q) + {m * START_SHARE}) / (sum(n) + {m}) AS share",
+                         *[chance("q", j, start(0, j), 0.0005, min(of[j].alarms, 0.99)) + f" AS g{j}" for j in places],
+                         *[chance("1 - q", j, start(1, j), FINDS, 0.99) + f" AS b{j}" for j in places]])
+        steps.append(f"e{k + 1} AS MATERIALIZED (SELECT {new} FROM {scored(f'e{k}')})")
+    v_list = ", ".join(f"v{j}" for j in places)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+p AS (SELECT r, p, array_to_string(w[p:p + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS p FROM w WHERE len(w) >= 5)),
+k AS (SELECT r, count(DISTINCT x) AS n FROM (SELECT r, unnest(range(p, p + 5)) AS x FROM (
+  SELECT r, p, count(*) OVER (PARTITION BY r, g) AS c FROM p) WHERE c > 1) GROUP BY r),
+c AS (SELECT w.r, doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, {left('[^#*$%&|<>]+')} AS n_symbols,
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(k.n, 0) AS n_repeat_words, len(lines) AS n_lines,
+  {left('[^\\p{Lu}]+')} AS n_upper, {left('[^!]+')} AS n_shouts, len(list_filter(list_distinct(w), lambda x: x IN ({stop}))) AS n_function_words,
+  len(list_filter(lines, lambda x: regexp_matches(x, '[.!?;:,)»”"''][\\x20\\x09-\\x0D]*\\z'))) AS n_closed_lines
+  FROM w LEFT JOIN k ON k.r = w.r),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {", ".join(f"{x} AS v{j}" for j, x in enumerate(votes))} FROM c),
+patterns AS MATERIALIZED (SELECT {v_list}, count(*)::DOUBLE AS n FROM f GROUP BY ALL),
+{", ".join(steps)},
+q AS MATERIALIZED {scored(f"e{ITERATIONS}")}
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+  n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND q >= 0.5 AS kept FROM f JOIN q USING ({v_list})"""

@@ -21,7 +21,7 @@ QUERIES = {
     "op9_pii": pii.op9_pii,
     "op10_license_scans": licenses.op10_license_scans,
 }
-ORACLES = {"op4_chat_formatting": chat.OP4_SQL, "op7_substring_dedup": substring.OP7_SQL, "op6_decontamination": decontamination.OP6_SQL, "op2_url_filters": url_filters.op2_sql(), "op5_warc": warc.OP5_SQL}
+ORACLES = {"op1_quality_rules": quality.op1_sql(), "op4_chat_formatting": chat.OP4_SQL, "op7_substring_dedup": substring.OP7_SQL, "op6_decontamination": decontamination.OP6_SQL, "op2_url_filters": url_filters.op2_sql(), "op5_warc": warc.OP5_SQL}
 
 
 def _with_defaults(fn):

@@ -20,7 +20,7 @@ def counts(text):
         "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(repeated), "n_lines": len(lines),
         "n_upper": sum(c.isupper() and __import__("unicodedata").category(c) == "Lu" for c in text), "n_shouts": text.count("!"),
         "n_function_words": len(set(words) & set(quality.FUNCTION_WORDS)),
-        "n_closed_lines": sum(bool(re.search("[.!?;:,)»”\"'][\x20\x09-\x0D]*$", x)) for x in lines)}
+        "n_closed_lines": sum(bool(re.search("[.!?;:,)»”\"'][\x20\x09-\x0D]*\\Z", x)) for x in lines)}
 
 
 def votes(c):
@@ -38,7 +38,7 @@ def base_failed(c):
 
 def posteriors(patterns):
     """{pattern: posterior} for a Counter of vote patterns."""
-    of = quality.rules()
+    of = quality.RULES
     start = [[quality.START[r.votes][side] for r in of] for side in (0, 1)]
     good, bad, share = *start, quality.START_SHARE
 
