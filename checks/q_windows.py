@@ -141,9 +141,8 @@ def drop_repeated_time_rows(spark, sf):
 select patient_id, event_id, row_number() over (order by patient_id, age_min, type, code, event_id) as position from evd""")
 def simulation_order(spark, sf):
     """Global order by patient, age, type and code, numbered piece by piece."""
-    return o.ordered_scan(v.evd(spark, sf), [], ["patient_id", "age_min", "type", "code", "event_id"],
-                          F.struct("patient_id", F.floor(F.col("age_min") / (7 * DAY))),
-                          {"position": o.row_number()}).select("patient_id", "event_id", "position")
+    return o.global_row_number(v.evd(spark, sf), "patient_id", ["age_min", "type", "code", "event_id"],
+                               o.time_segment("age_min", 7 * DAY)).select("patient_id", "event_id", "position")
 
 
 @Q.add("""

@@ -170,6 +170,22 @@ def ordered_scan(
     return joined.select(*kept, *result)
 
 
+def global_row_number(df: DataFrame, group: str, order: Sequence[str], segment: Column,
+                      out: str = "position", letters: int = 3) -> DataFrame:
+    """Position of each row of the whole table by group name and `order`.
+
+    Rows are numbered inside their group, and the groups' sizes, one row per
+    group, are summed over pieces of the group's name, so no task sees more
+    than a piece of either.
+    """
+    inside = ordered_scan(df, [group], order, segment, {"__n": row_number()})
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__size"))
+    ends = ordered_scan(sizes, [], [group], F.substring(group, 1, letters), {"__end": running_sum(F.col("__size"))})
+    starts = ends.select(F.struct(group).alias("__g"), (F.col("__end") - F.col("__size")).alias("__start"))
+    return (inside.withColumn("__g", F.struct(group)).join(starts, "__g")
+            .withColumn(out, F.col("__n") + F.col("__start")).drop("__g", "__n", "__start"))
+
+
 def time_segment(age: str | Column, minutes: int) -> Column:
     """Piece of a minute-valued sort key."""
     col = F.col(age) if isinstance(age, str) else age

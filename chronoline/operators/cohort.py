@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoline import fixed_values as fv
@@ -212,8 +212,10 @@ def prevalence_compare(real: DataFrame, synthetic: DataFrame, n_synthetic: DataF
 
 
 def top_n(df: DataFrame, keys: Sequence[str], measure: str, n: int, tie: str) -> DataFrame:
-    """First `n` rows per key by descending measure."""
-    keyed = df.withColumn("__neg", -F.col(measure))
-    ranked = o.ordered_scan(keyed, keys, ["__neg", tie], F.struct("__neg", F.substring(tie, 1, 2)),
-                            {"__r": o.row_number()})
-    return ranked.filter(F.col("__r") <= n).drop("__r", "__neg")
+    """First `n` rows per key by descending measure.
+
+    A filter on the row number of a window: each task keeps its own first `n`
+    rows per key before the shuffle.
+    """
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(measure).desc_nulls_last(), tie))
+    return df.withColumn("__r", place).filter(F.col("__r") <= n).drop("__r")

@@ -53,7 +53,7 @@ def rank_nonnumeric_tokens(counts: DataFrame) -> DataFrame:
     A code with both preset and ranked values gets ranks only.
     """
     keyed = counts.withColumn("__neg", -F.col("count"))
-    segment = F.struct("__neg", F.substring("nonnumeric", 1, 2))
+    segment = o.number_segment("__neg")
     preset = c.map_literal("nonnumeric", fv.PRESET_RESULT_TOKENS)
     ranked = o.ordered_scan(keyed, ["item_code"], ["__neg", "nonnumeric"], segment, {
         "__rank": o.row_number(),
@@ -221,6 +221,6 @@ def bin_values(rows: DataFrame, grids: DataFrame, index: str = "bin", out: str =
 def cumulative_coverage(counts: DataFrame, code: str, count: str, share: float) -> DataFrame:
     """Most frequent codes that together stay within `share` of all counts."""
     keyed = counts.withColumn("__neg", -F.col(count))
-    ranked = o.ordered_scan(keyed, [], ["__neg", code], F.struct("__neg", F.substring(code, 1, 2)), {
+    ranked = o.ordered_scan(keyed, [], ["__neg", code], o.number_segment("__neg"), {
         "running": o.running_sum(F.col(count)), "total": o.total("sum", F.col(count))})
     return ranked.filter(F.col("running") <= F.col("total") * F.lit(share)).drop("__neg")
