@@ -50,8 +50,9 @@ def _segment(at: Column, segment: int) -> Column:
 
 def prefixes(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """A row for each conversation and turn number: hashes h1, h2 and number n of turns up to it."""
-    told = F.concat_ws("\x00", F.coalesce(F.concat(F.lit("r"), "role"), F.lit("n")), F.coalesce(F.concat(F.lit("t"), "text"), F.lit("n")))
-    hashed = turns.select("conv", "at", F.xxhash64("at", told).alias("h1"), F.xxhash64(F.lit(1), told, "at").alias("h2"))
+    # A hash passes over nulls, so they are told apart from texts by a first letter.
+    role, text = (F.coalesce(F.concat(F.lit("t"), c), F.lit("n")) for c in ("role", "text"))
+    hashed = turns.select("conv", "at", F.xxhash64("at", role, text).alias("h1"), F.xxhash64(F.lit(1), text, role, "at").alias("h2"))
     steps = stored(hashed.groupBy("conv", "at").agg(
         F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2"), F.count(F.lit(1)).alias("n"))
         .withColumn("seg", _segment(F.col("at"), segment)), "chat-steps")

@@ -16,7 +16,8 @@ at most twice (twice stands for more than once in this chunk), packed by bucket,
 passage that a third of all documents share costs a bucket two entries per chunk, and
 buckets, sized by the measured amount of text, stay even. What comes back to a chunk
 are the hashes that repeat, not pairs or places. The texts are shuffled once; all
-passes read that one exchange. Nothing depends on the order of rows.
+passes read that one exchange. Nothing depends on the order of rows. Rows equal in id
+and text share a chunk, as ids are taken to tell documents apart.
 
 Defined cases: null or empty text has no words; texts shorter than a window have no
 repeats. Null or repeated ids are carried along, each row is its own document, and
