@@ -47,13 +47,10 @@ def temporal_split(spans: DataFrame, train: tuple[str, str], test: tuple[str, st
     ranked = o.ordered_scan(scope, ["__g"], ["__neg", "patient_id"], F.floor(F.col("__neg") / 86400),
                             {"__rank": o.row_number()})
     share = F.lit(1.0) - F.lit(train_size) - F.lit(val_size)
-    sizes = o.ordered_scan(ranked.withColumn("__d", c.stable_digest(seed, "patient_id")),
-                           [], ["__d", "patient_id"], o.hash_segment("__d"), {
-        "__n": o.total("sum", F.lit(1)),
-        "__certain": o.total("sum", (F.col("__g") == "test").cast("int"))})
-    gap = F.greatest(F.floor(F.col("__n") * share) - F.col("__certain"), F.lit(0))
+    n_scope, n_certain = (scope.select(x).scalar() for x in (F.count(F.lit(1)), F.count_if(F.col("__g") == "test")))
+    gap = F.greatest(F.floor(n_scope * share) - n_certain, F.lit(0))
     is_test = (F.col("__g") == "test") | ((F.col("__g") == "both") & (F.col("__rank") <= gap))
-    marked = sizes.withColumn("__test", is_test)
+    marked = ranked.withColumns({"__test": is_test, "__d": c.stable_digest(seed, "patient_id")})
     shuffled = o.ordered_scan(marked, ["__test"], ["__d", "patient_id"], o.hash_segment("__d"), {
         "__pos": o.row_number(), "__m": o.total("sum", F.lit(1))})
     n_train = F.floor(F.col("__m") * F.lit(train_size) / (F.lit(train_size) + F.lit(val_size)))
@@ -138,13 +135,11 @@ def cohort_stats(events: DataFrame, stays: DataFrame, keys: Sequence[str] = (),
     out = totals.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(n).alias("statistic"), F.col(n).alias("value")) for n in names])).alias("s")
     ).select(*keys, "s.*")
-    spreads = [("age", facts.select(*keys, F.col("age_years").cast("double").alias("value"), "weight")),
-               ("period", facts.select(*keys, F.col("follow_up_days").cast("double").alias("value"), "weight")),
-               ("length_of_stay", lengths.select(*keys, "value", "weight"))]
-    series = None
-    for name, frame in spreads:
-        frame = frame.withColumn("series", F.lit(name))
-        series = frame if series is None else series.unionByName(frame)
+    per_patient = F.explode(F.array(*[
+        F.struct(F.lit(name).alias("series"), F.col(column).cast("double").alias("value"))
+        for name, column in (("age", "age_years"), ("period", "follow_up_days"))]))
+    series = facts.select(*keys, "weight", per_patient.alias("s")).select(*keys, "s.*", "weight").unionByName(
+        lengths.select(*keys, F.lit("length_of_stay").alias("series"), "value", "weight"))
     group = [*keys, "series"]
     counts = q.value_counts(series, group, "value", weight="weight")
     middle = q.percentiles(counts, group, "value", {"median": 0.5}).drop("n")

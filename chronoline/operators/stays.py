@@ -11,7 +11,7 @@ from chronoline import fixed_values as fv
 from chronoline.functions import ordered as o
 from chronoline.functions import scalars as c
 from chronoline.operators.clean import events_in_windows
-from chronoline.operators.lookups import next_event, pair_admissions
+from chronoline.operators.lookups import pair_admissions
 
 DAY = 1440
 EVENT_ORDER = ("age_min", "type", "event_id")

@@ -10,7 +10,9 @@ SF = "/root/testdata/sf0.001"
 SHOWN = ["flagship_stays", "validate_table", "known_before", "time_bin_label", "pair_code_result",
          "timeline_rules_check", "numeric_stats_trimmed", "percentile_grid", "temporal_split",
          "bootstrap_code_counts", "build_timeline", "label_timeline", "training_windows",
-         "mc_event_probability", "sex_plausibility_summary", "auprc"]
+         "mc_event_probability", "sex_plausibility_summary", "auprc", "time_noise", "sample_ages",
+         "epoch_resample", "lab_distribution", "single_patient_timeline", "simulation_order", "top_n",
+         "correlation_matrix", "lab_cooccurrence_pairs", "draw_samples", "rank_nonnumeric_tokens"]
 
 
 @pytest.fixture(scope="module")
