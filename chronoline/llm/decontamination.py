@@ -80,37 +80,33 @@ def sketches(items: DataFrame, percent: int = PERCENT) -> DataFrame:
                            F.slice(F.sort_array("hashes"), F.lit(1), lacking + 1).alias("sketch"))
 
 
-def contained_in_texts(docs: DataFrame, items: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """(digest, item_id, n_shingles, n_shared) for the distinct texts that hold an item."""
-    index = stored(sketches(items, percent), "sketches")
+def candidates(docs: DataFrame, index: DataFrame, text: str = "text") -> DataFrame:
+    """(digest, item_id): texts that hold enough values of an item's sketch. `index` is a stored `sketches`."""
     facts = index.agg(F.sum(F.size("sketch").cast("long")), F.max(F.array_max("sketch")),
                       F.collect_set("size")).first()  # three facts, at most SHINGLE sizes
     values, ceiling, sizes = facts[0] or 0, facts[1], sorted(facts[2])
     probes = index.select("item_id", "size", F.explode("sketch").alias("h"))
     probes = F.broadcast(probes) if values <= BROADCAST_ROWS else probes
-    keyed = docs.where(F.col(text).isNotNull()).select(digest_of(F.col(text)).alias("digest"), F.col(text).alias("__text"))
-    low = keyed.select("digest", words_of(F.lower("__text")).alias("w"))
+    keyed = docs.where(F.col(text).isNotNull()).select(
+        digest_of(F.col(text)).alias("digest"), words_of(F.lower(F.col(text))).alias("w"))
 
     def below_ceiling(k):
         hashes = F.array_distinct(F.filter(shingle_hashes(F.col("w"), k), lambda h: h <= F.lit(ceiling)))
         return F.transform(hashes, lambda h: F.struct(F.lit(k).alias("size"), h.alias("h")))
 
     if not sizes:
-        return keyed.where(F.lit(False)).select("digest", F.lit(0).cast("long").alias("item_id"),
-                                                F.lit(0).alias("n_shingles"), F.lit(0).alias("n_shared"))
-    hits = (low.select("digest", F.explode(F.flatten(F.array(*[below_ceiling(k) for k in sizes]))).alias("x")).select("digest", "x.size", "x.h")
+        return keyed.where(F.lit(False)).select("digest", F.lit(0).cast("long").alias("item_id"))
+    hits = (keyed.select("digest", F.explode(F.flatten(F.array(*[below_ceiling(k) for k in sizes]))).alias("x"))
+            .select("digest", "x.size", "x.h")
             .join(probes, ["size", "h"]).select("digest", "item_id", "h").distinct()
             .groupBy("digest", "item_id").agg(F.count(F.lit(1)).alias("hits")))
-    pairs = stored(hits.join(index.select("item_id", F.size("sketch").alias("k"), "lacking"), "item_id")
-                   .where(F.col("hits") >= F.col("k") - F.col("lacking")).select("digest", "item_id"), "candidates")
-    # Copies of a frequent text are spread over salts, the few candidates repeated for each.
-    salted = pairs.select("digest").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    spread = keyed.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-    wanted = spread.join(salted.hint("merge"), ["digest", "salt"], "left_semi").drop("salt").dropDuplicates(["digest"])
-    held = wanted.join(pairs, "digest").join(index.select("item_id", "size", "texts", "m"), "item_id")
-    shared = F.size(F.array_intersect("texts", _by_size(F.col("size"), lambda k: shingle_texts(words_of(F.lower("__text")), k))))
-    return (held.select("digest", "item_id", F.col("m").alias("n_shingles"), shared.alias("n_shared"))
-            .where(F.col("n_shared") * 100 >= F.col("n_shingles") * percent))
+    return (hits.join(index.select("item_id", F.size("sketch").alias("k"), "lacking"), "item_id")
+            .where(F.col("hits") >= F.col("k") - F.col("lacking")).select("digest", "item_id"))
+
+
+def _shared(text: Column, size: Column, texts: Column) -> Column:
+    """How many of an item's shingles a text holds."""
+    return F.size(F.array_intersect(texts, _by_size(size, lambda k: shingle_texts(words_of(F.lower(text)), k))))
 
 
 def _items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
@@ -120,18 +116,36 @@ def _items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
 def contained(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
               item_id: str = "item_id", item_text: str = "text", percent: int = PERCENT) -> DataFrame:
     """A row for each document and each item that it holds."""
-    found = stored(contained_in_texts(docs, _items(benchmark, item_id, item_text), text, percent), "contained")
+    index = stored(sketches(_items(benchmark, item_id, item_text), percent), "sketches")
+    pairs = stored(candidates(docs, index, text), "candidates")
+    # Copies of a frequent text are spread over salts, the few candidates repeated for each.
+    salted = pairs.select("digest").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = docs.where(F.col(text).isNotNull()).select(
+        digest_of(F.col(text)).alias("digest"), F.col(text).alias("__text"),
+        F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"))
+    wanted = spread.join(salted.hint("merge"), ["digest", "salt"], "left_semi").drop("salt").dropDuplicates(["digest"])
+    held = wanted.join(pairs, "digest").join(index.select("item_id", "size", "texts", "m"), "item_id").select(
+        "digest", "item_id", F.col("m").cast("long").alias("n_shingles"),
+        _shared(F.col("__text"), F.col("size"), F.col("texts")).cast("long").alias("n_shared"))
+    found = stored(held.where(F.col("n_shared") * 100 >= F.col("n_shingles") * percent), "contained")
     ids = docs.select(F.col(doc_id).alias("doc_id"), digest_of(F.col(text)).alias("digest"))
     return ids.join(found, "digest").select(
-        "doc_id", "item_id", F.col("n_shingles").cast("long"), F.col("n_shared").cast("long"),
-        (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
+        "doc_id", "item_id", "n_shingles", "n_shared", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The documents that hold no item, columns as they are."""
-    found = stored(contained_in_texts(docs, _items(benchmark, "item_id", "text"), text, percent)
-                   .select(F.col("digest").alias("__digest")).distinct(), "contained")
-    return (docs.withColumn("__digest", digest_of(F.col(text))).join(found.hint("merge"), "__digest", "left_anti").drop("__digest"))
+    """The documents that hold no item, columns as they are.
+
+    Documents meet the candidate items of their text, at most the benchmark's
+    number, in one join and are verified there, so texts move once.
+    """
+    index = stored(sketches(_items(benchmark, "item_id", "text"), percent), "sketches")
+    pairs = stored(candidates(docs, index, text), "candidates")
+    suspects = pairs.join(index, "item_id").groupBy(F.col("digest").alias("__digest")).agg(
+        F.collect_list(F.struct("size", "texts", "m")).alias("__items"))
+    holds = F.exists("__items", lambda x: _shared(F.col(text), x["size"], x["texts"]) * 100 >= x["m"] * percent)
+    return (docs.withColumn("__digest", digest_of(F.col(text))).join(suspects.hint("merge"), "__digest", "left")
+            .where(~F.coalesce(holds, F.lit(False))).drop("__digest", "__items"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
