@@ -47,6 +47,8 @@ FUNCTION_WORDS = (
     "el", "los", "del", "se", "por", "con", "para", "su", "al", "y",
     "di", "il", "che", "per", "non", "een", "het", "van", "em", "os")
 ITERATIONS = 25
+# Rules on shares that a line or a name can exceed in a short text ask for so many words.
+LONG = 30
 # Start of the iterations, and pseudo-documents that hold every estimate near it in
 # small corpora: the chance that a rule votes, for rules that vote bad and rules that
 # vote good, in either class, and the share of good documents.
@@ -133,8 +135,8 @@ def conditions() -> dict[str, Column]:
     above = lambda part, whole, percent: F.col(part) * 100 > whole * percent
     return {
         "symbols": above("n_symbols", n, 10), "some_symbols": above("n_symbols", n, 3),
-        "upper_case": above("n_upper", chars, 30), "some_upper_case": above("n_upper", chars, 15),
-        "shouting": above("n_shouts", n, 20), "repeated_lines": above("n_dup_lines", lines, 30),
+        "upper_case": above("n_upper", chars, 30), "some_upper_case": above("n_upper", chars, 15) & (n >= LONG),
+        "shouting": above("n_shouts", n, 20), "repeated_lines": above("n_dup_lines", lines, 30) & (n >= LONG),
         "repeated_words": above("n_repeat_words", n, 10), "long_words": chars > 25 * n,
         "function_words": F.col("n_function_words") >= 2, "closed_lines": 2 * F.col("n_closed_lines") >= lines,
     }
@@ -228,7 +230,7 @@ def op1_sql() -> str:
     """The same counts, votes and iterations in SQL; each iteration is a subquery of the next."""
     of = RULES
     votes = ("n_symbols * 100 > n_words * 10", "n_symbols * 100 > n_words * 3", "n_upper * 100 > word_chars * 30",
-             "n_upper * 100 > word_chars * 15", "n_shouts * 100 > n_words * 20", "n_dup_lines * 100 > n_lines * 30",
+             f"n_upper * 100 > word_chars * 15 AND n_words >= {LONG}", "n_shouts * 100 > n_words * 20", f"n_dup_lines * 100 > n_lines * 30 AND n_words >= {LONG}",
              "n_repeat_words * 100 > n_words * 10", "word_chars > 25 * n_words", "n_function_words >= 2",
              "2 * n_closed_lines >= n_lines")
     places = range(len(of))

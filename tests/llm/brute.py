@@ -27,7 +27,7 @@ def votes(c):
     n = c["n_words"]
     more = lambda part, whole, percent: part * 100 > whole * percent
     return (more(c["n_symbols"], n, 10), more(c["n_symbols"], n, 3), more(c["n_upper"], c["word_chars"], 30),
-            more(c["n_upper"], c["word_chars"], 15), more(c["n_shouts"], n, 20), more(c["n_dup_lines"], c["n_lines"], 30),
+            more(c["n_upper"], c["word_chars"], 15) and n >= 30, more(c["n_shouts"], n, 20), more(c["n_dup_lines"], c["n_lines"], 30) and n >= 30,
             more(c["n_repeat_words"], n, 10), c["word_chars"] > 25 * n, c["n_function_words"] >= 2,
             2 * c["n_closed_lines"] >= c["n_lines"])
 
