@@ -192,7 +192,7 @@ def lab_cooccurrence_pairs(spark, sf):
 
 _BRANDS = [f"Brand#{i}" for i in range(1, 26)]
 _DAYS = "epoch(ts)::bigint // 60"
-_CELL = ", ".join(f"arg_min(\"numeric\", record_no) filter (item_code = '{b}') as \"{b}\"" for b in _BRANDS)
+_CELL = ", ".join(f"arg_min(\"numeric\", (record_no, \"numeric\")) filter (item_code = '{b}') as \"{b}\"" for b in _BRANDS)
 _PIVOT = f"""(select patient_id, {_DAYS} as age_min, {_CELL} from labs where "numeric" is not null and item_code in ({', '.join(f"'{b}'" for b in _BRANDS)}) group by 1, 2)"""
 
 

@@ -321,10 +321,10 @@ def _rank(code: str, codes: Sequence[str] | None) -> Column:
 
 def lab_values(rows: DataFrame, keys: Sequence[str] = ("patient_id",), order: str = "event_id",
                codes: Sequence[str] | None = None) -> DataFrame:
-    """(keys, age_min, code, value): numeric results, the first of a code at one time."""
+    """(keys, age_min, code, value): numeric results, the first of a code at one time (ties: the smaller)."""
     wanted = rows if codes is None else rows.filter(F.col("code").isin(*codes))
     parsed = wanted.withColumn("value", c.leading_number("result")).filter(F.col("value").isNotNull())
-    return parsed.groupBy(*keys, "age_min", "code").agg(F.min_by("value", F.col(order)).alias("value"))
+    return parsed.groupBy(*keys, "age_min", "code").agg(F.min_by("value", F.struct(F.col(order), "value")).alias("value"))
 
 
 def lab_pivot(rows: DataFrame, codes: Sequence[str], keys: Sequence[str] = ("patient_id",),
