@@ -15,7 +15,8 @@ fixed or derives anew makes the result valid again:
   to 28, else in its year only (29 February stays);
 * IPv4 addresses (numbers up to 255); US social security numbers (valid ranges);
 * telephone numbers: national ones with valid first digits of area and exchange; with
-  a country code, the code (1, else one digit) is kept;
+  a country code, the code (1, else one digit) is kept; ten digits after +1 that are no
+  national number keep which of area and exchange start with 0 or 1;
 * e-mail addresses: letters and digits, but for the last label, by character class;
 * secrets (access keys, values after password, token or the like): by character class.
 
@@ -209,7 +210,7 @@ def _ssn(text: Column, key: str) -> Column:
 
 
 def _phone(text: Column, key: str) -> Column:
-    """Digits after the country code; of ten digits, the first of area and exchange stay 2 to 9."""
+    """Digits after the country code; of ten digits, the first of area and exchange stay 2 to 9, or 0 to 1 after +1."""
     coded = text.startswith("+")
     head = F.when(coded, F.substring(text, 1, 2)).otherwise("")
     rest = F.when(coded, F.substring(text, 3, 60)).otherwise(text)
@@ -221,9 +222,17 @@ def _phone(text: Column, key: str) -> Column:
         moved = lambda kind, least: F.transform(feistel(
             F.transform(digits, lambda d, k: d - least(k)), F.transform(digits, lambda d, k: 10 - least(k)), kind, key),
             lambda v, k: v + least(k))
+        # Of area and exchange one at least starts with 0 or 1: which of them do stays, so the set is closed.
+        low = lambda d, k: k.isin(0, 3) & (d < 2)
+        high = lambda d, k: k.isin(0, 3) & (d > 1)
+        outside = F.zip_with(
+            feistel(F.transform(digits, lambda d, k: F.when(high(d, k), d - 2).otherwise(d)),
+                    F.transform(digits, lambda d, k: F.when(low(d, k), 2).when(high(d, k), 8).otherwise(10).cast("long")), "phone+1", key),
+            F.transform(digits, lambda d, k: F.when(high(d, k), 2).otherwise(0).cast("long")), lambda v, least: v + least)
         two = lambda k: F.when(k.isin(0, 3), 2).otherwise(0).cast("long")
         none = lambda k: F.lit(0).cast("long")
         return F.when(national, F.concat(head, _with_digits(rest, moved("phone", two)))).when(
+            (head == "+1") & (F.size(digits) == 10), F.concat(head, _with_digits(rest, outside))).when(
             coded & (head != "+1") & F.size(digits).between(6, 14), F.concat(head, _with_digits(rest, moved("phone+", none)))
         ).otherwise(text)
     return let(_digits_of(rest), of)

@@ -85,3 +85,14 @@ def test_nulls_long_texts_and_clashing_columns(spark):
     new = re.search(r"and (\S+)", got[2].text)[1]
     assert got[2].text == long.replace("27.178.215.227", new) and new != "27.178.215.227"
     assert pii.pseudonymise(rows.where(F.lit(False))).count() == 0
+
+
+def test_numbers_of_code_one_outside_the_national_format(many):
+    numbers = ["+1 (017) 555-7713", "+1 (316) 155-2121", "+1 (117) 055-7713", "+1 0175557713"]
+    numbers += [f"+1 ({a:03}) {e:03}-2121" for a in range(60, 200, 7) for e in (20, 155, 555)]
+    out = many([f"call {n}, then" for n in numbers])
+    new = [t[5:-6] for t in out]
+    first = lambda n: [re.sub(r"\D", "", n)[k] > "1" for k in (1, 4)]
+    for n, x in zip(numbers, new, strict=True):
+        assert x != n and shape(x) == shape(n) and x.startswith("+1") and first(x) == first(n), (n, x)
+    assert len(set(new)) == len(set(numbers)) and many(numbers) == new
