@@ -47,7 +47,12 @@ DATE = r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b|\b[0-9]{4}/[0-9]{2}/[0-9]{2}\b|\b[0-9]{2
 IPV4 = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 SSN = r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
 CARD = r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])"
-PHONE = (r"\+[0-9]{1,3}(?:[ .\-]?\(?[0-9]{1,4}\)?){2,5}(?![0-9])"
+# Digits of a telephone number with what may stand before each; a blank leads to no date and no IP address.
+_DIGIT = rf"(?:(?! (?:{IPV4}|{DATE}))[ .\-])?\(?[0-9]\)?"
+_TAIL = r"(?:[.\-]?\(?[0-9]\)?){0,6}(?![0-9])"
+# After 8 digits (9 where numbers of 10 are written 3-3-2-2) a number is complete: no blank joins more digits to it.
+PHONE = (rf"\+1(?:{_DIGIT}){{10}}(?![0-9])|\+[0-9]{{10,15}}(?![0-9])"
+         rf"|\+(?:7|49|90)(?:{_DIGIT}){{2,9}}{_TAIL}|\+[0-9]{{1,3}}(?:{_DIGIT}){{2,8}}{_TAIL}"
          r"|(?<![0-9(])\(?[2-9][0-9]{2}\)?[ .\-][2-9][0-9]{2}[ .\-][0-9]{4}(?![0-9])")
 PATTERN = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, IBAN, DATE, IPV4, SSN, CARD, PHONE))
 DAYS_400_YEARS = 146_097  # 189 * 773

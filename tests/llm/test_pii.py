@@ -96,3 +96,14 @@ def test_numbers_of_code_one_outside_the_national_format(many):
     for n, x in zip(numbers, new, strict=True):
         assert x != n and shape(x) == shape(n) and x.startswith("+1") and first(x) == first(n), (n, x)
     assert len(set(new)) == len(set(numbers)) and many(numbers) == new
+
+
+def test_values_after_a_telephone_number_stay_apart(many):
+    numbers = ["+1 (826) 555-4081", "+1 826.555.4081", "+1 (017) 555-7713", "+49 30 1234567", "+44 20 7946 0958", "+33 1 23 45 67 89",
+               "+7 495 123 45 67", "+45 12 34 56 78", "+4930123456"]
+    after = ["190.137.223.204", "2020-02-29", "31.12.1999", "4429820930819525", "12", "2,000", "190.137"]
+    alone = dict(zip(numbers + after, many(numbers + after), strict=True))
+    assert all(alone[n] != n for n in numbers) and alone["190.137.223.204"] != "190.137.223.204"
+    pairs = [(n, a) for n in numbers for a in after]
+    assert many([f"{n} {a}" for n, a in pairs]) == [f"{alone[n]} {alone[a]}" for n, a in pairs]
+    assert many(["+1 555 1234 2020-02-29"]) == ["+1 555 1234 " + alone["2020-02-29"]]
