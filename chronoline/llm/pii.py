@@ -18,7 +18,8 @@ fixed or derives anew makes the result valid again:
   a country code, the code (1, else one digit) is kept; ten digits after +1 that are no
   national number keep which of area and exchange start with 0 or 1;
 * e-mail addresses: letters and digits, but for the last label, by character class;
-* secrets (access keys, values after password, token or the like): by character class.
+* secrets (access keys, values after password, token or the like): by character class,
+  long ones in pieces, so that the cost follows the length.
 
 What fails its validation stays as it is. Only column expressions are used; texts
 without a digit, `@`, `=` or `:` are passed through after one look.
@@ -40,7 +41,7 @@ KEY = "replace-this-key"
 # The formats looked for, in order of precedence.
 EMAIL = r"[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,8}\.[A-Za-z]{2,24}"
 SECRET = (r"\bAKIA[0-9A-Z]{16}\b"
-          r"|\b(?i:password|passwd|pwd|secret|token|api[_\-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_\-+/.]{6,256}")
+          r"|\b(?i:password|passwd|pwd|secret|token|api[_\-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_\-+/.]{6,}+")
 SECRET_HEAD = r"^(?:AKIA|(?i:password|passwd|pwd|secret|token|api[_\-]?key)\s{0,3}[=:]\s{0,3}[\"']?)"
 IBAN = r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b"
 DATE = r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b|\b[0-9]{4}/[0-9]{2}/[0-9]{2}\b|\b[0-9]{2}\.[0-9]{2}\.[0-9]{4}\b|\b[0-9]{2}/[0-9]{2}/[0-9]{4}\b"
@@ -55,6 +56,8 @@ PHONE = (rf"\+1(?:{_DIGIT}){{10}}(?![0-9])|\+[0-9]{{10,15}}(?![0-9])"
          rf"|\+(?:7|49|90)(?:{_DIGIT}){{2,9}}{_TAIL}|\+[0-9]{{1,3}}(?:{_DIGIT}){{2,8}}{_TAIL}"
          r"|(?<![0-9(])\(?[2-9][0-9]{2}\)?[ .\-][2-9][0-9]{2}[ .\-][0-9]{4}(?![0-9])")
 PATTERN = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, IBAN, DATE, IPV4, SSN, CARD, PHONE))
+# Pieces of a long secret: 256 characters while 128 or more follow, and the rest.
+PIECE = r".{256}(?=.{128})|.+"
 DAYS_400_YEARS = 146_097  # 189 * 773
 
 
@@ -250,7 +253,8 @@ def _email(text: Column, key: str) -> Column:
 
 def _secret(text: Column, key: str) -> Column:
     head = F.regexp_extract(text, SECRET_HEAD, 0)
-    return F.concat(head, by_class(F.substr(text, F.length(head) + 1), "secret", key))
+    pieces = F.regexp_extract_all(F.substr(text, F.length(head) + 1), F.lit(PIECE), F.lit(0))
+    return F.concat(head, F.array_join(F.transform(pieces, lambda p: by_class(p, "secret", key)), ""))
 
 
 def pseudonym(value: Column, key: str = KEY) -> Column:

@@ -107,3 +107,15 @@ def test_values_after_a_telephone_number_stay_apart(many):
     pairs = [(n, a) for n in numbers for a in after]
     assert many([f"{n} {a}" for n, a in pairs]) == [f"{alone[n]} {alone[a]}" for n, a in pairs]
     assert many(["+1 555 1234 2020-02-29"]) == ["+1 555 1234 " + alone["2020-02-29"]]
+
+
+def test_long_secrets_are_replaced_whole(many):
+    tokens = ["".join(chr(97 + (k * k + n) % 26) for k in range(n)) for n in (40, 256, 257, 384, 1000, 20000)]
+    values = tokens + [tokens[4][:-1] + "#", tokens[4][:-1] + "A"]
+    new = [t[6:] for t in many([f"token={v}" for v in values])]
+    for value, got in zip(values, new, strict=True):
+        assert shape(got) == shape(value)
+        for k in range(0, len(value) - 40, 40):
+            assert got[k:k + 40] != value[k:k + 40], (len(value), k)
+        assert got[-16:] != value[-16:]
+    assert len(set(new)) == len(set(values)) and many([f"a token={tokens[4]}"])[0] == f"a token={new[4]}"
