@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -139,16 +140,15 @@ def epoch_resample(metadata: DataFrame, max_length: int, epoch: int, seed: int =
         "__d", c.stable_digest(seed, "patient_id"))
     line = o.ordered_scan(keyed, [], ["__d", "patient_id"], o.hash_segment("__d"), {
         "__end": o.running_sum(F.col("__w"))})
-    total = keyed.select(F.sum("__w")).scalar()
-    n = F.ceil(total)
-    whole = keyed.agg(F.ceil(F.sum("__w")).alias("__n")).where("__n > 0")
-    points = whole.select(F.explode(F.sequence(F.lit(1).cast("long"), "__n")).alias("draw")).withColumn(
+    sum_ = keyed.agg(F.sum("__w")).first()[0] or 0.0
+    total, n = F.lit(sum_), math.ceil(sum_)
+    points = metadata.sparkSession.range(1, n + 1).select(F.col("id").alias("draw")).withColumn(
         "__x", c.digest_uniform(c.stable_digest(seed, F.lit(epoch), "draw")) * total)
     starts = line.select((F.col("__end") - F.col("__w")).alias("__x"), F.lit(0).alias("__r"),
                          "patient_id", F.lit(None).cast("long").alias("draw"))
     merged = starts.unionByName(points.select("__x", F.lit(1).alias("__r"),
                                               F.lit(None).cast("string").alias("patient_id"), "draw"))
-    piece = F.floor(F.col("__x") / F.greatest(total / F.greatest(n / F.lit(4096.0), F.lit(1.0)),
+    piece = F.floor(F.col("__x") / F.greatest(total / F.lit(max(n / 4096.0, 1.0)),
                                               F.lit(1e-9)))
     found = o.ordered_scan(merged.withColumn("__tie", F.coalesce("draw", F.lit(-1))), [],
                            ["__x", "__r", "__tie"], piece,

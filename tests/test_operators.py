@@ -313,6 +313,13 @@ def test_epoch_draws_follow_the_weights(rows):
     assert resample.epoch_resample(lengths.filter("patient_id = 'x'"), 64, 0).count() == 0
 
 
+def test_epoch_draws_come_from_a_range(rows):
+    from chronoline.operators import resample
+    lengths = rows([("a", 10), ("b", 96), ("c", 64 * 30)], "patient_id string, effective_length long")
+    plan = resample.epoch_resample(lengths, 64, 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range (1, 14" in plan and "explode(" not in plan
+
+
 def test_first_lab_value_is_by_row_order(rows):
     from chronoline.operators import simeval
     names = "patient_id string, admission_no int, day int, sim_id string, horizon int, type int, age_min long, code string, result string, event_id long"
