@@ -48,7 +48,7 @@ class Template:
 
 
 # The phrases of the contract.
-PHRASES = (Template("mit", "the mit license", (), True), Template("apache-2", "apache license version 2", (), True),
+PHRASES = (Template("mit", "under the mit license", (), True), Template("apache-2", "apache license version 2", (), True),
            Template("cc-by-nc", "cc by nc", (), True))
 # Notices and opening clauses of public licenses.
 NOTICES = (
@@ -56,6 +56,7 @@ NOTICES = (
                     "associated documentation files the software to deal in the software without restriction",
              ("hereby granted free of charge", "without restriction")),
     Template("mit", "released under the mit license", ("under the mit license",)),
+    Template("mit", "the mit license", ("the mit license",)),
     Template("apache-2", "licensed under the apache license version 2 0", ("apache license version 2",)),
     Template("gpl-2", "licensed under the gnu general public license version 2", ("gnu general public license version 2",)),
     Template("gpl-3", "licensed under the gnu general public license version 3", ("gnu general public license version 3",)),

@@ -15,7 +15,7 @@ def brute(text):
         else:
             word += c
     places = []
-    for label, phrase in (("mit", "the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc")):
+    for label, phrase in (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc")):
         p = phrase.split()
         places += [(i, label) for i in range(len(words) - len(p) + 1) if words[i:i + len(p)] == p]
     starts = [i for i, _ in places]
@@ -39,19 +39,21 @@ def test_whole_table_against_brute_force(spark):
 
 def test_cases(spark):
     texts = {
-        1: "Released under THE MIT license. the MIT-License the mit license", 2: None, 3: "", 4: "cc by nc cc-by-nc CC BY nc4",
+        1: "Released under THE MIT license. the MIT-License, under the mit license", 2: None, 3: "", 4: "cc by nc cc-by-nc CC BY nc4",
         5: "Licensed under the Apache License, Version 2.0.", 6: "mit der mit und the the mit " * 50,
         7: "This work is licensed under the GNU General Public License, version 3.",
         8: "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
            "documentation files (the Software), to deal in our Software without restriction",
         9: "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
            "the following conditions are met:", 10: "version 3 of the general public gnu license", 11: "éthe mit licenseé",
-        12: "filler " * 50000 + "the mit license", 13: "licensed under the general public opinion", 14: "the mit license"}
+        12: "filler " * 50000 + "under the mit license", 13: "licensed under the general public opinion", 14: "the mit license"}
     docs = spark.createDataFrame([(k, v, "clash") for k, v in texts.items()], "doc_id long, text string, labels string")
     got = check(docs)
     assert {k: got[k].labels for k in texts} == {
         1: "mit", 2: "", 3: "", 4: "cc-by-nc", 5: "apache-2", 6: "", 7: "gpl-3", 8: "mit", 9: "bsd", 10: "", 11: "",
         12: "mit", 13: "", 14: "mit"}
+    # The bare name is no base phrase; it labels as a notice.
+    assert (got[1].n_base, got[12].n_base, got[12].first_word, got[14].n_base, got[14].base_labels) == (2, 1, 50000, 0, "")
     assert got[7].score == 1.0 and got[2].score == 0.0 and 0.6 <= got[8].score < 1.0
 
 
