@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoline.llm import chat, decontamination, licenses, packing, pii, quality, simhash, substring, url_filters, warc
+from chronoline.llm import (
+    alignment, chat, decontamination, licenses, packing, periodic, pii, quality, simhash, substring, toxicity, url_filters, warc,
+)
 from chronoline.session import apply_defaults
 
 QUERIES = {
@@ -20,6 +22,9 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_pii": pii.op9_pii,
     "op10_license_scans": licenses.op10_license_scans,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_cross_tokenizer_alignment": alignment.op12_cross_tokenizer_alignment,
+    "op13_toxicity": toxicity.op13_toxicity,
 }
 ORACLES = {"op1_quality_rules": quality.op1_sql(), "op4_chat_formatting": chat.OP4_SQL, "op7_substring_dedup": substring.OP7_SQL, "op6_decontamination": decontamination.OP6_SQL, "op2_url_filters": url_filters.op2_sql(), "op5_warc": warc.OP5_SQL}
 
