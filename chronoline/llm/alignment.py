@@ -11,8 +11,9 @@ The first pass runs where the rows are read. It deals documents into chunks of a
 `chunk_links` links and adds up links by id pair inside a chunk, so what is shuffled
 for the corpus-wide counts is one row per (chunk, pair). The counts come back to the
 chunk's pairs by a join, and each chunk's documents meet them in one group: its
-documents hold places in the chunk's pair list, four bytes a link. One document is
-never cut, so a chunk exceeds `chunk_links` by its last document at most.
+documents hold places in the chunk's pair list, two bytes a link (four in a chunk of
+more than 65,536 pairs). One document is never cut, so a chunk exceeds `chunk_links` by its last
+document at most.
 
 `align` returns the documents, `link_table` how often each id pair is linked and
 whether it is the best of its B id, `score` both together.
@@ -161,9 +162,9 @@ def _aligner(a: str, b: str) -> Aligner:
 ROWS = pa.schema([
     ("chunk", pa.int64()), ("is_document", pa.bool_()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()),
     ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups", pa.string()), ("groups_sha256", pa.string()),
-    ("places", pa.binary()), ("pairs", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
+    ("place_bytes", pa.int32()), ("places", pa.binary()), ("pairs", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
 ROWS_SQL = ("chunk long, is_document boolean, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, "
-            "groups_sha256 string, places binary, pairs array<long>, times array<long>")
+            "groups_sha256 string, place_bytes int, places binary, pairs array<long>, times array<long>")
 
 
 def _chunk(number: int, rows: list, links: list) -> pa.RecordBatch:
@@ -171,9 +172,10 @@ def _chunk(number: int, rows: list, links: list) -> pa.RecordBatch:
     codes = np.concatenate(links)
     pairs, places, times = np.unique(codes, return_inverse=True, return_counts=True)
     at = np.cumsum([0, *map(len, links)])
-    places = places.astype("<i4")
-    out = [(number, True, *row, places[s:e].tobytes(), None, None) for row, s, e in zip(rows, at[:-1], at[1:], strict=True)]
-    out.append((number, False, *[None] * 8, pairs, times))
+    wide = 2 if len(pairs) <= 1 << 16 else 4
+    places = places.astype(f"<u{wide}")
+    out = [(number, True, *row, wide, places[s:e].tobytes(), None, None) for row, s, e in zip(rows, at[:-1], at[1:], strict=True)]
+    out.append((number, False, *[None] * 9, pairs, times))
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), ROWS, strict=True)],
                                       schema=ROWS)
 
@@ -232,8 +234,8 @@ def score(aligned: DataFrame) -> DataFrame:
         links = pairs["links"].to_numpy()[order]
         best = pairs["best"].to_numpy()[order].astype(np.int64)
         sums, bests = [], []
-        for places in documents["places"]:
-            at = np.frombuffer(places.as_buffer(), "<i4")
+        for wide, places in zip(documents["place_bytes"], documents["places"], strict=True):
+            at = np.frombuffer(places.as_buffer(), f"<u{wide.as_py()}")
             sums.append(int(links[at].sum()))
             bests.append(int(best[at].sum()))
         columns = {"n_best": pa.array(bests, pa.int64()), "count_sum": pa.array(sums, pa.int64())}
