@@ -7,6 +7,11 @@ ends there, one for A and one for B. The ends held by both dictionaries (a hash-
 intersection), in order, cut both lists into groups; inside a group the tokens whose
 byte ranges overlap are linked. Other texts have no tokens.
 
+No token of either tokenizer spans a single blank between two other characters, so both
+end there and the parts between such blanks are aligned by themselves; parts met
+before come from a bounded cache. That holds for Latin letters and is checked on B's
+vocabulary; texts with other letters are aligned whole.
+
 The first pass runs where the rows are read. It deals documents into chunks of about
 `chunk_links` links and adds up links by id pair inside a chunk, so what is shuffled
 for the corpus-wide counts is one row per (chunk, pair). The counts come back to the
@@ -29,6 +34,8 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
+import re
+from array import array
 from itertools import accumulate, count
 
 import numpy as np
@@ -41,6 +48,16 @@ from chronoline.llm.common import small_batches, stored, table
 
 BYTE_TOKENIZER, PIECE_TOKENIZER = "byte_bpe_50k.json", "piece_bpe_32k.model"
 CHUNK_LINKS = 1 << 20
+CACHED_PARTS = 300_000
+# Python's white space holds that of both tokenizers, so fewer blanks cut, never more.
+SINGLE_BLANK = re.compile(r"(?<=\S) (?=\S)")
+
+
+NO_TOKENS = (0, 0, 0, "", b"")
+
+
+def _latin(text: str) -> bool:
+    return text.isascii() or max(text) < "\u0250"
 
 
 def _path(name: str) -> str:
@@ -87,7 +104,7 @@ class ByteTokens:
                                                special_tokens={})
 
     def ids(self, text: str) -> list[int]:
-        if self.ranks and (text.isascii() or max(text) < "ɐ"):
+        if self.ranks and _latin(text):
             return self.ranks.encode_ordinary(" " + text)
         return self.tokenizer.encode(" " + text, add_special_tokens=False).ids
 
@@ -106,9 +123,27 @@ class PieceTokens:
         return self.model.encode(text, num_threads=1)
 
 
+class _Parts(dict):
+    """What `aligned_part` gives for each part; the parts of the last generation are kept too."""
+
+    def __init__(self, aligned_part):
+        self.aligned_part, self.old = aligned_part, {}
+
+    def __missing__(self, part: str):
+        out = self.old.get(part) or self.aligned_part(part)
+        if len(self) >= CACHED_PARTS:
+            self.old = dict(self)
+            self.clear()
+        self[part] = out
+        return out
+
+
 class Aligner:
     def __init__(self, a: str, b: str):
         self.a, self.b = ByteTokens(_path(a)), PieceTokens(_path(b))
+        # The blank of a piece can only stand at its start.
+        self.by_parts = self.a.ranks is not None and not any(b" " in p.lstrip(b" ") for p in self.b.bytes)
+        self.parts = _Parts(self.aligned_part)
         self.size_a, self.size_b = [list(map(len, t.bytes)) for t in (self.a, self.b)]
         self.name_a, self.name_b = [list(map(str, range(len(t.bytes)))) for t in (self.a, self.b)]
 
@@ -121,28 +156,37 @@ class Aligner:
             return [], []
         return a, b
 
-    def align(self, text: str | None) -> tuple[int, int, list[str], list[int], list[int]]:
-        """Numbers of A and B tokens, the groups as texts, and A and B ids of all links."""
+    def align(self, text: str | None) -> tuple[int, int, int, str, bytes]:
+        """Numbers of A tokens, B tokens and groups, the groups as text, and the pairs of all links (64 bits each)."""
+        if not text or not self.by_parts or not _latin(text):
+            return self.aligned_part(text)
+        found = list(map(self.parts.__getitem__, SINGLE_BLANK.split(text)))
+        n_a, n_b, n_groups, groups, links = zip(*found, strict=True)
+        if not all(n_a):
+            return NO_TOKENS
+        return sum(n_a), sum(n_b), sum(n_groups), ";".join(groups), b"".join(links)
+
+    def aligned_part(self, text: str | None) -> tuple[int, int, int, str, bytes]:
         a, b = self.tokens(text)
+        if not a:
+            return NO_TOKENS
         ends_a = list(accumulate(map(self.size_a.__getitem__, a)))
         ends_b = list(accumulate(map(self.size_b.__getitem__, b)))
         token_a, token_b = dict(zip(ends_a, count(1))), dict(zip(ends_b, count(1)))
         names_a, names_b = list(map(self.name_a.__getitem__, a)), list(map(self.name_b.__getitem__, b))
-        groups, linked_a, linked_b = [], [], []
-        add_group, add_a, add_b = groups.append, linked_a.append, linked_b.append
+        groups, links = [], array("q")
+        add_group, add_link = groups.append, links.append
         i = j = 0
         for end in sorted(token_a.keys() & token_b.keys()):
             to_a, to_b = token_a[end], token_b[end]
             if to_a - i == 1 and to_b - j == 1:
                 add_group(f"{names_a[i]}|{names_b[j]}")
-                add_a(a[i])
-                add_b(b[j])
+                add_link(a[i] << 32 | b[j])
             else:
                 add_group(f"{','.join(names_a[i:to_a])}|{','.join(names_b[j:to_b])}")
                 # No ends meet inside a group: after each link the token that ends first gives way.
                 while True:
-                    add_a(a[i])
-                    add_b(b[j])
+                    add_link(a[i] << 32 | b[j])
                     if ends_a[i] < ends_b[j]:
                         i += 1
                     elif ends_b[j] < ends_a[i]:
@@ -150,7 +194,7 @@ class Aligner:
                     else:
                         break
             i, j = to_a, to_b
-        return len(a), len(b), groups, linked_a, linked_b
+        return len(a), len(b), len(groups), ";".join(groups), links.tobytes()
 
 
 @functools.lru_cache(maxsize=2)
@@ -189,12 +233,11 @@ def align(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", a: str =
         rows, links, held = [], [], 0
         for batch in batches:
             for key, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                n_a, n_b, groups, linked_a, linked_b = aligner.align(body.as_py())
-                joined = ";".join(groups)
-                rows.append((key, n_a, n_b, len(groups), len(linked_a), joined if keep_groups else None,
-                             hashlib.sha256(joined.encode()).hexdigest() if groups else ""))
-                links.append((np.array(linked_a, np.int64) << 32) | np.array(linked_b, np.int64))
-                held += len(linked_a) + 16
+                n_a, n_b, n_groups, groups, linked = aligner.align(body.as_py())
+                rows.append((key, n_a, n_b, n_groups, len(linked) // 8, groups if keep_groups else None,
+                             hashlib.sha256(groups.encode()).hexdigest() if groups else ""))
+                links.append(np.frombuffer(linked, np.int64))
+                held += len(links[-1]) + 16
                 if held >= chunk_links:
                     yield _chunk(number, rows, links)
                     rows, links, held, number = [], [], 0, number + 1

@@ -1,6 +1,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -93,13 +94,16 @@ def test_cases(spark):
     assert rows(docs.where("false")) == []
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(max_size=40))
+@settings(max_examples=600, deadline=None)
+@given(st.one_of(st.text(max_size=40), st.text(alphabet=st.sampled_from("aBé's  \n\t\x1c\x85\xa0\x009<|>ñɐ.,-▁"), max_size=40)))
 def test_documents_against_bytes(text):
     aligner = alignment._aligner(alignment.BYTE_TOKENIZER, alignment.PIECE_TOKENIZER)
+    assert aligner.by_parts
     a, b, groups, links = brute_document(text)
-    n_a, n_b, got, linked_a, linked_b = aligner.align(text)
-    assert (n_a, n_b, ";".join(got), Counter(zip(linked_a, linked_b, strict=True))) == (len(a), len(b), groups, links)
+    n_a, n_b, n_groups, got, linked = aligner.align(text)
+    pairs = Counter((int(p) >> 32, int(p) & 0xFFFFFFFF) for p in np.frombuffer(linked, "<i8"))
+    assert (n_a, n_b, got, pairs) == (len(a), len(b), groups, links)
+    assert n_groups == groups.count(";") + bool(groups) and aligner.aligned_part(text) == (n_a, n_b, n_groups, got, linked)
 
 
 @settings(max_examples=500, deadline=None)
