@@ -48,7 +48,7 @@ from chronoline.llm.common import small_batches, stored, table
 
 BYTE_TOKENIZER, PIECE_TOKENIZER = "byte_bpe_50k.json", "piece_bpe_32k.model"
 CHUNK_LINKS = 1 << 20
-CACHED_PARTS = 300_000
+CACHED_PARTS = 200_000
 # Python's white space holds that of both tokenizers, so fewer blanks cut, never more.
 SINGLE_BLANK = re.compile(r"(?<=\S) (?=\S)")
 
