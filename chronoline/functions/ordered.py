@@ -5,6 +5,10 @@ Here each group is cut into pieces by a monotone `segment` of its sort key;
 rows are scanned inside their piece, each piece is condensed to one row, the
 condensed rows (few per group) are scanned across pieces, and the carried
 values are joined back on (group, piece). Results equal the plain window.
+
+Without a segment the groups stay whole: that is for tables whose largest group is
+known to be small, such as the patient blocks of `sources.blocks`, where a window by
+patient needs no shuffle at all.
 """
 
 from __future__ import annotations
@@ -75,17 +79,19 @@ def ordered_scan(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    segment: Column,
+    segment: Column | None,
     outputs: dict[str, Scan],
 ) -> DataFrame:
     """Add the `outputs` columns to `df`.
 
     `segment` must be a function of the leading order column that never falls
-    as that column rises. `order` is ascending and must be total in a group.
+    as that column rises, or None for groups that are small as a whole. `order` is ascending and must be total in a group.
     An empty `keys` ranks the whole table. Null keys form a group of their own
     and null order values come first: group and piece are structs, which are
     never null themselves and compare null fields as equal.
     """
+    if segment is None:
+        return _whole_scan(df, keys, order, outputs)
     base = df.withColumns({_KEY: F.struct(*keys) if keys else F.struct(F.lit(0)), _SEG: F.struct(segment)})
     inner = [_KEY, _SEG]
     wl = Window.partitionBy(*inner).orderBy(*_asc(order))
@@ -170,6 +176,35 @@ def ordered_scan(
     return joined.select(*kept, *result)
 
 
+def _whole_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], outputs: dict[str, Scan]) -> DataFrame:
+    """The same outputs by plain windows over whole groups."""
+    group = Window.partitionBy(*keys)
+    w = group.orderBy(*_asc(order))
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    after = w.rowsBetween(1, Window.unboundedFollowing)
+    onward = w.rowsBetween(0, Window.unboundedFollowing)
+    values: dict[str, Column] = {}
+    for name, scan in outputs.items():
+        if scan.kind == "row_number":
+            values[name] = F.row_number().over(w).cast("long")
+        elif scan.kind == "sum":
+            values[name] = F.sum(scan.value).over(upto)
+        elif scan.kind == "last":
+            values[name] = F.last(scan.value, True).over(upto if scan.inclusive else before)
+        elif scan.kind == "first":
+            values[name] = F.first(scan.value, True).over(onward if scan.inclusive else after)
+        elif scan.kind == "lag":
+            values[name] = F.lag(scan.value).over(w)
+        elif scan.kind == "lead":
+            values[name] = F.lead(scan.value).over(w)
+        elif scan.kind.startswith("total_"):
+            values[name] = getattr(F, scan.kind.removeprefix("total_"))(scan.value).over(group)
+        else:
+            raise ValueError(scan.kind)
+    return df.select(*[c for c in df.columns if c not in outputs], *[v.alias(n) for n, v in values.items()])
+
+
 def global_row_number(df: DataFrame, group: str, order: Sequence[str], segment: Column,
                       out: str = "position", letters: int = 3) -> DataFrame:
     """Position of each row of the whole table by group name and `order`.
@@ -186,8 +221,10 @@ def global_row_number(df: DataFrame, group: str, order: Sequence[str], segment:
             .withColumn(out, F.col("__n") + F.col("__start")).drop("__g", "__n", "__start"))
 
 
-def time_segment(age: str | Column, minutes: int) -> Column:
-    """Piece of a minute-valued sort key."""
+def time_segment(age: str | Column, minutes: int | None) -> Column | None:
+    """Piece of a minute-valued sort key; without a width, none."""
+    if minutes is None:
+        return None
     col = F.col(age) if isinstance(age, str) else age
     return F.floor(col / F.lit(minutes))
 

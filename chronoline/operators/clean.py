@@ -167,12 +167,16 @@ def slice_window_keep_demographics(events: DataFrame, windows: DataFrame,
 
 def known_before(events: DataFrame, snapshots: DataFrame, at: str = "eval_min",
                  available: str = "time_available_min",
-                 segment_minutes: int = 90 * 1440) -> DataFrame:
+                 segment_minutes: int | None = 90 * 1440) -> DataFrame:
     """Snapshot-event pairs known at each snapshot.
 
     A snapshot first meets the time pieces its patient has rows in (one row
-    each); the events then join on (patient, piece).
+    each); the events then join on (patient, piece). Without pieces the join is by
+    patient alone, which moves no event of a table in patient blocks.
     """
+    if segment_minutes is None:
+        return snapshots.join(events, "patient_id").filter(
+            (F.col("age_min") <= F.col(at)) & (F.col(available) <= F.col(at)))
     placed = events.withColumn("__b", o.time_segment("age_min", segment_minutes))
     pieces = placed.select("patient_id", "__b").distinct()
     spread = snapshots.join(pieces, "patient_id").filter(

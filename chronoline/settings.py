@@ -26,8 +26,9 @@ class Settings:
     max_days: int = 30
     eval_minute: int = 12 * 60
     merge_med_types: bool = True
-    # Width of the pieces a patient's rows are cut into for ordered scans.
-    segment_minutes: int = 7 * 1440
+    # Width of the pieces a patient's rows are cut into for ordered scans; None where
+    # stage tables lie in patient blocks without an oversized patient.
+    segment_minutes: int | None = 7 * 1440
     seed: int = 0
     token_width: int = 10
     segment_sizes: dict = field(default_factory=dict)
