@@ -79,7 +79,8 @@ def assign_record_ids(spark, sf):
 select patient_id, event_id, code from timeline
 where patient_id = '7' and ts between timestamp '2024-01-05 00:00:00' and timestamp '2024-01-20 12:00:00'""")
 def scan_patient(spark, sf):
-    return records.scan_patient(v.timeline(spark, sf), "7", F.lit("2024-01-05 00:00:00").cast("timestamp_ntz"),
+    events = v.evd_blocks(spark, sf).frame.filter(F.col("event_id") >= 0)
+    return records.scan_patient(events, "7", F.lit("2024-01-05 00:00:00").cast("timestamp_ntz"),
                                 F.lit("2024-01-20 12:00:00").cast("timestamp_ntz"), "ts").select(
         "patient_id", "event_id", "code")
 
@@ -90,6 +91,19 @@ def scan_patients(spark, sf):
     return records.scan_patients(v.diagnoses(spark, sf), ids).select("patient_id", "record_no")
 
 
+@Q.add("""select split, patient_id, count(*) as n_rows, min(record_no) as first_record, max(record_no) as last_record
+from diagnoses join splits using (patient_id) group by all""")
+def patient_blocks(spark, sf):
+    """Records by split and patient, written in blocks, opened again and summed up without a shuffle."""
+    from chronoline.sources import blocks
+    path = _folder(spark, "blocks")
+    rows = v.diagnoses(spark, sf).join(v.splits(spark, sf), "patient_id").select(
+        "split", "patient_id", "record_no", "item_code")
+    blocks.write_blocks(rows, path, ["record_no"], split="split")
+    return blocks.open_blocks(spark, path).frame.groupBy("split", "patient_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("record_no").alias("first_record"), F.max("record_no").alias("last_record"))
+
+
 @Q.add("select split, patient_id, record_no, item_code from diagnoses join splits using (patient_id)")
 def write_dataset(spark, sf):
     rows = v.diagnoses(spark, sf).join(v.splits(spark, sf), "patient_id").select(
@@ -242,8 +256,9 @@ select s.patient_id, admission_no, day, event_id, e.code from snap s join evd e
 
 @Q.add(_KNOWN)
 def known_before(spark, sf):
-    return clean.known_before(v.evd(spark, sf), v.snapshots(spark, sf).select(
-        "patient_id", "admission_no", "day", "eval_min")).select(
+    b = v.evd_blocks(spark, sf)
+    return clean.known_before(b.frame, v.snapshots(spark, sf).select(
+        "patient_id", "admission_no", "day", "eval_min"), segment_minutes=b.segment_minutes).select(
         "patient_id", "admission_no", "day", "event_id", "code")
 
 

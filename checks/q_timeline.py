@@ -28,17 +28,18 @@ NOTHING = "system string, item_code string, item_name string"
 class Build:
     """Stages of the dataset build on the event views.
 
-    Vocabulary, timeline and labelled timeline are written to the shared folder
-    once per session, as a dataset build does, and read from there.
+    Cleaned records, vocabulary, timeline and labelled timeline are written to the shared
+    folder once per session, as a dataset build does, those by patient in patient blocks.
     """
 
     def __init__(self, spark, sf):
         self.folder = f"{shared_dir(spark).rstrip('/')}/dataset-{uuid.uuid4().hex}"
-        self.keep = plan.stored_in(self.folder)
+        self.keep = plan.BlockStore(self.folder)
         self.people = v.people(spark, sf)
-        self.splits = v.ev_splits(spark, sf)
         records = v.record_tables(spark, sf)
-        self.cleaned = plan.clean_tables(records, self.people)
+        self.cleaned = {n: self.keep(f"cleaned_{n}", d) for n, d in plan.clean_tables(records, self.people).items()}
+        self.splits = self.keep("splits", v.ev_splits(spark, sf))
+        self.settings = plan.scan_settings(SETTINGS, self.keep)
         names = spark.createDataFrame([], NOTHING)
         self.voc = plan.build_vocabulary(self.cleaned, self.splits, names, SETTINGS, self.keep)
         self._line = self._labelled = None
@@ -53,13 +54,13 @@ class Build:
         if self._line is None:
             self._line = self.keep("timeline", timeline.build_timeline(
                 timeline.drop_oov(self.token_rows()), plan.periods_of(SETTINGS),
-                fv.OPERATIONAL_TOKENS.index("[EOT]"), self.voc.width))
+                fv.OPERATIONAL_TOKENS.index("[EOT]"), self.voc.width, segment_minutes=self.settings.segment_minutes))
         return self._line
 
     def labelled(self):
         if self._labelled is None:
             self._labelled = self.keep("labelled", plan.label_rows(
-                self.line(), self.voc, self.splits, SETTINGS))
+                self.line(), self.voc, self.splits, plan.scan_settings(self.settings, self.keep)))
         return self._labelled
 
 

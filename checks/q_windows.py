@@ -37,12 +37,14 @@ left join (select patient_id, count(*) as n_stays, round(avg(los_days), 6) as me
 def flagship_stays(spark, sf):
     """In-hospital stays per patient: number, length, outcome, events inside."""
     from chronoline.plans.stay_report import stay_report
-    return stay_report(v.evd(spark, sf))
+    b = v.evd_blocks(spark, sf)
+    return stay_report(b.frame, b.segment_minutes)
 
 
 @Q.add(f"select patient_id, event_id, row_number() over ({W}) - 1 as row_no from evd")
 def row_number(spark, sf):
-    return stays.row_numbers(v.evd(spark, sf)).select("patient_id", "event_id", "row_no")
+    b = v.evd_blocks(spark, sf)
+    return stays.row_numbers(b.frame, segment_minutes=b.segment_minutes).select("patient_id", "event_id", "row_no")
 
 
 @Q.add(f"""
@@ -63,7 +65,8 @@ def forward_fill(spark, sf):
 
 @Q.add(f"select patient_id, event_id, greatest(state, leaving) as admitted from {_FLAGS}")
 def flag_admitted(spark, sf):
-    return stays.flag_admitted(v.evd(spark, sf)).select("patient_id", "event_id", "admitted")
+    b = v.evd_blocks(spark, sf)
+    return stays.flag_admitted(b.frame, segment_minutes=b.segment_minutes).select("patient_id", "event_id", "admitted")
 
 
 @Q.add(f"select patient_id, event_id, state * leaving as admitted from {_FLAGS}")
@@ -74,12 +77,14 @@ def flag_admitted_complete(spark, sf):
 
 @Q.add(f"select * from {STAYS}")
 def admission_edges(spark, sf):
-    return stays.stays(v.evd(spark, sf))
+    b = v.evd_blocks(spark, sf)
+    return stays.stays(b.frame, segment_minutes=b.segment_minutes)
 
 
 @Q.add("select * from complete_adm")
 def complete_admissions(spark, sf):
-    return stays.complete_admissions(v.evd(spark, sf)).withColumn(
+    b = v.evd_blocks(spark, sf)
+    return stays.complete_admissions(b.frame, segment_minutes=b.segment_minutes).withColumn(
         "admission_no", F.col("admission_no").cast("long"))
 
 

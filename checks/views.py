@@ -176,6 +176,17 @@ def stage(spark, sf, name, make):
     return _STAGES[key]
 
 
+def evd_blocks(spark, sf):
+    """`evd` in patient blocks."""
+    from chronoline.session import shared_dir
+    from chronoline.sources.blocks import write_blocks
+    key = (spark.sparkContext.applicationId, sf, "evd_blocks")
+    if key not in _STAGES:
+        _STAGES[key] = write_blocks(evd(spark, sf), f"{shared_dir(spark).rstrip('/')}/stages-{uuid.uuid4().hex}/evd",
+                                    ["age_min", "type", "event_id"])
+    return _STAGES[key]
+
+
 def windows(spark, sf):
     return stage(spark, sf, "snapshots", snapshots)
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,12 +13,16 @@ from chronoline.functions import ordered
 from chronoline.operators import cohort, labstats, matrix, timeline, vocab
 from chronoline.operators.clean import clean_records, flag_periods
 from chronoline.schema import CLEANING_RULES
+from chronoline.sources import blocks
 from chronoline.settings import Settings
 
 RECORD_TABLES = ("admissions", "discharges", "diagnoses", "prescription_orders",
                  "injection_orders", "laboratory_results")
 # Rows of one piece where a timeline is scanned by row number.
 ROW_PIECE = 4096
+# Time columns that the blocks of each patient-keyed stage are sorted by.
+BLOCK_ORDER = {**{f"cleaned_{n}": ["age_min"] for n in RECORD_TABLES}, "splits": [], "timeline": ["age_min", "row_no"],
+               "labelled": ["age_min", "row_no"], "event_view": ["age_min"]}
 
 
 @dataclass
@@ -137,10 +141,12 @@ def create_dataset(records: dict[str, DataFrame], patients: DataFrame, names: Da
     table unique_record_id. `keep(name, df)` may store a stage (Parquet in the
     shared folder, say) and return the stored frame; without it the stages stay
     lazy. Statistics and vocabulary are read many times, so a cluster run
-    should store them, and the timeline.
+    should store them, and the timeline; with a `BlockStore` the stages by patient
+    lie in patient blocks and are scanned without a shuffle.
     """
     keep = keep or (lambda name, df: df)
     cleaned = {n: keep(f"cleaned_{n}", d) for n, d in clean_tables(records, patients).items()}
+    settings = scan_settings(settings, keep)
     if splits is None:
         spans = cohort.visit_span(*cleaned.values())
         splits = keep("splits", cohort.temporal_split(
@@ -196,6 +202,31 @@ def timelines_as_of(cleaned: dict[str, DataFrame], patients: DataFrame, requests
     return labelled.withColumnRenamed("patient_id", "request_id")
 
 
+class BlockStore:
+    """`keep` function that writes the stages by patient in patient blocks and the others as plain Parquet.
+
+    All blocks of a store have the same number of buckets, so joins between them move nothing.
+    """
+
+    def __init__(self, folder: str, buckets: int | None = None, most_rows: int = blocks.MOST_ROWS):
+        self.folder, self.buckets, self.most_rows = folder.rstrip("/"), buckets, most_rows
+        self.plain, self.whole = stored_in(folder), True
+
+    def __call__(self, name: str, df: DataFrame) -> DataFrame:
+        if name not in BLOCK_ORDER:
+            return self.plain(name, df)
+        order = [c for c in BLOCK_ORDER[name] if c in df.columns]
+        table = blocks.write_blocks(df, f"{self.folder}/{name}", order, buckets=self.buckets, most_rows=self.most_rows)
+        self.buckets = self.buckets or table.buckets
+        self.whole = self.whole and table.segment_minutes is None
+        return table.frame
+
+
+def scan_settings(settings: Settings, keep: Callable) -> Settings:
+    """Whole patients are scanned where all blocks stored so far are free of oversized ones."""
+    return replace(settings, segment_minutes=None) if getattr(keep, "whole", False) else settings
+
+
 def stored_in(folder: str) -> Callable[[str, DataFrame], DataFrame]:
     """`keep` function that writes each stage to a shared folder."""
     def keep(name: str, df: DataFrame) -> DataFrame:
