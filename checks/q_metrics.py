@@ -178,7 +178,8 @@ _SPAN = f"(select grp, min(prob) as lo, max(prob) as hi from {_CLIPPED} group by
 
 @Q.add(f"select grp, cast(g as int) as g, round(x, 6) as x, round(smooth, 5) as smooth from {_lowess_sql(_CLIPPED, _SPAN)}")
 def lowess_curve(spark, sf):
-    out = m.lowess_curve(_counts(spark, sf), ["grp"])
+    # The probabilities are thousandths.
+    out = m.lowess_curve(_counts(spark, sf), ["grp"], few_values=True)
     return out.select("grp", "g", F.round("x", 6).alias("x"), F.round("smooth", 5).alias("smooth"))
 
 
@@ -196,7 +197,7 @@ _BOOT_ITEMS = " union all ".join([
 @Q.add(f"""select * from (with boot as materialized {_BOOT_CLIPPED}, items as ({_BOOT_ITEMS})
 select item, round(avg(value), 5) as mean, round(quantile_cont(value, 0.025), 5) as lower, round(quantile_cont(value, 0.975), 5) as upper from items group by item)""")
 def bootstrap_calibration(spark, sf):
-    return _digits(m.bootstrap_calibration(_rows(spark, sf), _weights(spark, sf), "id"), "mean", "lower", "upper", n=5)
+    return _digits(m.bootstrap_calibration(_rows(spark, sf), _weights(spark, sf), "id", few_values=True), "mean", "lower", "upper", n=5)
 
 
 _TASK_PROBS = f"(select task || '|' || horizon as grp, task, cast(horizon as int) as horizon, actual as label, prob from {_PROBS})"

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoline.functions import order_stats as q
+from chronoline.operators import smoothing
 
 EPS = 1e-8
 
@@ -210,52 +210,32 @@ def logistic_recalibration(counts: DataFrame, keys: Sequence[str] = (), steps: i
 
 
 def lowess_curve(counts: DataFrame, keys: Sequence[str] = (), frac: float = 0.5, step: float = 0.005,
-                 bounds: DataFrame | None = None, bound_keys: Sequence[str] | None = None) -> DataFrame:
-    """(keys, x, smooth): local linear smooth of the labels on an even grid.
-
-    Tricube weights within the distance of the nearest `frac` of the rows.
-    The grid has at most 1/step points. Distances are condensed per (grid
-    point, distance), the bandwidth is an exact order statistic, and the fit
-    is a closed form of weighted sums.
+                 bounds: DataFrame | None = None, bound_keys: Sequence[str] | None = None,
+                 few_values: bool = False) -> DataFrame:
+    """(keys, g, x, smooth): local linear smooth of the labels on an even grid of at most 1/step points.
+
+    Tricube weights within the distance of the nearest `frac` of the rows, by the
+    prefix moments of `smoothing`: no value meets a grid point. `few_values` says that
+    a key has a bounded number of distinct probabilities, such as shares of a number of
+    simulations; its sorted values are then scanned as a whole.
     """
+    if not keys:
+        # a constant key keeps look-ups keyed joins
+        return lowess_curve(counts.withColumn("__one", F.lit(0)), ["__one"], frac, step,
+                            probability_bounds(counts) if bounds is None else bounds, (), few_values).drop("__one")
     keys = list(keys)
     bound_keys = keys if bound_keys is None else list(bound_keys)
     bounds = probability_bounds(counts, bound_keys) if bounds is None else bounds
-    rows = _attach(counts, bounds, bound_keys)
-    n_points = F.ceil((F.col("p_max") - F.col("p_min")) / step)
-    spread = rows.withColumn("g", F.explode(F.sequence(
-        F.lit(0), F.greatest(n_points - 1, F.lit(0)).cast("int"))))
-    x0 = F.col("p_min") + F.col("g") * F.lit(step)
-    near = spread.select(*keys, "g", x0.alias("x"), "prob", "n", "pos", F.abs(F.col("prob") - x0).alias("d"))
-    point = [*keys, "g"]
-    ranked = q.ranked_values(near.groupBy(*point, "d").agg(F.sum("n").alias("cnt"))
-                             .withColumn("cnt", F.col("cnt").cast("long")), point, "d")
-    k = F.floor(F.lit(frac) * F.col("n") + F.lit(1e-10))
-    width = ranked.filter(F.col("upto") >= k).groupBy(*point).agg(F.min("d").alias("r"))
-    joined = near.join(width, point).filter(F.col("d") <= 0.999 * F.col("r"))
-    u = F.col("d") / F.col("r")
-    w = F.col("n") * F.when(F.col("d") <= 0.001 * F.col("r"), F.lit(1.0)).otherwise(
-        F.pow(1 - F.pow(u, 3), 3))
-    y = F.col("pos") / F.col("n")
-    dx = F.col("prob") - F.col("x")
-    sums = joined.withColumns({"w": w, "y": y, "dx": dx}).groupBy(*point).agg(
-        F.max("x").alias("x"), F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("dx")).alias("sx"),
-        F.sum(F.col("w") * F.col("y")).alias("sy"),
-        F.sum(F.col("w") * F.col("dx") * F.col("dx")).alias("sxx"),
-        F.sum(F.col("w") * F.col("dx") * F.col("y")).alias("sxy"))
-    mean_x, mean_y = F.col("sx") / F.col("sw"), F.col("sy") / F.col("sw")
-    var = F.col("sxx") / F.col("sw") - mean_x * mean_x
-    cov = F.col("sxy") / F.col("sw") - mean_x * mean_y
-    # as good as flat when the local spread is under a thousandth of the range
-    flat = F.sqrt(F.greatest(var, F.lit(0.0))) <= 0.001 * F.col("range")
-    ranged = _attach(sums, bounds.select(*bound_keys, (F.col("p_max") - F.col("p_min")).alias("range")),
-                     bound_keys)
-    smooth = F.when(flat, mean_y).otherwise(mean_y - cov / var * mean_x)
-    return ranged.select(*point, "x", smooth.alias("smooth"))
+    points = F.greatest(F.ceil((F.col("p_max") - F.col("p_min")) / step) - 1, F.lit(0)).cast("int")
+    grid = _attach(counts.select(*keys).distinct(), bounds, bound_keys).withColumn(
+        "g", F.explode(F.sequence(F.lit(0), points))).select(
+        *keys, "g", (F.col("p_min") + F.col("g") * F.lit(step)).alias("x"), (F.col("p_max") - F.col("p_min")).alias("range"))
+    return smoothing.lowess(counts, grid, keys, frac, few_values)
 
 
 def bootstrap_calibration(rows: DataFrame, weights: DataFrame, row_id: str, bins: int = 10,
-                          ci: float = 0.95, label: str = "label", prob: str = "prob") -> DataFrame:
+                          ci: float = 0.95, label: str = "label", prob: str = "prob",
+                          few_values: bool = False) -> DataFrame:
     """(item, mean, lower, upper): bands of bins, smooth, O/E, slope and intercepts."""
     from chronoline.operators.resample import bootstrap_ci
     by = ["replicate"]
@@ -269,7 +249,7 @@ def bootstrap_calibration(rows: DataFrame, weights: DataFrame, row_id: str, bins
     binned = calibration_bins(drawn, by, bins).select(F.struct(
         F.concat(F.lit("bin_"), F.col("bin").cast("string")).alias("item"),
         F.col("observed").alias("value")).alias("s"))
-    curve = lowess_curve(drawn, by, bounds=full, bound_keys=()).select(F.struct(
+    curve = lowess_curve(drawn, by, bounds=full, bound_keys=(), few_values=few_values).select(F.struct(
         F.concat(F.lit("smooth_"), F.col("g").cast("string")).alias("item"),
         F.col("smooth").alias("value")).alias("s"))
     every = oe.unionByName(refit).unionByName(binned).unionByName(curve).select("s.*")
