@@ -143,11 +143,10 @@ _MC = _prob_sql(
 
 @Q.add(f"""select sample_size, repeat, task, cast(horizon as int) as horizon, actual as label, round(prob, 6) as prob, count(*) as n from {_MC} group by all""")
 def mc_metric_inputs(spark, sf):
-    samples = v.stage(spark, sf, "samples", _samples)
-    out = simeval.mc_metric_inputs(v.windows(spark, sf), v.evd(spark, sf), v.simulated(spark, sf), samples, RULES)
-    return out.groupBy("sample_size", F.col("repeat").cast("long").alias("repeat"), "task", "horizon",
-                       F.col("actual").alias("label"), F.round("prob", 6).alias("prob")).agg(
-        F.count(F.lit(1)).alias("n"))
+    masks = v.stage(spark, sf, "masks", lambda s, d: resample.sample_masks(v.simulated(s, d), WINDOW, [2, 4], 2))
+    out = simeval.mc_metric_inputs(v.windows(spark, sf), v.evd(spark, sf), v.simulated(spark, sf), masks, RULES)
+    return out.select("sample_size", F.col("repeat").cast("long").alias("repeat"), "task", "horizon", "label",
+                      F.round("prob", 6).alias("prob"), "n")
 
 
 _SPINE = f"(select {_K}, sim_id from (select distinct {_K}, sim_id from simulations) union all select {_K}, 'real' from snap)"

@@ -77,20 +77,51 @@ def bootstrap_ci(stats: DataFrame, by: Sequence[str], value: str = "value", ci:
                       list(by))
 
 
+def trajectory_lists(ids: DataFrame, keys: Sequence[str], sim: str = "sim_id") -> DataFrame:
+    """(keys, sims): the sorted simulations of each snapshot, whose number is a run parameter."""
+    return ids.select(*keys, sim).distinct().groupBy(*keys).agg(F.array_sort(F.collect_list(sim)).alias("sims"))
+
+
+def _picked(lists: DataFrame, keys: Sequence[str], sizes: Sequence[int], repeats: int, seed: int) -> DataFrame:
+    """(keys, sims, sample_size, repeat, picked): places (from 0) in `sims` of the smallest digests."""
+    grid = [F.struct(F.lit(s).alias("size"), F.lit(r).alias("repeat")) for s in sizes for r in range(repeats)]
+    spread = lists.withColumn("__g", F.explode(F.array(*grid))).select(
+        "*", F.col("__g.size").alias("sample_size"), F.col("__g.repeat").alias("repeat")).drop("__g")
+
+    def marked(x: Column, i: Column) -> Column:
+        return F.struct(c.stable_digest(seed, *keys, "sample_size", "repeat", x).alias("d"), x.alias("sim"), i.cast("int").alias("at"))
+    chosen = F.slice(F.array_sort(F.transform("sims", marked)), F.lit(1), F.col("sample_size"))
+    return spread.withColumn("picked", F.transform(chosen, lambda p: p["at"]))
+
+
 def subsample_trajectories(ids: DataFrame, keys: Sequence[str], sizes: Sequence[int], repeats: int,
                            seed: int = 0, sim: str = "sim_id") -> DataFrame:
     """(keys, sample_size, repeat, sim): that many simulations, without replacement.
 
-    Groups are the simulations of one snapshot, whose number is a run parameter.
+    The simulations of a snapshot are one row; the samples are drawn inside it.
     """
-    from pyspark.sql import Window
-    grid = F.explode(F.array(*[F.lit(s) for s in sizes]))
-    spread = (ids.select(*keys, sim).distinct().withColumn("sample_size", grid)
-              .withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))))
-    digest = c.stable_digest(seed, *keys, "sample_size", "repeat", sim)
-    w = Window.partitionBy(*keys, "sample_size", "repeat").orderBy("__d", sim)
-    return (spread.withColumn("__d", digest).withColumn("__r", F.row_number().over(w))
-            .filter(F.col("__r") <= F.col("sample_size")).drop("__d", "__r"))
+    drawn = _picked(trajectory_lists(ids, keys, sim), keys, sizes, repeats, seed)
+    return drawn.select(*keys, "sample_size", "repeat", F.explode(F.transform(
+        "picked", lambda i: F.get("sims", i))).alias(sim))
+
+
+def place_bits(places: Column, size: Column) -> Column:
+    """Bitmap of places (from 0) below `size`: 64 to a word, as an array of longs."""
+    one = F.lit(1).cast("long")
+
+    def word(w: Column) -> Column:
+        own = F.filter(places, lambda p: F.floor(p / 64) == w)
+        # shiftleft takes the shift modulo 64
+        return F.aggregate(own, F.lit(0).cast("long"), lambda a, p: a.bitwiseOR(F.call_function("shiftleft", one, p.cast("int"))))
+    return F.transform(F.sequence(F.lit(0), F.ceil(size / 64).cast("int") - 1), word)
+
+
+def sample_masks(ids: DataFrame, keys: Sequence[str], sizes: Sequence[int], repeats: int, seed: int = 0,
+                 sim: str = "sim_id") -> DataFrame:
+    """(keys, sims, sample_size, repeat, mask, n_sim): `subsample_trajectories` as bitmaps over `sims`."""
+    drawn = _picked(trajectory_lists(ids, keys, sim), keys, sizes, repeats, seed)
+    return drawn.select(*keys, "sims", "sample_size", "repeat", place_bits(F.col("picked"), F.size("sims")).alias("mask"),
+                        F.size("picked").cast("long").alias("n_sim"))
 
 
 def draw_samples(df: DataFrame, n: int, key: Sequence[str], seed: int = 0) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from chronoline import fixed_values as fv
 from chronoline.functions import scalars as c
+from chronoline.operators import resample
 from chronoline.operators.clean import events_in_windows
 from chronoline.operators.lookups import neutrophil_counts
 
@@ -176,11 +177,10 @@ def task_hits(matched: DataFrame, rules: TaskRules = TaskRules()) -> DataFrame:
                     F.ceil((F.col("__age") - F.col("eval_min")) / DAY).cast("int").alias("hit_horizon")))
 
 
-def _probability_rows(windows: DataFrame, hits: DataFrame, rules: TaskRules, horizon_days: int,
-                      extra: Sequence[str] = ()) -> DataFrame:
+def _probability_rows(windows: DataFrame, hits: DataFrame, rules: TaskRules, horizon_days: int) -> DataFrame:
     """Observed flag and simulated hit counts per (window, task, horizon), zeros kept."""
-    keys = [*WINDOW, *extra, "task"]
-    spine = windows.select(*WINDOW, *extra, "eval_min", "base_cre", "n_sim", F.explode(
+    keys = [*WINDOW, "task"]
+    spine = windows.select(*WINDOW, "eval_min", "base_cre", "n_sim", F.explode(
         F.array(*[F.lit(t) for t in rules.all_tasks()])).alias("task"))
     spine = spine.filter(F.col("base_cre").isNotNull()
                          | ~F.col("task").isin(*rules.creatinine_names()))
@@ -228,25 +228,60 @@ def event_probabilities(windows: DataFrame, events: DataFrame, simulations: Data
     return probs.join(observed.drop("eval_min"), [*WINDOW, "task"], "left")
 
 
+def hit_bitmaps(hits: DataFrame, lists: DataFrame, horizon_days: int = 7) -> DataFrame:
+    """(window, task, actual, bits): the horizon of the observed hit, and for each horizon
+    a bitmap over the window's simulations that have hit the task by then."""
+    real = F.col("sim_id") == REAL
+    # At most one entry for each simulation of the window.
+    found = hits.groupBy(*WINDOW, "task").agg(
+        F.min(F.when(real, F.col("hit_horizon"))).alias("actual"),
+        F.collect_list(F.when(~real, F.struct("sim_id", "hit_horizon"))).alias("found"))
+    placed = found.join(lists, list(WINDOW)).withColumn("found", F.transform("found", lambda x: F.struct(
+        (F.array_position("sims", x["sim_id"]) - 1).cast("int").alias("at"), x["hit_horizon"].alias("horizon"))))
+
+    def by(h: int) -> Column:
+        reached = F.filter("found", lambda x: x["horizon"] <= h)
+        return resample.place_bits(F.transform(reached, lambda x: x["at"]), F.size("sims"))
+    return placed.select(*WINDOW, "task", "actual", F.array(*[by(h) for h in range(1, horizon_days + 1)]).alias("bits"))
+
+
 def mc_metric_inputs(windows: DataFrame, events: DataFrame, simulations: DataFrame,
-                     samples: DataFrame, rules: TaskRules = TaskRules(), horizon_days: int = 7
+                     masks: DataFrame, rules: TaskRules = TaskRules(), horizon_days: int = 7
                      ) -> DataFrame:
-    """Label and probability per (sample_size, repeat, window, horizon, task).
+    """(sample_size, repeat, task, horizon, label, prob, n): how many windows have that label and probability.
 
-    `samples` lists the simulations of each sample; the hits are found once
-    and only their ages are joined to the samples.
+    `masks` holds the samples as bitmaps (`resample.sample_masks`). A task's probability in a
+    sample is the number of bits its hits share with the sample's mask; no sample meets a
+    hit. Windows without any hit, most of them, are not listed: the class of label 0 and
+    probability 0 is what the others leave of all windows.
     """
     observed = last_observations(windows, events, rules)
     based = baseline_creatinine(windows, observed, rules)
     hits = task_hits(window_to_events(based, events, simulations, horizon_days, ["base_cre"]), rules)
-    extra = ["sample_size", "repeat"]
-    sizes = samples.groupBy(*WINDOW, *extra).agg(F.count_distinct("sim_id").alias("n_sim"))
-    sim_hits = samples.join(hits.filter(F.col("sim_id") != REAL), [*WINDOW, "sim_id"])
-    real_hits = sizes.select(*WINDOW, *extra).join(hits.filter(F.col("sim_id") == REAL), list(WINDOW))
-    names = [*WINDOW, *extra, "task", "sim_id", "hit_horizon"]
-    drawn = sim_hits.select(*names).unionByName(real_hits.select(*names))
-    counted = based.join(sizes, list(WINDOW))
-    return _probability_rows(counted, drawn, rules, horizon_days, extra)
+    bits = hit_bitmaps(hits, resample.trajectory_lists(simulations, WINDOW), horizon_days)
+    creatinine = rules.creatinine_names()
+    class_of = ["sample_size", "repeat", "task", "horizon", "label", "prob"]
+
+    def shared(h: Column) -> Column:
+        words = F.zip_with(h, F.col("mask"), lambda b, m: F.bit_count(b.bitwiseAND(m)).cast("long"))
+        return F.aggregate(words, F.lit(0).cast("long"), lambda a, n: a + n)
+    met = bits.join(masks.drop("sims"), list(WINDOW)).select(
+        "sample_size", "repeat", "task", "actual", "n_sim", F.posexplode(F.transform("bits", shared)))
+    listed = met.select(
+        "sample_size", "repeat", "task", (F.col("pos") + 1).alias("horizon"),
+        F.coalesce(F.col("actual") <= F.col("pos") + 1, F.lit(False)).cast("int").alias("label"),
+        (F.col("col") / F.col("n_sim")).alias("prob"))
+    listed = listed.filter(((F.col("label") > 0) | (F.col("prob") > 0)) & ((F.col("task") != creatinine[2]) | (F.col("horizon") == horizon_days)))
+    listed = listed.groupBy(*class_of).agg(F.count(F.lit(1)).alias("n"))
+    totals = masks.join(based.select(*WINDOW, "base_cre"), list(WINDOW)).groupBy("sample_size", "repeat").agg(
+        F.count(F.lit(1)).alias("all"), F.count("base_cre").alias("with_base"))
+    # One row for each sample, task and horizon: parameters of the run, not windows.
+    cells = [(t, h) for t in rules.all_tasks() for h in range(1, horizon_days + 1) if t != creatinine[2] or h == horizon_days]
+    empty = totals.select("*", F.explode(F.array(*[F.struct(F.lit(t).alias("task"), F.lit(h).alias("horizon")) for t, h in cells])).alias("c")).select(
+        "sample_size", "repeat", "c.task", "c.horizon", F.lit(0).alias("label"), F.lit(0.0).alias("prob"),
+        F.when(F.col("c.task").isin(*creatinine), F.col("with_base")).otherwise(F.col("all")).alias("n"))
+    taken = listed.withColumns({"label": F.lit(0), "prob": F.lit(0.0), "n": -F.col("n")})
+    return listed.unionByName(empty).unionByName(taken).groupBy(*class_of).agg(F.sum("n").alias("n")).filter("n > 0")
 
 
 def patient_code_counts(rows: DataFrame, trajectories: DataFrame, keys: Sequence[str],
