@@ -4,13 +4,15 @@ A fingerprint has a bit set where more than half of the hashes of a text's three
 shingles (XXH64, seed 42, repeats included) have it. Texts link at `radius` or fewer
 differing bits.
 
-Which fingerprints meet: the 64 bits are cut into `blocks` parts. Two fingerprints that
-differ in at most `radius` bits agree in at least blocks - radius parts, so for each
-choice of so many parts the distinct fingerprints are grouped by the value of those
-parts, and each linked pair meets in some group. Inside a group fingerprints are
-sorted by population count, cut into tiles and compared tile by tile with numpy
-(exclusive or, bit count); tile pairs whose population counts lie further apart than
-the radius are skipped, as such counts differ by no more than the distance.
+Which fingerprints meet: comparing all tiles of a corpus grows with its square, so
+tiles are formed inside groups. Two fingerprints that differ in at most `radius` bits
+agree in one of radius + 1 blocks of their bits, so for each block the distinct
+fingerprints are grouped by the low bits of that block, so many that a group holds
+about `group_rows` of them, and each linked pair meets in some group. Inside a group
+fingerprints are sorted by population count, cut into tiles and compared tile by tile
+with numpy (exclusive or, bit count); tile pairs whose population counts lie further
+apart than the radius are skipped, as such counts differ by no more than the distance.
+Every comparison is one of tiles.
 
 A group of more than `most` fingerprints is cut by population count and hash into
 parts of at most about half that size, and the pairs of parts (within the radius of
@@ -18,6 +20,13 @@ population counts) become units of their own, so no task holds a group of unboun
 size and no pair is left out. Each unit gives its components as links to the least
 member: never more rows than it holds, whatever the number of pairs.
 
+`near_texts` also finds texts whose five-word shingles have a Jaccard similarity of 0.8
+or more, whose fingerprints differ in up to about a dozen bits: the same tiles at a wide
+radius, inside groups that share random samples of the bits, as many samples as find a
+pair at that radius with the chance `found`, whatever the size of the corpus. Pairs that
+are one class already or whose numbers of shingles exclude the similarity are dropped in
+the tile; the others are verified by their whole shingle sets.
+
 Only distinct fingerprints are compared; copies meet by equality. Components come from
 `components`.
 
@@ -30,7 +39,9 @@ hashes counted in slices. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from itertools import combinations
+import math
+import random
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -43,6 +54,9 @@ from chronoline.llm.components import components
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
 SLICE = 1 << 16
+GROUP_ROWS, MOST, TASK_ROWS, TILE = 4000, 16_384, 200_000, 256
+# Near texts: words of a shingle, similarity, radius of the search and chance to find a pair at that radius.
+NEAR_SHINGLE, SIMILARITY, WIDE, FOUND = 5, 0.8, 13, 0.97
 
 
 def fingerprint(text: str | None) -> int:
@@ -75,12 +89,29 @@ def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str
     return rows.mapInArrow(run, schema)
 
 
-def block_masks(blocks: int, radius: int) -> list[int]:
-    """A mask for each choice of blocks - radius of the blocks, as signed numbers."""
-    edges = [round(64 * k / blocks) for k in range(blocks + 1)]
-    single = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
-    masks = [sum(c) for c in combinations(single, blocks - radius)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _key_bits(rows: int, group_rows: int, most_bits: int) -> int:
+    """So many bits that groups of equal ones hold about `group_rows` of the rows."""
+    return min(most_bits, max(0, math.ceil(math.log2(max(rows, 1) / group_rows))))
+
+
+def block_masks(radius: int, rows: int, group_rows: int = GROUP_ROWS) -> list[int]:
+    """The low bits of each of radius + 1 blocks: fingerprints within the radius agree under one of these masks."""
+    edges = [round(64 * k / (radius + 1)) for k in range(radius + 2)]
+    bits = _key_bits(rows, group_rows, min(b - a for a, b in zip(edges, edges[1:], strict=False)))
+    return sorted({_signed(((1 << bits) - 1) << a) for a in edges[:-1]})
+
+
+def sample_masks(radius: int, rows: int, group_rows: int = GROUP_ROWS, found: float = FOUND) -> list[int]:
+    """Random bit samples: fingerprints `radius` bits apart agree under one of them with the chance `found`."""
+    bits = _key_bits(rows, group_rows, 64 - radius)
+    agree = math.comb(64 - radius, bits) / math.comb(64, bits)
+    samples = 1 if agree >= found else math.ceil(math.log(1 - found) / math.log(1 - agree))
+    draw = random.Random(SEED)
+    return [_signed(sum(1 << b for b in draw.sample(range(64), bits))) for _ in range(samples)]
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
@@ -98,58 +129,49 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None
         label = new
 
 
-def compare_unit(fps: np.ndarray, radius: int, tile: int = 256) -> np.ndarray:
-    """Place of the least member of its component for each of the distinct fingerprints, given sorted."""
-    n = len(fps)
+def near_tiles(fps: np.ndarray, radius: int, tile: int = TILE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (a, b) of all pairs within the radius, tile pair by tile pair; each pair once."""
     bits = np.bitwise_count(fps)
     order = np.argsort(bits, kind="stable")
-    sorted_fps, sorted_bits = fps[order], bits[order].astype(np.int64)
-    label = np.arange(n)
+    sorted_fps, sorted_bits, n = fps[order], bits[order].astype(np.int64), len(fps)
     for i in range(0, n, tile):
         left = sorted_fps[i:i + tile]
         for j in range(i, n, tile):
             if sorted_bits[j] - sorted_bits[min(i + tile, n) - 1] > radius:
                 break
-            near = np.bitwise_count(left[:, None] ^ sorted_fps[None, j:j + tile]) <= radius
-            a, b = np.nonzero(near)
-            a, b = order[a + i], order[b + j]
-            other = label[a] != label[b]
-            if other.any():
-                label = _roots(n, a[other], b[other], label)
+            a, b = np.nonzero(np.bitwise_count(left[:, None] ^ sorted_fps[None, j:j + tile]) <= radius)
+            if i == j:
+                once = a < b
+                a, b = a[once], b[once]
+            if len(a):
+                yield order[a + i], order[b + j]
+
+
+def compare_unit(fps: np.ndarray, radius: int, tile: int = TILE) -> np.ndarray:
+    """Place of the least member of its component for each of the distinct fingerprints, given sorted."""
+    label = np.arange(len(fps))
+    for a, b in near_tiles(fps, radius, tile):
+        other = label[a] != label[b]
+        if other.any():
+            label = _roots(len(fps), a[other], b[other], label)
     return label
 
 
-def compare_units(unit: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (fingerprint, least member of its component) inside each unit."""
+def _units(unit: np.ndarray, fps: np.ndarray) -> Iterator[np.ndarray]:
+    """The rows of each unit, by fingerprint, equal ones once."""
     order = np.lexsort((fps, unit))
-    unit, fps = unit[order], fps[order]
-    same = np.r_[False, (unit[1:] == unit[:-1]) & (fps[1:] == fps[:-1])]
-    unit, fps = unit[~same], fps[~same]
-    starts = np.nonzero(np.r_[True, unit[1:] != unit[:-1]])[0] if len(unit) else np.zeros(0, int)
-    sizes = np.diff(np.r_[starts, len(unit)])
-    label = np.arange(len(fps))
-    # Small units in step: each place with the k-th after it.
-    small = np.nonzero(np.repeat(sizes <= 64, sizes))[0]
-    end = np.repeat(starts + sizes, sizes)
-    pairs, k = [], 1
-    while len(small := small[small + k < end[small]]):
-        near = small[np.bitwise_count(fps[small] ^ fps[small + k]) <= radius]
-        pairs.append((near, near + k))
-        k += 1
-    if pairs:
-        label = _roots(len(fps), *(np.concatenate(x) for x in zip(*pairs, strict=True)), label)
-    for s, n in zip(starts[sizes > 64], sizes[sizes > 64], strict=True):
-        label[s:s + n] = s + compare_unit(fps[s:s + n], radius)
-    linked = label != np.arange(len(fps))
-    return fps[linked], fps[label[linked]]
-
-
-def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = 5, most: int = 8192, task_rows: int = 200_000) -> DataFrame:
-    """Links (a, b) that connect all fingerprints (column fp, distinct) within the radius of each other."""
-    masks = F.array(*[F.lit(m) for m in block_masks(blocks, radius)])
-    keyed = distinct.select("fp", F.posexplode(F.transform(masks, lambda m: F.col("fp").bitwiseAND(m))).alias("choice", "part"))
-    rows = stored(keyed.select("fp", F.xxhash64("choice", "part").alias("group"), F.bit_count("fp").cast("int").alias("ones")),
-                  "simhash")
+    unit, ordered = unit[order], fps[order]
+    once = ~np.r_[False, (unit[1:] == unit[:-1]) & (ordered[1:] == ordered[:-1])] if len(unit) else np.zeros(0, bool)
+    order, unit = order[once], unit[once]
+    yield from np.split(order, np.nonzero(unit[1:] != unit[:-1])[0] + 1) if len(order) else ()
+
+
+def grouped(distinct: DataFrame, masks: list[int], radius: int, most: int = MOST) -> DataFrame:
+    """The rows of `distinct` (fp and other columns) in each unit in which they are compared, with the column `unit`."""
+    columns = distinct.columns
+    keyed = distinct.select(*columns, F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("choice", "mask"))
+    rows = stored(keyed.select(*columns, F.xxhash64("choice", F.col("fp").bitwiseAND(F.col("mask"))).alias("group"),
+                               F.bit_count("fp").cast("int").alias("ones")), "simhash")
     many = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
     large = rows.join(many.select("group"), "group")
     parts = large.groupBy("group", "ones").agg(F.ceil(F.count(F.lit(1)) * 2 / F.lit(most)).alias("parts"))
@@ -162,25 +184,108 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = 5, most: int
     sides = met.select("group", "ones", "sub", "unit").union(met.select("group", F.col("ones2").alias("ones"),
                                                                         F.col("sub2").alias("sub"), "unit"))
     placed = large.join(parts, ["group", "ones"]).withColumn("sub", F.pmod(F.xxhash64("fp"), F.col("parts")))
-    units = (rows.join(many.select("group"), "group", "left_anti").select("fp", F.col("group").alias("unit"))
-             .union(placed.join(sides, ["group", "ones", "sub"]).select("fp", "unit")))
-    tasks = max(1, -(-rows.count() // task_rows))
+    return (rows.join(many.select("group"), "group", "left_anti").select(*columns, F.col("group").alias("unit"))
+            .union(placed.join(sides, ["group", "ones", "sub"]).select(*columns, "unit")))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        a, b = compare_units(frame["unit"].to_numpy(), frame["fp"].to_numpy().view(np.uint64), radius)
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
-    return (units.withColumn("task", F.pmod(F.hash("unit"), F.lit(tasks)))
-            .groupBy("task").applyInPandas(run, "a long, b long"))
 
+def _in_tasks(units: DataFrame, task_rows: int):
+    """Whole units, dealt to groups of about `task_rows` rows."""
+    tasks = max(1, -(-units.count() // task_rows))
+    return units.withColumn("task", F.pmod(F.hash("unit"), F.lit(tasks))).groupBy("task")
 
-def classes(fps: DataFrame, radius: int = RADIUS, blocks: int = 5) -> DataFrame:
+
+def links(distinct: DataFrame, radius: int = RADIUS, most: int = MOST, task_rows: int = TASK_ROWS,
+          group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Links (a, b) that connect all fingerprints (column fp, distinct) within the radius of each other."""
+    units = grouped(distinct.select("fp"), block_masks(radius, distinct.count(), group_rows), radius, most)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        fps, out = frame["fp"].to_numpy().view(np.uint64), []
+        for rows in _units(frame["unit"].to_numpy(), fps):
+            own = fps[rows]
+            label = compare_unit(own, radius)
+            linked = label != np.arange(len(own))
+            out.append(np.stack([own[linked], own[label[linked]]], 1))
+        found = (np.concatenate(out) if out else np.zeros((0, 2), np.uint64)).view(np.int64)
+        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+    return _in_tasks(units, task_rows).applyInPandas(run, "a long, b long")
+
+
+def classes(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(fp, class_fp) of the distinct fingerprints: the class is named by one of its members."""
     distinct = fps.select("fp").distinct()
-    found = components(links(distinct, radius, blocks))
+    found = components(links(distinct, radius))
     return distinct.join(found, F.col("fp") == F.col("node"), "left").select(
         "fp", F.coalesce("root", "fp").alias("class_fp"))
 
 
+def joined_classes(named: DataFrame, more: DataFrame) -> DataFrame:
+    """The classes (fp, class_fp) with those joined that the links (a, b) of fingerprints connect."""
+    of = named.select(F.col("fp").alias("a"), F.col("class_fp").alias("x")).join(more, "a").join(
+        named.select(F.col("fp").alias("b"), F.col("class_fp").alias("y")), "b")
+    found = components(of.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    return named.join(found, F.col("class_fp") == F.col("node"), "left").select(
+        "fp", F.coalesce("root", "class_fp").alias("class_fp"))
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted distinct XXH64 hashes of the text's five-word shingles (all words, where there are fewer)."""
+    import xxhash
+    words, digest = (text or "").encode().lower().split(), xxhash.xxh64_intdigest
+    if not words:
+        return np.zeros(0, np.uint64)
+    found = {digest(b" ".join(words[i:i + NEAR_SHINGLE]), SEED) for i in range(max(1, len(words) - NEAR_SHINGLE + 1))}
+    return np.sort(np.fromiter(found, np.uint64, len(found)))
+
+
+def wide_pairs(known: DataFrame, similarity: float = SIMILARITY, radius: int = WIDE, found: float = FOUND, most: int = MOST,
+               task_rows: int = TASK_ROWS, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Candidates (a, b) among (fp, class_fp, n_shingles): of different classes, within the radius, of fitting sizes."""
+    units = grouped(known, sample_masks(radius, known.count(), group_rows, found), radius, most)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        fps, named = frame["fp"].to_numpy().view(np.uint64), frame["class_fp"].to_numpy()
+        sizes, out = frame["n_shingles"].to_numpy(), []
+        for rows in _units(frame["unit"].to_numpy(), fps):
+            for a, b in near_tiles(fps[rows], radius):
+                a, b = rows[a], rows[b]
+                fit = (named[a] != named[b]) & (np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b]))
+                out.append(np.sort(np.stack([fps[a[fit]], fps[b[fit]]], 1).view(np.int64), 1))
+        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+    return _in_tasks(units, task_rows).applyInPandas(run, "a long, b long").distinct()
+
+
+def near_texts(texts: DataFrame, named: DataFrame, similarity: float = SIMILARITY, radius: int = WIDE, **search) -> DataFrame:
+    """Links (a, b) of fingerprints of different classes whose texts are similar, from one text of each fingerprint.
+
+    `texts` is (fp, text), `named` (fp, class_fp). Texts of at least one word only; the
+    similarity is exact on whole shingle sets.
+    """
+    known = counted(texts).join(named, "fp").where("n_shingles > 0")
+    pairs = stored(wide_pairs(known.select("fp", "class_fp", "n_shingles"), similarity, radius, **search), "simhash-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+
+    def sets(batches):
+        for batch in batches:
+            held = pa.array([shingle_set(x.as_py()).tobytes() for x in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), held], names=["fp", "held"])
+
+    def verify(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    held = stored(texts.join(wanted, "fp", "left_semi").select("fp", "text").mapInArrow(sets, "fp long, held binary"), "simhash-sets")
+    met = (pairs.join(held.select(F.col("fp").alias("a"), F.col("held").alias("x")), "a")
+           .join(held.select(F.col("fp").alias("b"), F.col("held").alias("y")), "b").select("a", "b", "x", "y"))
+    return met.mapInArrow(verify, "a long, b long")
+
+
 def component_ids(fps: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, fp, component_id): the least id of each component."""
     named = classes(fps, radius)
@@ -190,21 +295,41 @@ def component_ids(fps: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id")
     return fps.join(of_fp, "fp").select(doc_id, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS,
+             similarity: float | None = None) -> DataFrame:
     """The documents, one of each component: that of the least id (a null id last, then
-    the first stored row). Columns stay as they are."""
+    the first stored row). Columns stay as they are.
+
+    With a `similarity`, texts of that Jaccard similarity of five-word shingles link as well.
+    """
     columns = [F.col(f"`{c}`") for c in docs.columns]
     rows = stored(docs.select(F.struct(*columns).alias("__doc"), F.monotonically_increasing_id().alias("__row")), "simhash-rows")
     body, key = F.col("__doc").getField(text), F.col("__doc").getField(doc_id)
     fps = stored(fingerprints(rows.select("__row", key.alias("__key"), body.alias("__body")), ("__row", "__key"), "__body"),
                  "simhash-fps")
     best = fps.groupBy("fp").agg(F.min(F.struct(F.col("__key").isNull(), "__key", "__row")).alias("best"))
-    kept = (best.join(classes(fps, radius), "fp").groupBy("class_fp").agg(F.min("best").alias("best"))
+    named = classes(fps, radius)
+    if similarity is not None:
+        # One row stands for each fingerprint.
+        first, named = best.select("fp", F.col("best.__row").alias("__row")), stored(named, "simhash-classes")
+        texts = rows.join(first, "__row").select("fp", body.alias("text"))
+        named = joined_classes(named, near_texts(texts, named, similarity))
+    kept = (best.join(named, "fp").groupBy("class_fp").agg(F.min("best").alias("best"))
             .select(F.col("best.__row").alias("__row")))
     return rows.join(kept, "__row", "left_semi").select(
         *[F.col("__doc").getField(c).alias(c) for c in docs.columns])
 
 
+def counted(texts: DataFrame) -> DataFrame:
+    """(fp, n_shingles) of (fp, text)."""
+    def run(batches):
+        for batch in batches:
+            sizes = pa.array([len(shingle_set(x.as_py())) for x in batch.column(1)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes], names=["fp", "n_shingles"])
+    small_batches(texts.sparkSession)
+    return stored(texts.select("fp", "text").mapInArrow(run, "fp long, n_shingles long"), "simhash-sizes")
+
+
 def hex16(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 

@@ -85,6 +85,79 @@ def test_tiles_against_all_pairs():
     assert simhash.compare_unit(fps, 3, tile=50).tolist() == want
 
 
+def test_tables_links_come_from_tiles(spark):
+    """Every link of a whole table, and nothing else, is found by comparing tiles."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    fps = np.array([r.fp for r in simhash.fingerprints(docs).select("fp").distinct().collect()], np.int64).view(np.uint64)
+    want = {(i, i + 1 + int(j)) for i in range(len(fps)) for j in np.nonzero(np.bitwise_count(fps[i + 1:] ^ fps[i]) <= 3)[0]}
+    masks = [np.uint64(m % (1 << 64)) for m in simhash.block_masks(3, len(fps), 100)]
+    got = set()
+    for m in masks:
+        for rows in simhash._units((fps & m).view(np.int64), fps):
+            for a, b in simhash.near_tiles(fps[rows], 3):
+                got |= {(min(x, y), max(x, y)) for x, y in zip(rows[a].tolist(), rows[b].tolist(), strict=True)}
+    assert len(masks) == 4 and want and got == want
+    found = {r.node: r.root for r in simhash.components(simhash.links(
+        spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long"), group_rows=100)).collect()}
+    linked = {int(fps.view(np.int64)[i]) for pair in want for i in pair}
+    assert set(found) == linked
+
+
+def test_masks():
+    assert simhash.block_masks(3, 100) == [0] and len(simhash.block_masks(3, 10 ** 6)) == 4
+    r = random.Random(4)
+    for rows in (10 ** 4, 10 ** 6, 10 ** 8):
+        masks = [m % (1 << 64) for m in simhash.sample_masks(13, rows)]
+        apart = [sum(1 << b for b in r.sample(range(64), 13)) for _ in range(2000)]
+        assert sum(any(not d & m for m in masks) for d in apart) >= 0.95 * len(apart)
+
+
+def brute_similar(texts, least=0.8):
+    """Pairs of places of different texts with that Jaccard similarity of five-word shingles."""
+    sets = []
+    for t in texts:
+        words = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split()
+        sets.append({tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    posted = {}
+    for i, held in enumerate(sets):
+        for s in held:
+            posted.setdefault(s, []).append(i)
+    shared = {}
+    for at in posted.values():
+        for x, i in enumerate(at):
+            for j in at[x + 1:]:
+                shared[i, j] = shared.get((i, j), 0) + 1
+    return {(i, j) for (i, j), n in shared.items() if n >= least * (len(sets[i]) + len(sets[j]) - n)}
+
+
+def test_recall_of_similar_texts(spark):
+    """Of all pairs of different texts of the largest table, by posting lists, 0.9 and more end in one class."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    rows = {}
+    for r in docs.collect():
+        rows.setdefault(simhash.fingerprint(r.text), r.text)
+    fps, texts = list(rows), list(rows.values())
+    want = [(fps[i], fps[j]) for i, j in brute_similar(texts)]
+    table = spark.createDataFrame(list(zip(fps, texts, strict=True)), "fp long, text string")
+    three = simhash.stored(simhash.classes(table), "classes")
+    more = simhash.near_texts(table, three)
+    named = {r.fp: r.class_fp for r in simhash.joined_classes(three, more).collect()}
+    assert len(want) >= 40 and sum(named[a] == named[b] for a, b in want) >= 0.9 * len(want)
+    # Links are exact: no pair is joined by `more` that is not similar.
+    assert {tuple(sorted(x)) for x in more.collect()} <= {tuple(sorted(p)) for p in want}
+
+
+def test_similar_texts_of_a_small_table(spark):
+    base = [f"w{i}" for i in range(300)]
+    texts = {1: " ".join(base), 2: " ".join(base[:290] + ["x", "y"]), 3: " ".join(base[:150] + ["q"] * 150), 4: None, 5: "", 6: "a b",
+             7: "a b", 8: "A  b", 9: " ".join(base[12:] + ["z"] * 5), 10: "one two three four five six"}
+    docs = spark.createDataFrame([(k, v, "c") for k, v in texts.items()], "doc_id long, text string, n_shingles string")
+    kept = simhash.keep_one(docs, similarity=0.8)
+    # 4 and 5 are empty, 6 to 8 the same words, 2 and 9 near 1, 3 is not.
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 6, 10]
+    assert simhash.keep_one(docs.where("false"), similarity=0.8).count() == 0
+
+
 def test_documents_end_to_end(spark, tmp_path):
     text = " ".join(f"w{i}" for i in range(400))
     rows = [(5, text), (3, text), (9, text + " end"), (1, "other words are here " * 9), (None, text), (2, None), (7, ""),
