@@ -6,11 +6,18 @@ return the columns of `documents`.
 
 1. quality rules: documents that fail the base rules or whose posterior is below one
    half go;
-2. SimHash near-duplicates: of each component the document of the least id stays;
+2. SimHash near-duplicates: texts within 3 bits, or with a Jaccard similarity of 0.8 or
+   more of their five-word shingles, are one group, of which the document of the least
+   id stays;
 3. benchmark decontamination: documents that hold 80 % or more of a test item's
    shingles go;
 4. PII: personal values become pseudonyms of their format, n_chars follows the text;
 5. packing: pieces of documents in sequences of at most 2048 tokens.
+
+Defined cases: null and empty texts fail the quality rules. Null ids pass all stages;
+where a group has other ids, a null id goes. Repeated rows are copies, of which one
+stays. An empty table stays empty through all stages. Other columns, whatever their
+names, are carried to the last stage, which returns the columns of packing.
 """
 
 from __future__ import annotations
@@ -30,7 +37,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, similarity=simhash.SIMILARITY)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
