@@ -23,9 +23,12 @@ member: never more rows than it holds, whatever the number of pairs.
 `near_texts` also finds texts whose five-word shingles have a Jaccard similarity of 0.8
 or more, whose fingerprints differ in up to about a dozen bits: the same tiles at a wide
 radius, inside groups that share random samples of the bits, as many samples as find a
-pair at that radius with the chance `found`, whatever the size of the corpus. Pairs that
-are one class already or whose numbers of shingles exclude the similarity are dropped in
-the tile; the others are verified by their whole shingle sets.
+pair at that radius with the chance `found`, whatever the size of the corpus. That gives
+candidate groups of classes, again as links to a least member. The whole shingle sets of
+a group of two classes or more then meet once, cut into units of a bounded number of
+shingles by pairs of parts; in a unit the tiles name the pairs, and those of different
+classes and fitting sizes are verified exactly until they are joined. So what is emitted
+is never more than the members, however many pairs a group of near copies has.
 
 Only distinct fingerprints are compared; copies meet by equality. Components come from
 `components`.
@@ -55,6 +58,7 @@ from chronoline.llm.components import components
 SEED, SHINGLE, RADIUS = 42, 3, 3
 SLICE = 1 << 16
 GROUP_ROWS, MOST, TASK_ROWS, TILE = 4000, 16_384, 200_000, 256
+MOST_SHINGLES = 2_000_000
 # Near texts: words of a shingle, similarity, radius of the search and chance to find a pair at that radius.
 NEAR_SHINGLE, SIMILARITY, WIDE, FOUND = 5, 0.8, 13, 0.97
 
@@ -238,52 +242,83 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.sort(np.fromiter(found, np.uint64, len(found)))
 
 
-def wide_pairs(known: DataFrame, similarity: float = SIMILARITY, radius: int = WIDE, found: float = FOUND, most: int = MOST,
-               task_rows: int = TASK_ROWS, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Candidates (a, b) among (fp, class_fp, n_shingles): of different classes, within the radius, of fitting sizes."""
+def _fitting(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of these sizes can be that similar."""
+    return np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b])
+
+
+def candidate_links(known: DataFrame, similarity: float = SIMILARITY, radius: int = WIDE, found: float = FOUND, most: int = MOST,
+                    task_rows: int = TASK_ROWS, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Links (a, b) of classes among (fp, class_fp, n_shingles) that hold fingerprints within the radius, of fitting sizes."""
     units = grouped(known, sample_masks(radius, known.count(), group_rows, found), radius, most)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         fps, named = frame["fp"].to_numpy().view(np.uint64), frame["class_fp"].to_numpy()
-        sizes, out = frame["n_shingles"].to_numpy(), []
+        sizes, out = frame["n_shingles"].to_numpy(), [np.zeros((0, 2), np.int64)]
         for rows in _units(frame["unit"].to_numpy(), fps):
-            for a, b in near_tiles(fps[rows], radius):
-                a, b = rows[a], rows[b]
-                fit = (named[a] != named[b]) & (np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b]))
-                out.append(np.sort(np.stack([fps[a[fit]], fps[b[fit]]], 1).view(np.int64), 1))
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-    return _in_tasks(units, task_rows).applyInPandas(run, "a long, b long").distinct()
+            names, of = np.unique(named[rows], return_inverse=True)
+            label = np.arange(len(names))
+            for a, b in near_tiles(fps[rows], radius) if len(names) > 1 else ():
+                new = (label[of[a]] != label[of[b]]) & _fitting(a, b, sizes[rows], similarity)
+                if new.any():
+                    label = _roots(len(names), of[a[new]], of[b[new]], label)
+            linked = label != np.arange(len(names))
+            out.append(np.stack([names[linked], names[label[linked]]], 1))
+        links_of = np.unique(np.concatenate(out), axis=0)
+        return pd.DataFrame({"a": links_of[:, 0], "b": links_of[:, 1]})
+    return _in_tasks(units, task_rows).applyInPandas(run, "a long, b long")
 
 
-def near_texts(texts: DataFrame, named: DataFrame, similarity: float = SIMILARITY, radius: int = WIDE, **search) -> DataFrame:
+def verified_links(fps: np.ndarray, named: np.ndarray, sets: list[np.ndarray], similarity: float, radius: int) -> list[tuple[int, int]]:
+    """Places (a, b) of similar sets that join the classes of a unit; a pair that is joined already is not compared."""
+    sizes = np.array([len(x) for x in sets])
+    names, of = np.unique(named, return_inverse=True)
+    label, out = np.arange(len(names)), []
+    for a, b in near_tiles(fps, radius):
+        fit = (label[of[a]] != label[of[b]]) & _fitting(a, b, sizes, similarity)
+        for x, y in zip(a[fit].tolist(), b[fit].tolist(), strict=True):
+            p, q = label[of[x]], label[of[y]]
+            if p == q:
+                continue
+            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if both >= similarity * (len(sets[x]) + len(sets[y]) - both):
+                label[label == max(p, q)] = min(p, q)
+                out.append((x, y))
+    return out
+
+
+def near_texts(texts: DataFrame, named: DataFrame, similarity: float = SIMILARITY, radius: int = WIDE,
+               most_shingles: int = MOST_SHINGLES, **search) -> DataFrame:
     """Links (a, b) of fingerprints of different classes whose texts are similar, from one text of each fingerprint.
 
-    `texts` is (fp, text), `named` (fp, class_fp). Texts of at least one word only; the
-    similarity is exact on whole shingle sets.
+    `texts` is (fp, text), `named` (fp, class_fp). The links join all classes that similar
+    texts connect. Texts of at least one word only; the similarity is exact on whole sets.
     """
-    known = counted(texts).join(named, "fp").where("n_shingles > 0")
-    pairs = stored(wide_pairs(known.select("fp", "class_fp", "n_shingles"), similarity, radius, **search), "simhash-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    known = stored(counted(texts).join(named, "fp").where("n_shingles > 0"), "simhash-known")
+    groups = components(candidate_links(known.select("fp", "class_fp", "n_shingles"), similarity, radius, **search))
+    members = known.join(groups.select(F.col("node").alias("class_fp"), F.col("root").alias("group")), "class_fp").select(
+        "fp", "class_fp", "group", "n_shingles")
+    parts = members.groupBy("group").agg(F.ceil(F.sum("n_shingles") * 2 / F.lit(most_shingles)).alias("parts"))
+    sub = F.pmod(F.xxhash64("fp"), F.col("parts"))
+    # A member meets every part of its group: the units are pairs of parts.
+    units = members.join(parts, "group").withColumn("sub", sub).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(
+        "fp", "class_fp", F.xxhash64("group", F.least("sub", "other"), F.greatest("sub", "other")).alias("unit"))
 
     def sets(batches):
         for batch in batches:
             held = pa.array([shingle_set(x.as_py()).tobytes() for x in batch.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), held], names=["fp", "held"])
 
-    def verify(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    held = stored(texts.join(wanted, "fp", "left_semi").select("fp", "text").mapInArrow(sets, "fp long, held binary"), "simhash-sets")
-    met = (pairs.join(held.select(F.col("fp").alias("a"), F.col("held").alias("x")), "a")
-           .join(held.select(F.col("fp").alias("b"), F.col("held").alias("y")), "b").select("a", "b", "x", "y"))
-    return met.mapInArrow(verify, "a long, b long")
+    held = stored(texts.join(members.select("fp"), "fp", "left_semi").select("fp", "text").mapInArrow(
+        sets, "fp long, held binary"), "simhash-sets")
+
+    def verify(unit: pa.Table) -> pa.Table:
+        fps, classes_of = unit["fp"].to_numpy(), unit["class_fp"].to_numpy()
+        shingles = [np.frombuffer(x.as_buffer(), np.uint64) for x in unit["held"]]
+        pairs = verified_links(fps.view(np.uint64), classes_of, shingles, similarity, radius)
+        return pa.table({"a": pa.array([fps[x] for x, _ in pairs], pa.int64()), "b": pa.array([fps[y] for _, y in pairs], pa.int64())})
+    return units.join(held, "fp").groupBy("unit").applyInArrow(verify, "a long, b long")
 
 
 def component_ids(fps: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id") -> DataFrame:

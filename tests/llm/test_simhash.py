@@ -147,6 +147,33 @@ def test_recall_of_similar_texts(spark):
     assert {tuple(sorted(x)) for x in more.collect()} <= {tuple(sorted(p)) for p in want}
 
 
+def test_group_of_near_copies_is_joined_by_few_links(spark):
+    """Hundreds of copies, each with words of its own, in units of few shingles: links do not outnumber the members."""
+    base, r = [f"w{i}" for i in range(200)], random.Random(1)
+    texts = []
+    for k in range(300):
+        words = list(base)
+        for at in r.sample(range(200), 2):
+            words[at] = f"own{k}_{at}"
+        texts.append(" ".join(words))
+    rows = {simhash.fingerprint(t): t for t in texts}
+    table = spark.createDataFrame(list(rows.items()), "fp long, text string")
+    three = simhash.stored(simhash.classes(table), "classes")
+    pairs = brute_similar(list(rows.values()))
+    group = list(range(len(rows)))
+    for _ in range(3):
+        for i, j in sorted(pairs):
+            group[i] = group[j] = min(group[i], group[j])
+    whole = simhash.near_texts(table, three)
+    cut = simhash.near_texts(table, three, most_shingles=20_000)
+    assert len(pairs) > 2000 and whole.count() < len(rows) and cut.count() < 8 * len(rows)
+    fps = list(rows)
+    for more in (whole, cut):
+        named = {x.fp: x.class_fp for x in simhash.joined_classes(three, more).collect()}
+        together = sum(named[fps[i]] == named[fps[j]] for i, j in pairs)
+        assert together >= 0.9 * len(pairs)
+
+
 def test_similar_texts_of_a_small_table(spark):
     base = [f"w{i}" for i in range(300)]
     texts = {1: " ".join(base), 2: " ".join(base[:290] + ["x", "y"]), 3: " ".join(base[:150] + ["q"] * 150), 4: None, 5: "", 6: "a b",
