@@ -162,13 +162,18 @@ def dedup_lab_reports(spark, sf):
     return labstats.dedup_lab_reports(_joined(spark, sf), "ts", "record_no").select("record_no")
 
 
+def _stored_grid(spark, sf):
+    """The grid as a dataset build keeps it."""
+    return v.stage(spark, sf, "grid", lambda s, d: labstats.percentile_grid(labstats.numeric_value_counts(v.labs(s, d)), bins=101))
+
+
 @Q.add(f"""
 select record_no, bin from labs left join (
  select record_no, arg_min(idx, (abs(g.value - l."numeric"), idx)) as bin from labs l join {_GRID} g
   on g.item_code = l.item_code and g.unit = coalesce(l.unit, '') where l."numeric" is not null group by 1) using (record_no)""")
 def nearest_bin(spark, sf):
     labs = v.labs(spark, sf)
-    grid = labstats.percentile_grid(labstats.numeric_value_counts(labs), bins=101)
+    grid = _stored_grid(spark, sf)
     return labstats.nearest_bins(labs, grid).select("record_no", F.col("bin").cast("long").alias("bin"))
 
 
@@ -177,7 +182,7 @@ select record_no, round(g.value, 5) as value, g.unit from (select record_no, ite
  join {_DOMINANT} d on d.item_code = l.item_code join {_GRID} g on g.item_code = d.item_code and g.unit = d.unit and g.idx = b""")
 def bin_to_value(spark, sf):
     labs = v.labs(spark, sf)
-    grid = labstats.percentile_grid(labstats.numeric_value_counts(labs), bins=101)
+    grid = _stored_grid(spark, sf)
     rows = labs.select("record_no", "item_code", (F.col("line_no") % 101).alias("bin"))
     out = labstats.bin_values(rows, grid)
     return out.select("record_no", "value", F.expr("substring_index(value_text, ' ', -1)").alias("unit"))

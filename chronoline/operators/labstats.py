@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoline import fixed_values as fv
@@ -176,36 +176,54 @@ def dedup_lab_reports(labs: DataFrame, time: str = "age_min", record: str = "uni
     return picked.select(*keys, "r.*")
 
 
+def value_segment(value: Column) -> Column:
+    """Piece of a double for look-ups: 64 to a power of two above 2^-20, one for all values nearer to zero."""
+    size = F.floor((F.log2(F.greatest(F.abs(value), F.lit(2.0 ** -20))) + 20) * 64)
+    return F.when(value < 0, -size).otherwise(size).cast("long")
+
+
+def grid_intervals(grids: DataFrame) -> DataFrame:
+    """(item_code, unit, seg, lower, upper, lower_idx, upper_idx): neighbouring grid values and their first
+    index, one row for each piece of the axis between them; after the last value `upper` is null.
+
+    A grid has as many rows as it has bins and pieces from its first to its last value.
+    """
+    points = grids.select("item_code", F.coalesce("unit", F.lit("")).alias("unit"), F.posexplode("grid").alias("idx", "x"))
+    points = points.groupBy("item_code", "unit", "x").agg(F.min("idx").alias("idx"))
+    # A grid holds a bounded number of bins.
+    w = Window.partitionBy("item_code", "unit").orderBy("x")
+    pairs = points.select("item_code", "unit", F.col("x").alias("lower"), F.lead("x").over(w).alias("upper"),
+                          F.col("idx").alias("lower_idx"), F.lead("idx").over(w).alias("upper_idx"))
+    first, last = value_segment(F.col("lower")), value_segment(F.coalesce("upper", "lower"))
+    return pairs.withColumn("seg", F.explode(F.sequence(first, last)))
+
+
 def nearest_bins(labs: DataFrame, grids: DataFrame, value: str = "numeric", out: str = "bin"
                  ) -> DataFrame:
     """Zero-based grid index of each value; null without a grid for (code, unit).
 
-    The grid is searched in two steps (every 23rd value, then within), and the
-    nearer neighbour wins, the smaller on ties, at its first index.
+    A value is moved into the range of its grid and then finds its interval by
+    (code, unit, piece of the axis), so a frequent code spreads over its pieces and no
+    grid travels with a row. The nearer end of the interval wins, the smaller on ties,
+    at its first index.
     """
-    stride = 23
-    g = grids.select(F.col("item_code").alias("__c"), F.col("unit").alias("__u"),
-                     F.col("grid").alias("__g")).withColumn(
-        "__coarse", F.transform(
-            F.sequence(F.lit(0), F.floor((F.size("__g") - 1) / stride).cast("int")),
-            lambda i: F.element_at("__g", i * stride + 1)))
-    joined = labs.join(g, (F.col("item_code") == F.col("__c"))
-                       & (F.coalesce("unit", F.lit("")) == F.coalesce("__u", F.lit(""))), "left")
-    v = F.col(value)
-    # one step per column: each search runs once per row
-    found = (joined
-             .withColumn("__b", F.greatest(F.size(F.filter("__coarse", lambda x: x <= v)), F.lit(1)))
-             .withColumn("__p", F.slice("__g", (F.col("__b") - 1) * stride + 1, stride + 1))
-             .withColumn("__k", F.size(F.filter("__p", lambda x: x <= v)))
-             .withColumn("__lo", F.try_element_at("__p", F.when(F.col("__k") > 0, F.col("__k"))))
-             .withColumn("__hi", F.try_element_at("__p", F.col("__k") + 1)))
-    lower, upper = F.col("__lo"), F.col("__hi")
-    near = (F.when(lower.isNull(), upper).when(upper.isNull(), lower)
-            .when(F.abs(lower - v) <= F.abs(upper - v), lower).otherwise(upper))
-    index = F.when(v.isNotNull() & F.col("__g").isNotNull(),
-                   F.array_position("__g", near).cast("int") - 1)
-    return found.withColumn(out, index).drop(
-        "__c", "__u", "__g", "__coarse", "__b", "__p", "__k", "__lo", "__hi")
+    own = [F.col("item_code").alias("__c"), F.col("unit").alias("__u")]
+    intervals = grid_intervals(grids)
+    ends = grids.select(F.col("item_code").alias("__ec"), F.coalesce("unit", F.lit("")).alias("__eu"),
+                        F.array_min("grid").alias("__first"), F.array_max("grid").alias("__last"))
+    unit = F.coalesce("unit", F.lit(""))
+    ranged = labs.drop(out).join(ends, (F.col("item_code") == F.col("__ec")) & (unit == F.col("__eu")), "left")
+    x = F.least(F.greatest(F.col(value), F.col("__first")), F.col("__last"))
+    # least and greatest skip nulls: a row without value or grid has no place
+    placed = ranged.withColumn("__x", F.when(F.col(value).isNotNull() & F.col("__first").isNotNull(), x)
+                               ).withColumn("__s", value_segment(F.col("__x")))
+    found = placed.join(
+        intervals.select(*own, "seg", "lower", "upper", "lower_idx", "upper_idx"),
+        (F.col("item_code") == F.col("__c")) & (unit == F.col("__u")) & (F.col("__s") == F.col("seg"))
+        & (F.col("lower") <= F.col("__x")) & (F.col("upper").isNull() | (F.col("__x") < F.col("upper"))), "left")
+    nearer = F.col("upper").isNull() | (F.col("__x") - F.col("lower") <= F.col("upper") - F.col("__x"))
+    return found.withColumn(out, F.when(nearer, F.col("lower_idx")).otherwise(F.col("upper_idx")).cast("int")).drop(
+        "__c", "__u", "__ec", "__eu", "__first", "__last", "__x", "__s", "seg", "lower", "upper", "lower_idx", "upper_idx")
 
 
 def bin_values(rows: DataFrame, grids: DataFrame, index: str = "bin", out: str = "value") -> DataFrame:

@@ -87,6 +87,26 @@ def test_nearest_bins_equal_brute_force(rows):
             assert r["bin"] == int(np.argmin(np.abs(grid - r["numeric"])))
 
 
+def test_nearest_bins_of_a_frequent_code(spark, rows):
+    """Grids across zero, of tiny and of equal values; one code holds nearly all rows and spreads over many pieces."""
+    rng = np.random.default_rng(4)
+    grid = {"hot": np.sort(np.round(rng.normal(size=501) * 50, 2)), "tiny": np.arange(1, 22) * 1e-9, "flat": np.full(21, 3.5),
+            "low": -np.sort(rng.lognormal(size=51))[::-1]}
+    values = [("hot", float(x)) for x in rng.normal(size=3000) * 60] + [("hot", float(x)) for x in grid["hot"][::7]]
+    values += [("tiny", 4.5e-9), ("tiny", 4.4e-9), ("flat", 3.5), ("flat", -1.0), ("low", -0.9), ("low", 5.0), ("low", -1e9), ("none", 1.0)]
+    labs = rows([(c, None, x, "kept") for c, x in values], "item_code string, unit string, numeric double, lower string").drop("lower")
+    grids = rows([(c, "", [float(x) for x in g]) for c, g in grid.items()], "item_code string, unit string, grid array<double>")
+    got = labstats.nearest_bins(labs, grids)
+    for r in got.collect():
+        if r["item_code"] == "none":
+            assert r["bin"] is None
+        else:
+            assert r["bin"] == int(np.argmin(np.abs(grid[r["item_code"]] - r["numeric"])))
+    assert got.count() == len(values) and got.columns == ["item_code", "unit", "numeric", "bin"]
+    spread = labstats.grid_intervals(grids).filter("item_code = 'hot'").groupBy("seg").count()
+    assert spread.count() > 300 and spread.agg(F.max("count")).first()[0] < 40
+
+
 def test_numeric_stats_match_numpy(rows):
     rng = np.random.default_rng(2)
     x = rng.lognormal(size=400).round(3)
