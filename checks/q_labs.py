@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks import views as v
 from checks.define import Queries
 from chronoline.functions import scalars as c
-from chronoline.operators import clean, labstats, lookups, vocab
+from chronoline.operators import clean, labstats, lookups, partials, vocab
+from chronoline.session import shared_dir
 
 Q = Queries()
 
@@ -206,9 +209,44 @@ def rows_per_patient(spark, sf):
 @Q.add("""
 select item_code, cast(sum(n) as bigint) as n from (select item_code, provisional, count(*) as n from diagnoses group by 1, 2) group by 1""")
 def merge_counts(spark, sf):
-    """Partial counters of record groups merged into totals."""
-    part = v.diagnoses(spark, sf).groupBy("item_code", "provisional").agg(F.count(F.lit(1)).alias("n"))
-    return part.groupBy("item_code").agg(F.sum("n").alias("n"))
+    """Three runs over increments of the records, stored one by one and merged."""
+    return partials.merged(_runs(spark, sf), ["item_code"]).select("item_code", "n")
+
+
+def _runs(spark, sf):
+    """Stored partial statistics of the diagnoses by code and split, one run for each third of the days."""
+    def make(spark, sf):
+        path = f"{shared_dir(spark).rstrip('/')}/runs-{uuid.uuid4().hex}"
+        rows = v.diagnoses(spark, sf).join(v.splits(spark, sf), "patient_id", "left")
+        for k in range(3):
+            part = rows.filter(F.pmod(F.dayofyear("ts"), F.lit(3)) == k)
+            partials.add_run(partials.partial_counts(part, ["item_code", "split"], "record_no", "provisional"), path, f"r{k}")
+        return partials.stored_runs(spark, path)
+    return v.stage(spark, sf, "runs", make)
+
+
+@Q.add("""select item_code, split, count(*) as n, round(avg(record_no), 3) as mean, round(stddev_pop(record_no), 1) as std,
+ count(*) filter (provisional = 0) as n_final, count(*) filter (provisional = 1) as n_provisional
+ from diagnoses left join splits using (patient_id) group by all""")
+def merged_runs(spark, sf):
+    """Means, spreads and categories by code and split; the runs are folded into totals one after another."""
+    keys, runs = ["item_code", "split"], _runs(spark, sf)
+    run = lambda k: runs.filter(F.col("run") == f"r{k}").drop("run")
+    totals = partials.totals_of(run(0), "r0")
+    for k in (1, 2):
+        totals = partials.fold(totals, run(k), f"r{k}", keys)
+    of = lambda c: F.coalesce(F.try_element_at("categories", F.lit(c)), F.lit(0))
+    return partials.finished(totals).select(*keys, "n", F.round("mean", 3).alias("mean"), F.round("std", 1).alias("std"),
+                                            of("0").alias("n_final"), of("1").alias("n_provisional"))
+
+
+@Q.add("""select item_code, count(distinct patient_id) as n_patients, true as within_error from diagnoses group by 1""")
+def approx_patients(spark, sf):
+    """Exact number of patients of a code, and whether the union of the stored sketches lies within 5 % and 1 of it."""
+    exact = v.diagnoses(spark, sf).groupBy("item_code").agg(F.count_distinct("patient_id").alias("n_patients"))
+    near = partials.finished(partials.merged(_runs(spark, sf), ["item_code"])).select("item_code", F.col("n_patients").alias("near"))
+    return exact.join(near, "item_code").select(
+        "item_code", "n_patients", (F.abs(F.col("near") - F.col("n_patients")) <= 1 + F.col("n_patients") * 0.05).alias("within_error"))
 
 
 @Q.add("""
