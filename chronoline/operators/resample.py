@@ -166,16 +166,17 @@ def epoch_resample(metadata: DataFrame, max_length: int, epoch: int, seed: int =
     Weights are clip(length / max_length, 1, max_weight). Points on the
     cumulative weight line are matched to timelines with an ordered scan.
     """
-    weight = F.least(F.greatest(F.col("effective_length") / max_length, F.lit(1.0)), F.lit(max_weight))
+    # Weights in whole rows, whose sum does not depend on the layout.
+    weight = F.least(F.greatest(F.col("effective_length").cast("long"), F.lit(max_length)), F.lit(int(max_weight * max_length)).cast("long"))
     keyed = metadata.select("patient_id", weight.alias("__w")).withColumn(
         "__d", c.stable_digest(seed, "patient_id"))
-    line = o.ordered_scan(keyed, [], ["__d", "patient_id"], o.hash_segment("__d"), {
+    sum_, rows = keyed.agg(F.coalesce(F.sum("__w"), F.lit(0)), F.count(F.lit(1))).first()
+    line = o.ordered_scan(keyed, [], ["__d", "patient_id"], o.hash_segment("__d", o.digits_for(rows)), {
         "__end": o.running_sum(F.col("__w"))})
-    sum_ = keyed.agg(F.sum("__w")).first()[0] or 0.0
-    total, n = F.lit(sum_), math.ceil(sum_)
+    total, n = F.lit(sum_).cast("double"), -(-sum_ // max_length)
     points = metadata.sparkSession.range(1, n + 1).select(F.col("id").alias("draw")).withColumn(
         "__x", c.digest_uniform(c.stable_digest(seed, F.lit(epoch), "draw")) * total)
-    starts = line.select((F.col("__end") - F.col("__w")).alias("__x"), F.lit(0).alias("__r"),
+    starts = line.select((F.col("__end") - F.col("__w")).cast("double").alias("__x"), F.lit(0).alias("__r"),
                          "patient_id", F.lit(None).cast("long").alias("draw"))
     merged = starts.unionByName(points.select("__x", F.lit(1).alias("__r"),
                                               F.lit(None).cast("string").alias("patient_id"), "draw"))

@@ -32,14 +32,38 @@ def _typed(name: str, kind: T.DataType) -> Column:
     return text
 
 
+def _first_line(spark: SparkSession, file: str) -> tuple[str, str]:
+    """Path and first line that is not blank, read through Spark's own file systems; empty for an empty file."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+    stream = path.getFileSystem(conf).open(path)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+        source = codec.createInputStream(stream) if codec is not None else stream
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(source, "UTF-8"))
+        line = reader.readLine()
+        while line is not None and not line.strip():
+            line = reader.readLine()
+        return path.toString(), line or ""
+    finally:
+        stream.close()
+
+
 def _by_header(spark: SparkSession, path: str | list[str]) -> dict[tuple[str, ...], list[str]]:
-    """The files of a path or glob by their header line; only these lines come to the driver."""
-    files = [r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect()]
+    """The files of a path or glob by their header line.
+
+    Listing and the first lines cost no job however many files there are; each distinct
+    first line is then parsed once, by the CSV reader itself.
+    """
+    files = spark.read.text(path).inputFiles()
     with ThreadPoolExecutor(HEADER_READERS) as readers:
-        headers = readers.map(lambda f: tuple(spark.read.csv(f, header=True, inferSchema=False).columns), files)
-        groups: dict[tuple[str, ...], list[str]] = {}
-        for file, header in zip(files, headers, strict=True):
-            groups.setdefault(header, []).append(file)
+        lines: dict[str, list[str]] = {}
+        for file, line in readers.map(lambda f: _first_line(spark, f), sorted(files)):
+            lines.setdefault(line, []).append(file)
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for line, own in lines.items():
+        header = tuple(spark.read.csv(spark.sparkContext.parallelize([line], 1), header=True, inferSchema=False).columns) if line else ()
+        groups.setdefault(header, []).extend(own)
     return groups
 
 
@@ -59,7 +83,9 @@ def read_records(spark: SparkSession, path: str | list[str], spec: TableSpec | s
         if header and required:
             raise ValueError(f"required columns are missing: {required} in {files[0]}")
         if header:
-            parts.append(spark.read.csv(files, header=True, inferSchema=False).select(*[
+            # all files of a group have the same columns in the same places
+            names = T.StructType([T.StructField(n, T.StringType()) for n in header])
+            parts.append(spark.read.csv(files, header=True, schema=names).select(*[
                 (F.lit(None).cast(t) if n in missing else _typed(n, t)).alias(n)
                 for n, t in spec.columns.items()]))
     if not parts:

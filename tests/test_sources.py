@@ -131,3 +131,27 @@ def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
         conf = type("F", (), {"get": staticmethod(lambda key, default=None: default)})()
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_dir(Cluster())
+
+
+def test_many_files_cost_few_jobs(spark, tmp_path):
+    """Headers of hundreds of files, quoted, compressed, in two orders, with blank first lines and an empty file."""
+    import gzip
+    for k in range(300):
+        quoted = k % 3 == 0
+        head = '"patient_id","item_code","timestamp"' if quoted else "timestamp,patient_id,item_code"
+        row = f"p{k},c{k % 4},2020/01/02 03:04" if quoted else f"2020/01/02 03:04,p{k},c{k % 4}"
+        text = ("\n" if k % 7 == 0 else "") + head + "\n" + row + "\n"
+        if k % 5 == 0:
+            with gzip.open(tmp_path / f"orders {k}.csv.gz", "wt") as out:
+                out.write(text)
+        else:
+            (tmp_path / f"orders {k}.csv").write_text(text)
+    (tmp_path / "orders none.csv").write_text("")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("headers", "headers")
+    frame = records.read_records(spark, str(tmp_path / "orders*"), "prescription_orders")
+    # Two distinct headers; listing and parsing cost a few jobs, none for each file.
+    assert len(tracker.getJobIdsForGroup("headers")) <= 8
+    spark.sparkContext.setJobGroup("other", "other")
+    got = {(r.patient_id, r.item_code) for r in frame.collect()}
+    assert got == {(f"p{k}", f"c{k % 4}") for k in range(300)}
