@@ -22,6 +22,7 @@ from chronoline.operators.lookups import neutrophil_counts
 DAY = 1440
 WINDOW = ("patient_id", "admission_no", "day")
 REAL = "real"
+PAIR_TILE = 64
 TRAJECTORY_KINDS = {"diagnosis": (fv.DIAGNOSIS,), "drug": fv.MEDICATION_TYPES, "lab": (fv.LAB,)}
 
 
@@ -334,19 +335,33 @@ def presence_pairs(present: DataFrame, keys: Sequence[str], codes: Sequence[str]
                    by: Sequence[str] = ()) -> DataFrame:
     """(code_1, code_2, n_both): trajectories that hold both codes.
 
-    `present` has (keys, code); it joins itself on the trajectory, whose codes
-    are bounded by the dictionary. With `codes`, pairs in the order of that list
-    and zeros for pairs that never meet.
+    `present` has (keys, code). With `codes`, pairs in the order of that list and zeros
+    for pairs that never meet.
     """
-    rank = _rank("code", codes)
-    rows = present.select(*by, *keys, "code").distinct().withColumn("__k", rank).filter(F.col("__k").isNotNull())
-    one = rows.withColumnsRenamed({"code": "code_1", "__k": "__a"})
-    two = rows.withColumnsRenamed({"code": "code_2", "__k": "__b"})
-    counted = (one.join(two, [*by, *keys]).filter(F.col("__a") < F.col("__b"))
-               .groupBy(*by, "code_1", "code_2").agg(F.count(F.lit(1)).alias("n_both")))
+    rows = present.select(*by, *keys, "code").distinct().withColumn("__k", _rank("code", codes)).filter(F.col("__k").isNotNull())
+    counted = tiled_pairs(rows, [*by, *keys], ["code"]).filter(F.col("a.__k") < F.col("b.__k")).groupBy(
+        *by, F.col("a.code").alias("code_1"), F.col("b.code").alias("code_2")).agg(F.count(F.lit(1)).alias("n_both"))
     return _all_pairs(counted, codes, by, False).withColumn("n_both", F.coalesce("n_both", F.lit(0).cast("long")))
 
 
+def tiled_pairs(rows: DataFrame, keys: Sequence[str], fields: Sequence[str], tile: int = PAIR_TILE) -> DataFrame:
+    """(keys, a, b): the pairs of entries (__k, fields) of each key, a.__k <= b.__k.
+
+    The entries of a key, at most one for each code of the dictionary, are one sparse
+    vector. Its tiles of `tile` entries meet pairwise as rows of two short arrays, so a
+    key of many codes is never one large product, and sums over the pairs combine where
+    the vector lies: what is shuffled is one row for each task and pair of codes.
+    """
+    vector = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__k", *fields))).alias("__v"))
+    last = (F.ceil(F.size("__v") / tile) - 1).cast("int")
+    tiles = vector.withColumn("__i", F.explode(F.sequence(F.lit(0), last))).withColumn(
+        "__j", F.explode(F.sequence(F.col("__i"), last)))
+    part = lambda at: F.slice("__v", F.col(at) * tile + 1, F.lit(tile))
+    short = tiles.select(*keys, part("__i").alias("__a"), part("__j").alias("__b"))
+    pairs = short.select(*keys, F.explode("__a").alias("a"), "__b").select(*keys, "a", F.explode("__b").alias("b"))
+    return pairs.filter(F.col("a.__k") <= F.col("b.__k"))
+
+
 def _rank(code: str, codes: Sequence[str] | None) -> Column:
     """Place of a code in the list, or the code itself."""
     if codes is None:
@@ -379,16 +394,14 @@ def correlation_matrix(values: DataFrame, keys: Sequence[str] = ("patient_id",),
                        min_pairs: int = 10, by: Sequence[str] = ()) -> DataFrame:
     """(code_1, code_2, n, r): Pearson over times with both codes, null below `min_pairs`.
 
-    `values` has (keys, age_min, code, value), one value per cell; it joins itself
-    on the time, whose codes are bounded by the dictionary. With `codes`, pairs
+    `values` has (keys, age_min, code, value), one value per cell. With `codes`, pairs
     in the order of that list and empty rows for pairs that never meet.
     """
     rows = values.select(*by, *keys, "age_min", "code", "value").withColumn("__k", _rank("code", codes)).filter(
         F.col("__k").isNotNull())
-    one = rows.withColumnsRenamed({"code": "code_1", "value": "__x", "__k": "__a"})
-    two = rows.withColumnsRenamed({"code": "code_2", "value": "__y", "__k": "__b"})
-    found = (one.join(two, [*by, *keys, "age_min"]).filter(F.col("__a") <= F.col("__b"))
-             .groupBy(*by, "code_1", "code_2").agg(F.count(F.lit(1)).alias("n"), F.corr("__x", "__y").alias("__r")))
+    found = tiled_pairs(rows, [*by, *keys, "age_min"], ["code", "value"]).groupBy(
+        *by, F.col("a.code").alias("code_1"), F.col("b.code").alias("code_2")).agg(
+        F.count(F.lit(1)).alias("n"), F.corr("a.value", "b.value").alias("__r"))
     long = _all_pairs(found, codes, by, True)
     r = F.when((F.col("n") >= min_pairs) & ~F.isnan("__r"), F.col("__r"))
     return long.withColumn("r", r).withColumn("n", F.coalesce("n", F.lit(0).cast("long"))).drop("__r")

@@ -359,3 +359,32 @@ def test_repeated_time_rows_go(rows):
     line = rows([("p", i, p) for i, p in enumerate((0, 1, 0, 0, 0, 2, 0))], "patient_id string, row_no int, priority int")
     got = timeline.drop_repeated_time_rows(line, ["row_no"], F.col("priority") == 0, 3)
     assert sorted(r["row_no"] for r in got.collect()) == [0, 1, 2, 5, 6]
+
+
+def test_pairs_of_codes_by_tiles(rows):
+    """Keys of no, one and many codes, in tiles smaller than their vectors."""
+    rng = np.random.default_rng(8)
+    cells = {(f"p{k}", t, f"c{x:03d}"): float(rng.normal()) for k in range(6) for t in range(4)
+             for x in rng.choice(150, size=(0, 1, 7, 140)[t], replace=False)}
+    values = rows([(*k, v) for k, v in cells.items()], "patient_id string, age_min int, code string, value double")
+    want = {}
+    for (p, t, a), x in cells.items():
+        for (p2, t2, b), y in cells.items():
+            if (p, t) == (p2, t2) and a <= b:
+                want.setdefault((a, b), []).append((x, y))
+    for tile in (4, 64):
+        vectors = values.withColumn("__k", F.col("code"))
+        pairs = simeval.tiled_pairs(vectors, ["patient_id", "age_min"], ["code", "value"], tile)
+        got = {(r.x, r.y): r.n for r in pairs.groupBy(F.col("a.code").alias("x"), F.col("b.code").alias("y")).agg(
+            F.count(F.lit(1)).alias("n")).collect()}
+        assert got == {k: len(v) for k, v in want.items()}
+    for r in simeval.correlation_matrix(values, min_pairs=4).collect():
+        x, y = np.array(want[r.code_1, r.code_2]).T
+        assert r.n == len(x) and (r.r is None) == (len(x) < 4)
+        assert r.r is None or abs(r.r - np.corrcoef(x, y)[0, 1]) < 1e-9
+    both = {(r.code_1, r.code_2): r.n_both for r in simeval.presence_pairs(values, ["patient_id"]).collect()}
+    held = {}
+    for p, _, a in cells:
+        held.setdefault(p, set()).add(a)
+    for (a, b), n in both.items():
+        assert n == sum(a in h and b in h for h in held.values()) and a < b
