@@ -273,8 +273,8 @@ def snapshot_history(spark, sf):
 # ---- dictionary joins -------------------------------------------------------
 
 def brand_map(spark, sf):
-    """Token arrays of part types as code map for brands seen on small parts."""
-    part = v.table(spark, sf, "part").filter(F.col("p_size") <= 25)
+    """Token arrays of part types as code map for brands seen on small parts; brands that end in 3 are left out."""
+    part = v.table(spark, sf, "part").filter((F.col("p_size") <= 25) & ~F.col("p_brand").endswith("3"))
     first = part.groupBy("p_brand").agg(F.min("p_partkey").cast("int").alias("k"))
     return first.select(F.col("p_brand").alias("original_value"),
                         F.array(F.lit(3), F.col("k"), F.lit(0)).alias("tokens"))
@@ -283,7 +283,7 @@ def brand_map(spark, sf):
 @Q.add("""
 select record_no, pos, tokens[pos] as token from
  (select l.record_no, case when k is null then [-2, 0, 0] else [3, k, 0] end as tokens
-  from labs l left join (select p_brand, cast(min(p_partkey) as int) as k from part where p_size <= 25 group by 1) m
+  from labs l left join (select p_brand, cast(min(p_partkey) as int) as k from part where p_size <= 25 and p_brand not like '%3' group by 1) m
     on l.item_code = m.p_brand), (select unnest([1, 2, 3]) as pos)""")
 def map_codes_to_tokens(spark, sf):
     mapped = lookups.map_codes_to_tokens(v.labs(spark, sf), brand_map(spark, sf), "item_code", 3)
