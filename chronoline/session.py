@@ -9,7 +9,11 @@ from pyspark.sql import SparkSession
 # Joins carry no broadcast hints for tables that grow with the data: Spark
 # broadcasts below the threshold by measured size and otherwise shuffles, and
 # adaptive execution splits the partitions of a hot key.
+# A union that hands on the partitioning of its children loses that property when an exchange
+# below it is shared with another branch (Spark 4.1); windows and aggregates above it, planned
+# without an exchange of their own, then see parts of their groups. So unions hand on none.
 DEFAULTS = {
+    "spark.sql.unionOutputPartitioning": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",

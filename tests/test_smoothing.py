@@ -74,3 +74,13 @@ def test_keys_null_and_empty(spark):
     whole = metrics.lowess_curve(counts.filter("grp is null").drop("grp"))
     assert whole.columns == ["g", "x", "smooth"] and whole.count() == 192
     assert metrics.lowess_curve(counts.filter("false"), ["grp"]).count() == 0
+
+
+def test_stored_counts_lose_no_point(spark, tmp_path):
+    """Scans of one stored table share exchanges; unions above them must not rely on their partitioning."""
+    path = str(tmp_path / "counts")
+    spark.range(5 * 900).selectExpr("id % 5 as replicate", "(id div 5 + 1) / 1000 as prob", "1L as n", "cast(id % 3 = 0 as bigint) as pos").write.parquet(path)
+    counts = spark.read.parquet(path)
+    grid = counts.select("replicate").distinct().selectExpr("replicate", "explode(sequence(0, 99)) as g").selectExpr(
+        "replicate", "g", "0.001 + g * 0.009 as x", "0.9 as range")
+    assert smoothing.lowess(counts, grid, ["replicate"], 0.5, True).count() == 500
