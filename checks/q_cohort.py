@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from checks import views as v
 from checks.define import Queries
 from checks.q_windows import STAYS
-from chronoline.operators import cohort, resample, stays
+from checks.tree_sql import TREE_PIECE, tree_weights_sql
+from chronoline.operators import cohort, multinomial, resample, stays
 
 Q = Queries()
 REPLICATES = 10
@@ -131,6 +132,27 @@ def resample_ordinal(spark, sf):
         F.count(F.lit(1)).alias("n_rows"))
 
 
+_TREE = tree_weights_sql("select distinct patient_id from evd", ["patient_id"], "md5('0|' || patient_id)", REPLICATES, TREE_PIECE)
+
+
+def _tree(spark, sf):
+    return v.stage(spark, sf, "tree_weights", lambda s, d: multinomial.bootstrap_id_weights(
+        v.patients(s, d), REPLICATES, piece=TREE_PIECE))
+
+
+@Q.add(f"select replicate, patient_id, weight from {_TREE}")
+def bootstrap_tree_patients(spark, sf):
+    """Weights of patients by the digest tree."""
+    return _tree(spark, sf)
+
+
+@Q.add(f"""select replicate, {_KIND} as kind, code, cast(sum(weight) as bigint) as n_records,
+ cast(sum(weight) filter (first) as bigint) as n_patients from (select *, row_number() over (partition by patient_id, type, code) = 1 as first from evd where type in (3, 4, 5, 6)) e
+ join {_TREE} w using (patient_id) group by 1, 2, 3""")
+def bootstrap_tree_code_counts(spark, sf):
+    return cohort.code_prevalence(v.evd(spark, sf), ["replicate"], _tree(spark, sf))
+
+
 _BOOT = _cohort_sql(_DRAWN, "replicate")
 
 

@@ -8,6 +8,7 @@ from checks import views as v
 from checks.define import Queries
 from checks.q_cohort import drawn_sql
 from checks.q_simulation import _PROBS
+from checks.tree_sql import TREE_PIECE, tree_weights_sql
 from chronoline.operators import metrics as m
 from chronoline.operators import resample
 
@@ -125,6 +126,29 @@ def bootstrap_metric_ci(spark, sf):
     return _digits(m.bootstrap_metric_ci(_replicates(spark, sf), ["grp"]), "mean", "lower", "upper")
 
 
+def _tree_cells(keys: str, prob: str, digest: str) -> str:
+    return tree_weights_sql(f"select {keys}{prob} as prob, label, count(*) as units from metric_input group by all", [
+        *keys.replace(" ", "").split(",")[:-1], "prob", "label"], f"md5({digest} || cast(cast(floor(prob * 1e12::double) as bigint) as varchar) || '|' || label)",
+        REPLICATES, TREE_PIECE, "units")
+
+
+_TREE = _cells(_confusion_sql(_tree_cells("grp, ", "prob", "'0|' || grp || '|'"), "replicate, grp", "weight"), "replicate, grp")
+
+
+def _kept(spark, sf, scope):
+    return lambda name, df: v.stage(spark, sf, f"{name}_{scope}", lambda s, d: df)
+
+
+@Q.add(f"""select * from (with cells as materialized {_TREE} select replicate, grp, round(auroc, 6) as auroc, round(auprc, 6) as auprc
+ from {_auroc("cells", "replicate, grp")} join {_auprc("cells", "replicate, grp")} using (replicate, grp))""")
+def bootstrap_tree_metrics(spark, sf):
+    """AUROC and AUPRC of replicates drawn from the condensed counts."""
+    counts = m.probability_counts(v.metric_input(spark, sf), ["grp"])
+    return _digits(m.condensed_bootstrap_metrics(
+        counts, REPLICATES, ["grp"], piece=TREE_PIECE, keep=_kept(spark, sf, "by_group")), "auroc", "auprc").select(
+        "replicate", "grp", "auroc", "auprc")
+
+
 def _counts(spark, sf, keys=("grp",)):
     return m.probability_counts(v.metric_input(spark, sf), keys, clip=1e-4)
 
@@ -200,6 +224,19 @@ def bootstrap_calibration(spark, sf):
     return _digits(m.bootstrap_calibration(_rows(spark, sf), _weights(spark, sf), "id", few_values=True), "mean", "lower", "upper", n=5)
 
 
+# The drawn cells, one row for each draw, for the plain SQL of the bands.
+_TREE_BOOT = f"(select replicate as grp, label, prob from (select *, unnest(range(weight)) from {_tree_cells('', _CLIP, repr('0|'))}))"
+_TREE_SPAN = f"(select g.grp, lo, hi from (select distinct grp from boot) g cross join (select min({_CLIP}) as lo, max({_CLIP}) as hi from metric_input))"
+
+
+@Q.add(f"""select * from (with boot as materialized {_TREE_BOOT}, items as ({_BOOT_ITEMS.replace(_BOOT_SPAN, _TREE_SPAN)})
+select item, round(avg(value), 5) as mean, round(quantile_cont(value, 0.025), 5) as lower, round(quantile_cont(value, 0.975), 5) as upper from items group by item)""")
+def bootstrap_tree_calibration(spark, sf):
+    """Calibration bands of replicates drawn from the condensed counts."""
+    return _digits(m.condensed_bootstrap_calibration(
+        _counts(spark, sf, ()), REPLICATES, piece=TREE_PIECE, few_values=True, keep=_kept(spark, sf, "all")), "mean", "lower", "upper", n=5)
+
+
 _TASK_PROBS = f"(select task || '|' || horizon as grp, task, cast(horizon as int) as horizon, actual as label, prob from {_PROBS})"
 _TASK_CELLS = _cells(_confusion_sql("probs", "task, horizon", source="probs"), "task, horizon")
 

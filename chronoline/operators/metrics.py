@@ -7,12 +7,12 @@ bin or grid point.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoline.operators import smoothing
+from chronoline.operators import multinomial, smoothing
 
 EPS = 1e-8
 
@@ -137,11 +137,27 @@ def bootstrap_metrics(rows: DataFrame, weights: DataFrame, row_id: str, keys: Se
     keys = list(keys)
     full = probability_bounds(probability_counts(rows, keys, label, prob), keys)
     drawn = probability_counts(weights.join(rows, row_id), [*keys, "replicate"], label, prob, "weight")
-    confusion = confusion_by_threshold(drawn, [*keys, "replicate"], thresholds, full, keys)
+    return _replicate_areas(drawn, full, keys, thresholds)
+
+
+def _replicate_areas(drawn: DataFrame, full: DataFrame, keys: list[str], thresholds: int) -> DataFrame:
     by = [*keys, "replicate"]
+    confusion = confusion_by_threshold(drawn, by, thresholds, full, keys)
     return auroc(confusion, by).join(auprc(confusion, by), by)
 
 
+def condensed_bootstrap_metrics(counts: DataFrame, replicates: int, keys: Sequence[str] = (), thresholds: int = 100,
+                                seed: int = 0, piece: int = multinomial.PIECE,
+                                keep: Callable[[str, DataFrame], DataFrame] | None = None) -> DataFrame:
+    """`bootstrap_metrics` from condensed counts: cells are drawn by a digest tree, rows are not read again.
+
+    Several branches read the drawn counts; `keep(name, df)` may store them.
+    """
+    keys, keep = list(keys), keep or (lambda name, df: df)
+    drawn = keep("drawn_counts", multinomial.bootstrap_probability_counts(counts, replicates, keys, seed, piece))
+    return _replicate_areas(drawn, probability_bounds(counts, keys), keys, thresholds)
+
+
 def bootstrap_metric_ci(replicates: DataFrame, keys: Sequence[str] = (), ci: float = 0.95) -> DataFrame:
     """(keys, metric, mean, lower, upper) over the replicates."""
     from chronoline.operators.resample import bootstrap_ci
@@ -237,10 +253,23 @@ def bootstrap_calibration(rows: DataFrame, weights: DataFrame, row_id: str, bins
                           ci: float = 0.95, label: str = "label", prob: str = "prob",
                           few_values: bool = False) -> DataFrame:
     """(item, mean, lower, upper): bands of bins, smooth, O/E, slope and intercepts."""
+    full = probability_bounds(probability_counts(rows, (), label, prob, clip=1e-4))
+    drawn = probability_counts(weights.join(rows, row_id), ["replicate"], label, prob, "weight", clip=1e-4)
+    return _calibration_bands(drawn, full, bins, ci, few_values)
+
+
+def condensed_bootstrap_calibration(counts: DataFrame, replicates: int, bins: int = 10, ci: float = 0.95, seed: int = 0,
+                                    piece: int = multinomial.PIECE, few_values: bool = False,
+                                    keep: Callable[[str, DataFrame], DataFrame] | None = None) -> DataFrame:
+    """`bootstrap_calibration` from condensed (prob, n, pos), drawn by a digest tree; `keep` as above."""
+    keep = keep or (lambda name, df: df)
+    drawn = keep("drawn_counts", multinomial.bootstrap_probability_counts(counts, replicates, (), seed, piece))
+    return _calibration_bands(drawn, probability_bounds(counts), bins, ci, few_values)
+
+
+def _calibration_bands(drawn: DataFrame, full: DataFrame, bins: int, ci: float, few_values: bool) -> DataFrame:
     from chronoline.operators.resample import bootstrap_ci
     by = ["replicate"]
-    full = probability_bounds(probability_counts(rows, (), label, prob, clip=1e-4))
-    drawn = probability_counts(weights.join(rows, row_id), by, label, prob, "weight", clip=1e-4)
     one = lambda name, value: F.struct(F.lit(name).alias("item"), value.alias("value"))
     oe = oe_ratio(drawn, by).select(one("oe", F.col("oe")).alias("s"))
     refit = logistic_recalibration(drawn, by).select(F.explode(F.array(
