@@ -9,20 +9,27 @@ kind, radices, round, place and the other half) modulo its radix. What a kind ke
 fixed or derives anew makes the result valid again:
 
 * card numbers (13 to 19 digits, Luhn): first digit kept, check digit derived;
-* IBAN (mod 97): country kept, check digits derived;
+* IBAN (mod 97), compact or in printed groups of four: country kept, check digits derived;
 * dates (`2020-01-31`, `2020/01/31`, `31.01.2020`, `31/01/2020`): a day of the same 400
   years; `01/31/2020`, which is no day-first date, moves within such dates of days up
-  to 28, else in its year only (29 February stays);
-* IPv4 addresses (numbers up to 255); US social security numbers (valid ranges);
-* telephone numbers: national ones with valid first digits of area and exchange; with
-  a country code, the code (1, else one digit) is kept; ten digits after +1 that are no
-  national number keep which of area and exchange start with 0 or 1;
+  to 28, else in its year only (29 February stays); dates with an English or German
+  month name (`May 3, 1980`, `3 May 1980`, `3. Mai 1980`): as the first ones, "May" in
+  the style of full names;
+* IPv4 addresses (numbers up to 255); IPv6 addresses of eight groups, or shortened ones
+  that begin with a group of three or four digits: hexadecimal digits, each group's
+  length and leading zero kept; US social security numbers (valid ranges);
+* telephone numbers: national ones, also ten digits in one, with valid first digits of
+  area and exchange; with a country code, the code is kept; ten digits after +1 that are
+  no national number keep which of area and exchange start with 0 or 1; in groups after
+  a 0, the 0 is kept;
 * e-mail addresses: letters and digits, but for the last label, by character class;
-* secrets (access keys, values after password, token or the like): by character class,
-  long ones in pieces, so that the cost follows the length.
+* secrets (keys with a known prefix, bearer tokens, values after password, token or the
+  like, also as the end of a longer name or in quotes): by character class, long ones in
+  pieces, so that the cost follows the length.
 
 What fails its validation stays as it is. Only column expressions are used; texts
-without a digit, `@`, `=` or `:` are passed through after one look.
+without a digit, `@`, `=` or `:` are passed through after one look (so a bare key without
+any digit stays).
 
 Defined cases: null stays null, empty stays empty; repeated rows and null ids are
 treated alike; very long texts are whole; an empty table gives an empty result. Other
@@ -40,12 +47,34 @@ ROUNDS = 8
 KEY = "replace-this-key"
 # The formats looked for, in order of precedence.
 EMAIL = r"[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,8}\.[A-Za-z]{2,24}"
+_KEYWORD = r"(?i:password|passwd|pwd|secret|token|api[_\-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?:(?i:bearer)\s{1,3})?"
+_PREFIX = r"gh[opsru]_|github_pat_|glpat-|sk-|xox[abprs]-"
+_BEARER = r"(?i:bearer)\s{1,3}"
 SECRET = (r"\bAKIA[0-9A-Z]{16}\b"
-          r"|\b(?i:password|passwd|pwd|secret|token|api[_\-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_\-+/.]{6,}+")
-SECRET_HEAD = r"^(?:AKIA|(?i:password|passwd|pwd|secret|token|api[_\-]?key)\s{0,3}[=:]\s{0,3}[\"']?)"
+          rf"|\b(?:{_PREFIX})(?=[A-Za-z0-9_\-]{{0,200}}[0-9])[A-Za-z0-9_\-]{{16,}}+"
+          rf"|\b{_BEARER}(?=[A-Za-z0-9_\-+/.=]{{0,200}}[0-9])[A-Za-z0-9_\-+/.=]{{16,}}+"
+          r"|\beyJ[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+"
+          rf"|(?<![A-Za-z0-9]){_KEYWORD}[A-Za-z0-9_\-+/.]{{6,}}+")
+SECRET_HEAD = rf"^(?:AKIA|{_PREFIX}|{_BEARER}|eyJ|{_KEYWORD})"
+# Lengths of IBANs of countries whose numbers are printed in groups.
+IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK FI NL", 19: "MK SI", 20: "AT BA EE KZ LT LU", 21: "CH HR LI LV", 22: "BG DE GB GE IE ME RS",
+                23: "AE GI IL", 24: "AD CZ ES PK RO SA SE SK TN", 25: "PT", 26: "IS TR", 27: "FR GR IT MC SM",
+                28: "AL AZ CY DO HU LB PL", 29: "BR PS QA UA", 30: "JO KW MU", 31: "MT"}
 IBAN = r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b"
+IBAN_PRINTED = "|".join(
+    rf"\b(?:{'|'.join(c.split())})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf" [A-Z0-9]{{{n % 4}}}" if n % 4 else "") + r"\b"
+    for n, c in IBAN_LENGTHS.items())
+MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
+SHORT_MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
+GERMAN_MONTHS = ["Januar", "Februar", "März", "April", "Mai", "Juni", "Juli", "August", "September", "Oktober", "November", "Dezember"]
+_ENGLISH = "|".join(MONTHS + SHORT_MONTHS)
+TEXT_DATE = (rf"\b(?:{_ENGLISH}) [0-9]{{1,2}}, [0-9]{{4}}(?![0-9])"
+             rf"|(?<![0-9.])[0-9]{{1,2}}\.? (?:{'|'.join(GERMAN_MONTHS)}|{_ENGLISH}) [0-9]{{4}}(?![0-9])")
 DATE = r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b|\b[0-9]{4}/[0-9]{2}/[0-9]{2}\b|\b[0-9]{2}\.[0-9]{2}\.[0-9]{4}\b|\b[0-9]{2}/[0-9]{2}/[0-9]{4}\b"
 IPV4 = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
+_HEX = "[0-9A-Fa-f]{1,4}"
+IPV6 = (rf"(?<![0-9A-Za-z:._])(?=[0-9A-Fa-f:]{{0,39}}[0-9])(?:(?:{_HEX}:){{7}}{_HEX}"
+        rf"|[0-9A-Fa-f]{{3,4}}(?::{_HEX}){{0,5}}::{_HEX}(?::{_HEX}){{0,5}})(?![0-9A-Za-z:_])")
 SSN = r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
 CARD = r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])"
 # Digits of a telephone number with what may stand before each; a blank leads to no date and no IP address.
@@ -54,8 +83,12 @@ _TAIL = r"(?:[.\-]?\(?[0-9]\)?){0,6}(?![0-9])"
 # After 8 digits (9 where numbers of 10 are written 3-3-2-2) a number is complete: no blank joins more digits to it.
 PHONE = (rf"\+1(?:{_DIGIT}){{10}}(?![0-9])|\+[0-9]{{10,15}}(?![0-9])"
          rf"|\+(?:7|49|90)(?:{_DIGIT}){{2,9}}{_TAIL}|\+[0-9]{{1,3}}(?:{_DIGIT}){{2,8}}{_TAIL}"
-         r"|(?<![0-9(])\(?[2-9][0-9]{2}\)?[ .\-][2-9][0-9]{2}[ .\-][0-9]{4}(?![0-9])")
-PATTERN = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, IBAN, DATE, IPV4, SSN, CARD, PHONE))
+         r"|(?<![0-9(])\(?[2-9][0-9]{2}\)?[ .\-][2-9][0-9]{2}[ .\-][0-9]{4}(?![0-9])"
+         r"|(?<![0-9A-Za-z_.,/\-])[2-9][0-9]{2}[2-9][0-9]{6}(?![0-9A-Za-z_/\-]|[.,][0-9])"
+         r"|(?<![0-9A-Za-z_.,/+(\-])0[0-9]{2,4} [0-9]{3,4} [0-9]{3,4}(?![0-9A-Za-z_/\-]|[.,][0-9])")
+# Country codes of one and two digits; the others have three.
+COUNTRY = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+PATTERN = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, IBAN, IBAN_PRINTED, TEXT_DATE, DATE, IPV6, IPV4, SSN, CARD, PHONE))
 # Pieces of a long secret: 256 characters while 128 or more follow, and the rest.
 PIECE = r".{256}(?=.{128})|.+"
 DAYS_400_YEARS = 146_097  # 189 * 773
@@ -159,6 +192,10 @@ def _iban(text: Column, key: str) -> Column:
     return F.when(_iban_rest(text) == 1, made).otherwise(text)
 
 
+def _iban_printed(text: Column, key: str) -> Column:
+    return F.regexp_replace(_iban(F.replace(text, F.lit(" "), F.lit("")), key), "(.{4})(?=.)", "$1 ")
+
+
 def _moved_day(day: Column, key: str) -> Column:
     """A day of the same 400 years."""
     number = F.datediff(day, F.lit("0001-01-01").cast("date")).cast("long")
@@ -196,6 +233,47 @@ def _date(text: Column, key: str) -> Column:
     return let(day, lambda d: F.when(d.isNotNull(), written(_moved_day(d, key))).when(us, moved_us).otherwise(text))
 
 
+def _text_date(text: Column, key: str) -> Column:
+    month_first = text.rlike("^[A-Z]")
+    dotted = text.rlike(r"^[0-9]+\.")
+    name, day, year = F.regexp_extract(text, "([A-Za-zä]{3,})", 1), F.regexp_extract(text, "(?<![0-9])([0-9]{1,2})(?![0-9])", 1), F.right(text, F.lit(4))
+    full, short, german = ([F.lit(m) for m in names] for names in (MONTHS, SHORT_MONTHS, GERMAN_MONTHS))
+    full, short, german = F.array(*full), F.array(*short), F.array(*german)
+    names = F.when(dotted & F.array_contains(german, name), german).when(F.array_contains(full, name), full).when(
+        F.array_contains(short, name), short).otherwise(german)
+
+    def of(names: Column) -> Column:
+        date = F.try_to_timestamp(F.concat_ws("-", year, F.lpad(F.array_position(names, name).cast("string"), 2, "0"), F.lpad(day, 2, "0")),
+                                  F.lit("yyyy-MM-dd")).cast("date")
+
+        def written(new: Column) -> Column:
+            d = F.when(day.startswith("0"), F.lpad(F.day(new).cast("string"), 2, "0")).otherwise(F.day(new).cast("string"))
+            m, y = F.element_at(names, F.month(new)), F.lpad(F.year(new).cast("string"), 4, "0")
+            return F.when(month_first, F.concat(m, F.lit(" "), d, F.lit(", "), y)).otherwise(
+                F.concat(d, F.when(dotted, ".").otherwise(""), F.lit(" "), m, F.lit(" "), y))
+        return let(date, lambda d: F.when(d.isNotNull(), let(_moved_day(d, key), written)).otherwise(text))
+    return let(names, of)
+
+
+def _ipv6(text: Column, key: str) -> Column:
+    chars = _chars(text)
+    is_hex = lambda c: c.rlike("[0-9A-Fa-f]")
+
+    def told(c: Column, i: Column) -> Column:
+        # A group's first digit stays zero or other than zero where more digits follow.
+        lead = ((i == 0) | (F.get(chars, i - 1) == ":")) & F.coalesce(is_hex(F.get(chars, i + 1)), F.lit(False))
+        v = F.conv(c, 16, 10).cast("long")
+        least = F.when(lead & (v > 0), 1).otherwise(0).cast("long")
+        return F.struct(c.alias("c"), (v - least).alias("v"), least.alias("least"),
+                        F.when(lead, F.when(v > 0, 15).otherwise(1)).otherwise(16).cast("long").alias("r"))
+
+    def of(digits: Column) -> Column:
+        moved = feistel(F.transform(digits, lambda x: x["v"]), F.transform(digits, lambda x: x["r"]), "ipv6", key)
+        small = F.zip_with(moved, digits, lambda v, x: F.lower(F.conv((v + x["least"]).cast("string"), 10, 16)))
+        return let(_mapped(chars, small, lambda c, v: v), lambda new: F.when(text.rlike("[A-F]"), F.upper(new)).otherwise(new))
+    return let(F.filter(F.transform(chars, told), lambda x: x["c"] != ":"), of)
+
+
 def _ipv4(text: Column, key: str) -> Column:
     def of(octets):
         sound = (F.size(F.filter(octets, lambda x: x > 255)) == 0) & ~text.rlike(r"(^|\.)0[0-9]")
@@ -220,11 +298,12 @@ def _ssn(text: Column, key: str) -> Column:
 def _phone(text: Column, key: str) -> Column:
     """Digits after the country code; of ten digits, the first of area and exchange stay 2 to 9, or 0 to 1 after +1."""
     coded = text.startswith("+")
-    head = F.when(coded, F.substring(text, 1, 2)).otherwise("")
-    rest = F.when(coded, F.substring(text, 3, 60)).otherwise(text)
+    trunk = text.rlike("^0[0-9]{2,4} ")
+    head = F.when(coded, F.regexp_extract(text, COUNTRY, 0)).when(trunk, "0").otherwise("")
+    rest = F.substr(text, F.length(head) + 1)
 
     def of(digits):
-        national = (F.size(digits) == 10) & (~coded | (head == "+1")) & (F.get(digits, F.lit(0)) > 1) & (F.get(digits, F.lit(3)) > 1)
+        national = (F.size(digits) == 10) & ~trunk & (~coded | (head == "+1")) & (F.get(digits, F.lit(0)) > 1) & (F.get(digits, F.lit(3)) > 1)
         led = lambda k: national & k.isin(0, 3)
         # Numbers outside the national format must not land in it: their vectors have a kind of their own.
         moved = lambda kind, least: F.transform(feistel(
@@ -241,7 +320,8 @@ def _phone(text: Column, key: str) -> Column:
         none = lambda k: F.lit(0).cast("long")
         return F.when(national, F.concat(head, _with_digits(rest, moved("phone", two)))).when(
             (head == "+1") & (F.size(digits) == 10), F.concat(head, _with_digits(rest, outside))).when(
-            coded & (head != "+1") & F.size(digits).between(6, 14), F.concat(head, _with_digits(rest, moved("phone+", none)))
+            coded & (head != "+1") & (F.size(digits) + F.length(head)).between(8, 16), F.concat(head, _with_digits(rest, moved("phone+", none)))
+        ).when(trunk, F.concat(head, _with_digits(rest, moved("phone0", none)))
         ).otherwise(text)
     return let(_digits_of(rest), of)
 
@@ -261,7 +341,8 @@ def pseudonym(value: Column, key: str = KEY) -> Column:
     """The pseudonym of one match of PATTERN."""
     is_ = lambda p: value.rlike(_whole(p))
     return (F.when(is_(EMAIL), _email(value, key)).when(is_(SECRET), _secret(value, key)).when(is_(IBAN), _iban(value, key))
-            .when(is_(DATE), _date(value, key)).when(is_(IPV4), _ipv4(value, key)).when(is_(SSN), _ssn(value, key))
+            .when(is_(IBAN_PRINTED), _iban_printed(value, key)).when(is_(TEXT_DATE), _text_date(value, key))
+            .when(is_(DATE), _date(value, key)).when(is_(IPV6), _ipv6(value, key)).when(is_(IPV4), _ipv4(value, key)).when(is_(SSN), _ssn(value, key))
             .when(is_(CARD), _card(value, key)).otherwise(_phone(value, key)))
 
 
