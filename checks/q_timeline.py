@@ -48,7 +48,11 @@ class Build:
         return plan.sequence_tables(self.cleaned, self.people, self.voc, SETTINGS)
 
     def token_rows(self):
-        return timeline.explode_rows(self.rows(), self.voc.width)
+        return timeline.explode_rows(plan.dealt_by_patient(self.rows(), self.keep), self.voc.width)
+
+    def segment(self):
+        """Width of the pieces of a patient; none where whole patients are scanned."""
+        return plan.scan_settings(SETTINGS, self.keep).segment_minutes
 
     def line(self):
         if self._line is None:
@@ -164,13 +168,14 @@ select patient_id, original_value, row_number() over (partition by patient_id or
  rid, priority from tl0""")
 def timeline_order(spark, sf):
     from chronoline.functions import ordered as o
-    rows = timeline.drop_oov(build(spark, sf).token_rows())
+    b = build(spark, sf)
+    rows = timeline.drop_oov(b.token_rows())
     merged = timeline.dedup_rows(rows, [k for k in timeline.ROW_KEY if k != "time_available_min"])
     from chronoline.operators.clean import drop_out_of_period, flag_periods
     kept = drop_out_of_period(flag_periods(merged, plan.periods_of(SETTINGS)))
     head = F.col("type") == 0
     keyed = kept.withColumn("sort_age", F.when(head, F.lit(-1)).otherwise(F.col("age_min")))
-    return o.ordered_scan(keyed, ["patient_id"], timeline.TIMELINE_ORDER, o.time_segment("sort_age", 7 * DAY),
+    return o.ordered_scan(keyed, ["patient_id"], timeline.TIMELINE_ORDER, o.time_segment("sort_age", b.segment()),
                           {"position": o.row_number()}).select(
         "patient_id", "original_value", "position", F.col("unique_record_id").alias("rid"), "priority")
 
@@ -219,7 +224,9 @@ def label_numerics(spark, sf):
 @Q.add(f"""select patient_id, row_no, {time_bin_sql('prev', 'age_min', '2000')} as time_label from
  (select *, lag(age_min) over (partition by patient_id order by row_no) as prev from tl) where priority = 0 and row_no > 0""")
 def label_time(spark, sf):
-    pairs = matrix.time_pairs(build(spark, sf).line()).filter(F.col("row_no") > 0)
+    b = build(spark, sf)
+    line = b.line()
+    pairs = matrix.time_pairs(line, b.segment()).filter(F.col("row_no") > 0)
     return pairs.select("patient_id", F.col("row_no").cast("long").alias("row_no"),
                         c.time_bin_label("shifted", "original", 2000).alias("time_label"))
 
@@ -245,7 +252,8 @@ select patient_id, age_min, original_value as code, row_no, case when next_rid =
 where prev_rid is null or prev_rid <> rid""")
 def event_view(spark, sf):
     b = build(spark, sf)
-    return timeline.event_view(b.labelled(), b.voc.catalog).select(
+    labelled = b.labelled()
+    return timeline.event_view(labelled, b.voc.catalog, b.segment()).select(
         "patient_id", "age_min", "code", F.col("row_no").cast("long").alias("row_no"), "result")
 
 
@@ -339,7 +347,9 @@ def slice_points(spark, sf):
 @Q.add("""select patient_id, row_no, age_min as original, prev as shifted from
  (select *, lag(age_min) over (partition by patient_id order by row_no) as prev from tl) where priority = 0""")
 def time_pairs(spark, sf):
-    return matrix.time_pairs(build(spark, sf).line()).withColumn("row_no", F.col("row_no").cast("long"))
+    b = build(spark, sf)
+    line = b.line()
+    return matrix.time_pairs(line, b.segment()).withColumn("row_no", F.col("row_no").cast("long"))
 
 
 @Q.add(f"""
@@ -398,8 +408,9 @@ def time_shuffle(spark, sf):
     kind = (F.when(F.col("priority") == 0, "time").when(value == "[DSC]", "dsc")
             .when(value.isin("[DSC_EXP]", "[DSC_ALV]"), "disposition").when(value == "[EOT]", "eot")
             .when((F.col("type") == 6) & (F.col("priority") == 1), "lab").otherwise("other"))
-    rows = build(spark, sf).line().select("patient_id", "age_min", "row_no", kind.alias("kind"))
-    out = matrix.time_shuffle(rows, replicates=2)
+    b = build(spark, sf)
+    rows = b.line().select("patient_id", "age_min", "row_no", kind.alias("kind"))
+    out = matrix.time_shuffle(rows, replicates=2, segment_minutes=b.segment())
     return out.select("patient_id", F.col("replicate").cast("long").alias("replicate"),
                       F.col("row_no").cast("long").alias("row_no"), F.col("new_row_no").cast("long").alias("new_row_no"))
 
@@ -413,8 +424,9 @@ select patient_id, row_no, noise as noise_min, case when type = 0 then age_min e
 from (select *, greatest(age_min + noise, head) as new_age, greatest(prev + noise, head) as new_prev
  from (select *, {_NOISE} as noise, max(age_min) filter (row_no = 0) over (partition by patient_id) as head from {_LABELLED}))""")
 def time_noise(spark, sf):
-    labelled = build(spark, sf).labelled()
-    out = matrix.time_noise(labelled, 1, 500)
+    b = build(spark, sf)
+    labelled = b.labelled()
+    out = matrix.time_noise(labelled, 1, 500, segment_minutes=b.segment())
     return out.select("patient_id", F.col("row_no").cast("long").alias("row_no"), "noise_min", "age_min", "label")
 
 

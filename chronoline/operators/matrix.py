@@ -82,7 +82,7 @@ def slice_point_rows(points: DataFrame) -> DataFrame:
     return points.select("patient_id", F.explode(F.sequence("min_start", "max_start")).alias("start"))
 
 
-def time_pairs(labelled: DataFrame, segment_minutes: int = 7 * DAY) -> DataFrame:
+def time_pairs(labelled: DataFrame, segment_minutes: int | None = 7 * DAY) -> DataFrame:
     """(this age, previous row's age) of every time row."""
     scanned = o.ordered_scan(labelled, ["patient_id"], ["age_min", "row_no"],
                              o.time_segment("age_min", segment_minutes),
@@ -156,7 +156,7 @@ def training_windows(labelled: DataFrame, points: DataFrame, max_length: int, wi
 
 
 def time_shuffle(rows: DataFrame, replicates: int = 1, seed: int = 0, head: int = 2,
-                 order: Sequence[str] = ("age_min", "row_no"), segment_minutes: int = 7 * DAY
+                 order: Sequence[str] = ("age_min", "row_no"), segment_minutes: int | None = 7 * DAY
                  ) -> DataFrame:
     """Random order of the rows between two time rows.
 
@@ -189,13 +189,13 @@ def time_shuffle(rows: DataFrame, replicates: int = 1, seed: int = 0, head: int
     pair = F.when(glued & (F.col("priority") > 0) & ~last, F.col("__pr")).otherwise(F.col("row_no"))
     placed = o.ordered_scan(ready.withColumn("__pair", pair), keys,
                             ["block", "priority", "__pair", "row_no"],
-                            F.floor(F.col("block") / 64), {"new_row_no": o.row_number()})
+                            None if segment_minutes is None else F.floor(F.col("block") / 64), {"new_row_no": o.row_number()})
     return placed.withColumn("new_row_no", (F.col("new_row_no") - 1).cast("int")).drop(
         "__t", "__pk", "__pr", "__n", "__pair")
 
 
 def time_noise(labelled: DataFrame, epoch: int, first_time_label: int, seed: int = 0,
-               span: int = 60, small: int = 10, large: int = 60, segment_minutes: int = 7 * DAY,
+               span: int = 60, small: int = 10, large: int = 60, segment_minutes: int | None = 7 * DAY,
                sections: Sequence = fv.TIME_BIN_SECTIONS) -> DataFrame:
     """Shift all non-demographic times of a patient by one random offset within an hour.
 

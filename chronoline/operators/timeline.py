@@ -285,7 +285,7 @@ def label_timeline(timeline: DataFrame, catalog: DataFrame, splits: DataFrame |
     return out.drop("__prev", "code_label")
 
 
-def event_view(labelled: DataFrame, catalog: DataFrame, segment_minutes: int = 7 * DAY) -> DataFrame:
+def event_view(labelled: DataFrame, catalog: DataFrame, segment_minutes: int | None = 7 * DAY) -> DataFrame:
     """One row per event: the next row of the same record is its result."""
     rows = labelled.filter(F.coalesce("original_value", F.lit("")) != "")
     scanned = pair_code_result(rows, ["age_min", "row_no"], "original_value", segment_minutes)
@@ -298,7 +298,7 @@ def event_view(labelled: DataFrame, catalog: DataFrame, segment_minutes: int = 7
 
 
 def pair_code_result(rows: DataFrame, order: Sequence[str], value: str,
-                     segment_minutes: int = 7 * DAY) -> DataFrame:
+                     segment_minutes: int | None = 7 * DAY) -> DataFrame:
     """Add `result` from the next row of the same record and drop that row."""
     record = "unique_record_id"
     scanned = o.ordered_scan(rows, ["patient_id"], order, o.time_segment(order[0], segment_minutes), {

@@ -23,6 +23,7 @@ ROW_PIECE = 4096
 # Time columns that the blocks of each patient-keyed stage are sorted by.
 BLOCK_ORDER = {**{f"cleaned_{n}": ["age_min"] for n in RECORD_TABLES}, "splits": [], "timeline": ["age_min", "row_no"],
                "labelled": ["age_min", "row_no"], "event_view": ["age_min"]}
+DERIVED = ("timeline", "labelled", "event_view")
 
 
 @dataclass
@@ -156,7 +157,7 @@ def create_dataset(records: dict[str, DataFrame], patients: DataFrame, names: Da
     ids = splits.select("patient_id")
     seq = sequence_tables({n: d.join(ids, "patient_id", "left_semi") for n, d in cleaned.items()},
                           patients.join(ids, "patient_id", "left_semi"), voc, settings)
-    rows = timeline.drop_oov(timeline.explode_rows(seq, voc.width))
+    rows = timeline.drop_oov(timeline.explode_rows(dealt_by_patient(seq, keep), voc.width))
     eot = fv.OPERATIONAL_TOKENS.index("[EOT]")
     line = keep("timeline", timeline.build_timeline(
         rows, periods_of(settings), eot, voc.width, settings.demographic_rows,
@@ -216,7 +217,9 @@ class BlockStore:
         if name not in BLOCK_ORDER:
             return self.plain(name, df)
         order = [c for c in BLOCK_ORDER[name] if c in df.columns]
-        table = blocks.write_blocks(df, f"{self.folder}/{name}", order, buckets=self.buckets, most_rows=self.most_rows)
+        # Stages derived from whole blocks have a few rows for each of theirs.
+        bounded = self.whole and name in DERIVED
+        table = blocks.write_blocks(df, f"{self.folder}/{name}", order, buckets=self.buckets, most_rows=self.most_rows, bounded=bounded)
         self.buckets = self.buckets or table.buckets
         self.whole = self.whole and table.segment_minutes is None
         return table.frame
@@ -227,6 +230,14 @@ def scan_settings(settings: Settings, keep: Callable) -> Settings:
     return replace(settings, segment_minutes=None) if getattr(keep, "whole", False) else settings
 
 
+def dealt_by_patient(df: DataFrame, keep: Callable) -> DataFrame:
+    """The rows as a `BlockStore` deals them, where all patients are whole.
+
+    Aggregates and scans by patient, and the store itself, then need no shuffle of their own.
+    """
+    return df.repartition(keep.buckets, "patient_id") if getattr(keep, "whole", False) and keep.buckets else df
+
+
 def stored_in(folder: str) -> Callable[[str, DataFrame], DataFrame]:
     """`keep` function that writes each stage to a shared folder."""
     def keep(name: str, df: DataFrame) -> DataFrame:

@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from chronoline.functions import ordered as o
 
-ROWS_PER_BUCKET, MOST_ROWS = 2_000_000, 500_000
+# The stages of one store share the buckets of its first table and have several times its rows.
+ROWS_PER_BUCKET, MOST_ROWS = 50_000, 500_000
 PIECE_MINUTES = 7 * 1440
 
 
@@ -66,16 +67,24 @@ def buckets_for(spark: SparkSession, n_rows: int, rows_per_bucket: int = ROWS_PE
 
 def write_blocks(df: DataFrame, path: str, order: Sequence[str] = (), key: str = "patient_id",
                  split: str | None = None, buckets: int | None = None, most_rows: int = MOST_ROWS,
-                 piece_minutes: int = PIECE_MINUTES) -> PatientBlocks:
+                 piece_minutes: int = PIECE_MINUTES, bounded: bool = False) -> PatientBlocks:
     """Write `df` in blocks of `key`, sorted by `key` and `order`, and open it.
 
     The leading order column must be a number of minutes where a patient exceeds
-    `most_rows`. `df` is read twice, the first time for its keys alone.
+    `most_rows`. `df` is read twice, the first time for its keys alone. Where it is `bounded`
+    (derived from blocks without oversized patients) it is read once: it is written whole, and
+    the rows of the patients are counted in the table written.
     """
+    if bounded and buckets:
+        _write(df.repartition(buckets, key), path, order, key, split, buckets)
+        n_rows, largest = _extent(_sizes(df.sparkSession.table(_table_name(path)), key))
+        if largest <= most_rows or not order:
+            return _noted(df.sparkSession, path, order, key, split, buckets, n_rows, largest, most_rows)
+        # A patient has grown too large on the way: dealt again, as a table of unknown sizes.
     spark = df.sparkSession
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = _sizes(df, key)
     oversized = sizes.filter(F.col("__n") > most_rows).select(F.col(key).alias("__key"))
-    n_rows, largest = sizes.agg(F.coalesce(F.sum("__n"), F.lit(0)), F.coalesce(F.max("__n"), F.lit(0))).first()
+    n_rows, largest = _extent(sizes)
     buckets = buckets or buckets_for(spark, n_rows)
     if largest > most_rows and order:
         # Only the few oversized patients are spread over the tasks of the write.
@@ -84,10 +93,29 @@ def write_blocks(df: DataFrame, path: str, order: Sequence[str] = (), key: str =
         dealt = spread.repartition(buckets, key, "__piece").drop("__key", "__piece")
     else:
         dealt = df.repartition(buckets, key)
+    _write(dealt, path, order, key, split, buckets)
+    return _noted(spark, path, order, key, split, buckets, n_rows, largest, most_rows)
+
+
+def _sizes(df: DataFrame, key: str) -> DataFrame:
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+
+
+def _extent(sizes: DataFrame) -> tuple[int, int]:
+    """Rows of the table and of its largest patient."""
+    return tuple(sizes.agg(F.coalesce(F.sum("__n"), F.lit(0)), F.coalesce(F.max("__n"), F.lit(0))).first())
+
+
+def _write(dealt: DataFrame, path: str, order: Sequence[str], key: str, split: str | None, buckets: int) -> None:
     writer = dealt.write.mode("overwrite").format("parquet").option("path", path).bucketBy(buckets, key).sortBy(key, *order)
     if split:
         writer = writer.partitionBy(split)
     writer.saveAsTable(_table_name(path))
+
+
+def _noted(spark: SparkSession, path: str, order: Sequence[str], key: str, split: str | None, buckets: int,
+           n_rows: int, largest: int, most_rows: int) -> PatientBlocks:
+    """Write the row of counts and layout, and open the table."""
     note = spark.range(1).select(
         F.lit(key).alias("key"), F.lit(",".join(order)).alias("sorted_by"), F.lit(split).cast("string").alias("split"),
         F.lit(buckets).alias("buckets"), F.lit(n_rows).cast("long").alias("n_rows"), F.lit(largest).cast("long").alias("largest"),

@@ -8,3 +8,40 @@ def test_brand_map_has_every_brand_of_small_parts(spark, rows, tmp_path):
          "p_partkey long, p_brand string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
     found = {r["original_value"]: r["tokens"] for r in q_clean.brand_map(spark, str(tmp_path)).collect()}
     assert found == {"Brand#13": [3, 1, 0], "Brand#22": [3, 3, 0], "Brand#43": [3, 4, 0]}
+
+
+def _events(rows, tmp_path):
+    data = [(i, f"2024-01-{1 + i % 28:02d} {i % 24:02d}:{i % 60:02d}:00", i % 5, ["signup", "view", "click", "error", "purchase"][(i // 5) % 5], float(i % 50))
+            for i in range(400)]
+    df = rows(data, "event_id long, t string, user_id long, event_type string, value double").selectExpr(
+        "event_id", "cast(t as timestamp_ntz) as ts", "user_id", "event_type", "value")
+    df.write.parquet(str(tmp_path / "events.parquet"))
+    return str(tmp_path)
+
+
+def test_stages_of_whole_patients_are_scanned_where_they_lie(spark, rows, tmp_path):
+    """Rows by patient move once, before they are taken apart; no scan of a stored stage moves them again."""
+    import __spark_entry__ as entry
+    sf = _events(rows, tmp_path)
+    moves = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(")
+    for name in ("time_noise", "label_time", "time_shuffle", "event_view"):
+        df = entry.queries()[name](spark, sf)
+        assert moves(df) == 0 and df.count() > 0, name
+
+
+def test_bounded_blocks_are_computed_once_and_dealt_again_if_oversized(spark, rows, tmp_path):
+    from pyspark.sql import functions as F
+    from chronoline.sources import blocks
+    seen = spark.sparkContext.accumulator(0)
+
+    def mark(x):
+        seen.add(1)
+        return x
+
+    df = rows([(str(i % 4), i) for i in range(40)], "patient_id string, age_min long").withColumn(
+        "age_min", F.udf(mark, "long", useArrow=False)("age_min"))
+    small = blocks.write_blocks(df, str(tmp_path / "small"), ["age_min"], buckets=4, bounded=True)
+    assert seen.value == 40 and (small.n_rows, small.largest, small.segment_minutes) == (40, 10, None)
+    grown = blocks.write_blocks(df, str(tmp_path / "grown"), ["age_min"], buckets=4, most_rows=5, bounded=True)
+    assert (grown.n_rows, grown.largest, grown.segment_minutes) == (40, 10, blocks.PIECE_MINUTES)
+    assert sorted(grown.frame.collect()) == sorted(small.frame.collect())
