@@ -413,16 +413,22 @@ def lab_distribution(matched: DataFrame, trajectories: DataFrame, codes: Sequenc
 
     Of several values of a code at one time the first by `order` counts. A
     simulation without values has an empty row; a real window has one if any of
-    its events lies within the horizon.
+    its events lies within the horizon. An age of a window has one horizon, so values are
+    picked and pivoted before the rows are spread over the horizons.
     """
     keys = [*WINDOW, "sim_id", "reach"]
     onward = F.explode(F.sequence("horizon", F.lit(horizon_days)))
-    spread = matched.filter(F.col("type") == fv.LAB).withColumn("reach", onward)
+    rows = matched.filter(F.col("type") == fv.LAB)
+    wide = lab_pivot(rows, codes, [*WINDOW, "sim_id", "horizon"], order).withColumn("reach", onward).select(
+        *keys, "age_min", *[F.col(f"`{x}`") for x in codes])
     simulated = trajectories.filter(F.col("sim_id") != REAL).select(*WINDOW, "sim_id").withColumn(
         "reach", F.explode(F.sequence(F.lit(1), F.lit(horizon_days))))
     seen = (matched.filter(F.col("sim_id") == REAL).groupBy(*WINDOW, "sim_id").agg(F.min("horizon").alias("horizon"))
             .withColumn("reach", onward).drop("horizon"))
-    wide = lab_pivot(spread, codes, keys, order, fill=simulated.unionByName(seen))
+    valued = (rows.filter(F.col("code").isin(*codes) & c.leading_number("result").isNotNull())
+              .groupBy(*WINDOW, "sim_id").agg(F.min("horizon").alias("horizon")).withColumn("reach", onward).select(*keys))
+    empty = simulated.unionByName(seen).distinct().join(valued, keys, "left_anti")
+    wide = wide.unionByName(empty, allowMissingColumns=True)
     source = F.when(F.col("sim_id") == REAL, F.lit("real")).otherwise(F.lit("simulation"))
     return wide.withColumn("source", source)
 

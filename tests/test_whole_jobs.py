@@ -45,3 +45,29 @@ def test_bounded_blocks_are_computed_once_and_dealt_again_if_oversized(spark, ro
     grown = blocks.write_blocks(df, str(tmp_path / "grown"), ["age_min"], buckets=4, most_rows=5, bounded=True)
     assert (grown.n_rows, grown.largest, grown.segment_minutes) == (40, 10, blocks.PIECE_MINUTES)
     assert sorted(grown.frame.collect()) == sorted(small.frame.collect())
+
+
+def test_lab_distribution_picks_values_before_it_spreads_them(rows):
+    from chronoline.operators import simeval
+    window = "patient_id string, admission_no int, day int, sim_id string"
+    matched = rows([("a", 0, 0, s, 6, 5, "L", "1.5 u", 1, 1) for s in ("real", "s0")],
+                   window + ", type int, age_min long, code string, result string, event_id long, horizon int")
+    out = simeval.lab_distribution(matched, matched.select("patient_id", "admission_no", "day", "sim_id"), ["L"], 3)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("explode(sequence(horizon") < plan.index("min_by(")
+    assert sorted((r["sim_id"], r["reach"], r["L"]) for r in out.collect()) == [(s, h, 1.5) for s in ("real", "s0") for h in (1, 2, 3)]
+
+
+def test_counterfactual_labs_join_their_tables_once(spark, rows, tmp_path, monkeypatch):
+    import __spark_entry__ as entry
+    from checks import views
+    calls = []
+
+    def labs(session, sf):
+        calls.append(sf)
+        return rows([("a", "2000-01-01", "Brand#9", 5.0, "u", None, "1", 1), ("a", "2000-01-02", "Brand#1", 7.0, "u", None, "2", 2)],
+                    "patient_id string, d string, item_code string, numeric double, unit string, nonnumeric string, record_no string, line_no long"
+                    ).selectExpr("*", "cast(d as date) as ts").drop("d")
+    monkeypatch.setattr(views, "labs", labs)
+    assert entry.queries()["counterfactual_lab"](spark, str(tmp_path)).count() == 6
+    assert len(calls) == 1
