@@ -101,6 +101,11 @@ select item_code, unit, max(n) as "count", round(avg(cv), 6) as mean, round(max(
 group by item_code, unit"""
 
 
+def _counts(spark, sf):
+    """Counts of the values, which the statistics read several times."""
+    return v.stage(spark, sf, "numeric_counts", lambda s, d: labstats.numeric_value_counts(v.labs(s, d)))
+
+
 def _rounded(df):
     digits = {"std": 4}
     names = ("mean", "med", "std", "mad", "iqr", "lower_limit", "upper_limit")
@@ -109,13 +114,13 @@ def _rounded(df):
 
 @Q.add(_stats_sql(19999, 0.00005))
 def numeric_stats(spark, sf):
-    return _rounded(labstats.numeric_stats(labstats.numeric_value_counts(v.labs(spark, sf))))
+    return _rounded(labstats.numeric_stats(_counts(spark, sf)))
 
 
 @Q.add(_stats_sql(500, 0.01))
 def numeric_stats_trimmed(spark, sf):
     """The same with a low trimming threshold, so that values are clipped."""
-    return _rounded(labstats.numeric_stats(labstats.numeric_value_counts(v.labs(spark, sf)), 1.0, 500))
+    return _rounded(labstats.numeric_stats(_counts(spark, sf), 1.0, 500))
 
 
 _GRID = f"""(select item_code, unit, n, i as idx, value from

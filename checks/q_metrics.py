@@ -252,5 +252,5 @@ def task_metrics(spark, sf):
     from chronoline.operators import simeval
     from chronoline.plans.evaluate import task_metrics as run
     probs = v.stage(spark, sf, "probabilities", lambda s, d: simeval.event_probabilities(
-        v.windows(s, d), v.evd(s, d), v.simulated(s, d), RULES))
+        v.windows(s, d), v.stored_evd(s, d), v.simulated(s, d), RULES))
     return _digits(run(probs), "auroc", "auprc", "oe")

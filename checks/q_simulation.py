@@ -74,7 +74,7 @@ _PROBS = _prob_sql(f"(select *, {v.SIMULATIONS} as n_sim from {_BASED})", _HITS,
 
 @Q.add(f"""select patient_id, admission_no, day, sim_id, age_min, code, result, cast(ceil((age_min - eval_min) / 1440.0) as int) as horizon from {_MATCHED}""")
 def window_to_events(spark, sf):
-    m = simeval.window_to_events(v.windows(spark, sf), v.evd(spark, sf), v.simulated(spark, sf))
+    m = simeval.window_to_events(v.windows(spark, sf), v.stored_evd(spark, sf), v.simulated(spark, sf))
     return _wide(m.select(*WINDOW, "sim_id", "age_min", "code", "result", "horizon"))
 
 
@@ -83,27 +83,27 @@ def _wide(df):
 
 
 def _observed(spark, sf):
-    return v.stage(spark, sf, "observed", lambda s, d: simeval.last_observations(v.windows(s, d), v.evd(s, d), RULES))
+    return v.stage(spark, sf, "observed", lambda s, d: simeval.last_observations(v.windows(s, d), v.stored_evd(s, d), RULES))
 
 
 def _matched(spark, sf):
     """Windows with baseline, joined to events."""
     def make(spark, sf):
         based = simeval.baseline_creatinine(v.windows(spark, sf), _observed(spark, sf), RULES)
-        return simeval.window_to_events(based, v.evd(spark, sf), v.simulated(spark, sf), carry=["base_cre"], order="event_id")
+        return simeval.window_to_events(based, v.stored_evd(spark, sf), v.simulated(spark, sf), carry=["base_cre"], order="event_id")
     return v.stage(spark, sf, "matched", make)
 
 
 @Q.add(f"select patient_id, admission_no, day, task, last_obs_min, round(last_value, 6) as last_value from {_OBS}")
 def last_observation(spark, sf):
-    out = simeval.last_observations(v.windows(spark, sf), v.evd(spark, sf), RULES)
+    out = simeval.last_observations(v.windows(spark, sf), v.stored_evd(spark, sf), RULES)
     return _wide(out.select(*WINDOW, "task", "last_obs_min", F.round("last_value", 6).alias("last_value")))
 
 
 @Q.add(f"""select p.patient_id, p.admission_no, p.day, p.task, cast(horizon as int) as horizon, actual, round(prob, 6) as prob, last_obs_min, round(last_value, 6) as last_value
  from {_PROBS} p left join {_OBS} o on o.patient_id = p.patient_id and o.admission_no = p.admission_no and o.day = p.day and o.task = p.task""")
 def mc_event_probability(spark, sf):
-    out = simeval.event_probabilities(v.windows(spark, sf), v.evd(spark, sf), v.simulated(spark, sf), RULES)
+    out = simeval.event_probabilities(v.windows(spark, sf), v.stored_evd(spark, sf), v.simulated(spark, sf), RULES)
     return _wide(out.select(*WINDOW, "task", "horizon", "actual", F.round("prob", 6).alias("prob"),
                             "last_obs_min", F.round("last_value", 6).alias("last_value")))
 
@@ -144,7 +144,7 @@ _MC = _prob_sql(
 @Q.add(f"""select sample_size, repeat, task, cast(horizon as int) as horizon, actual as label, round(prob, 6) as prob, count(*) as n from {_MC} group by all""")
 def mc_metric_inputs(spark, sf):
     masks = v.stage(spark, sf, "masks", lambda s, d: resample.sample_masks(v.simulated(s, d), WINDOW, [2, 4], 2))
-    out = simeval.mc_metric_inputs(v.windows(spark, sf), v.evd(spark, sf), v.simulated(spark, sf), masks, RULES)
+    out = simeval.mc_metric_inputs(v.windows(spark, sf), v.stored_evd(spark, sf), v.simulated(spark, sf), masks, RULES)
     return out.select("sample_size", F.col("repeat").cast("long").alias("repeat"), "task", "horizon", "label",
                       F.round("prob", 6).alias("prob"), "n")
 
@@ -195,8 +195,8 @@ _CELL = ", ".join(f"arg_min(\"numeric\", (record_no, \"numeric\")) filter (item_
 _PIVOT = f"""(select patient_id, {_DAYS} as age_min, {_CELL} from labs where "numeric" is not null and item_code in ({', '.join(f"'{b}'" for b in _BRANDS)}) group by 1, 2)"""
 
 
-def _lab_rows(spark, sf):
-    return v.labs(spark, sf).select(
+def _lab_rows(spark, sf, stored=False):
+    return (v.stored_labs if stored else v.labs)(spark, sf).select(
         "patient_id", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 60).alias("age_min"),
         F.lit(6).alias("type"), F.col("item_code").alias("code"), "record_no",
         F.coalesce(F.concat(F.format_string("%.2f", "numeric"), F.lit(" "), F.coalesce("unit", F.lit(""))),
@@ -244,7 +244,7 @@ def lab_distribution(spark, sf):
 @Q.add("""
 select patient_id, count(distinct age_min) + count(nullif(code, '')) + count(nullif(result, '')) as n_tokens from evd where type <> 0 group by 1""")
 def token_length(spark, sf):
-    return simeval.token_lengths(v.evd(spark, sf), ["patient_id"])
+    return simeval.token_lengths(v.stored_evd(spark, sf), ["patient_id"])
 
 
 _LENGTHS = f"""(select {_K}, sim_id, h as horizon, count(distinct age_min) + count(nullif(code, '')) + count(nullif(result, '')) as n_tokens
@@ -279,7 +279,7 @@ def calibration_coverage(spark, sf):
 def counterfactual_ages(spark, sf):
     from chronoline.operators.clean import known_before
     snaps = v.windows(spark, sf).select(*WINDOW, "eval_min")
-    out = resample.counterfactual_variants(snaps, known_before(v.evd(spark, sf), snaps), WINDOW)
+    out = resample.counterfactual_variants(snaps, known_before(v.stored_evd(spark, sf), snaps), WINDOW)
     return _wide(out.select(*WINDOW, "event_id", "shift_years", "age_min"))
 
 
@@ -296,12 +296,12 @@ _CF_ROWS = f"""(select l.patient_id, l.record_no, l.item_code, coalesce(l.unit,
 @Q.add(f"""select r.patient_id, r.record_no, r.delta, b.bin from {_CF_ROWS} r left join (select record_no, delta, arg_min(idx, (abs(value - x), idx)) as bin from {_CF_ROWS} r join {_CF_GRID} g using (item_code, unit) where x is not null group by 1, 2) b
  using (record_no, delta)""")
 def counterfactual_lab(spark, sf):
-    labs = _lab_rows(spark, sf).join(v.labs(spark, sf).select("record_no", "unit"), "record_no").withColumns({
+    labs = _lab_rows(spark, sf, stored=True).join(v.stored_labs(spark, sf).select("record_no", "unit"), "record_no").withColumns({
         "unique_record_id": F.col("record_no"), "item_code": F.col("code")})
     target = (labs.filter((F.col("code") == "Brand#9") & F.col("numeric").isNotNull()).groupBy("patient_id")
               .agg(F.min_by(F.struct("unique_record_id", "age_min"), "record_no").alias("t"))
               .select("patient_id", "t.*"))
-    grid = labstats.percentile_grid(labstats.numeric_value_counts(v.labs(spark, sf)), bins=21)
+    grid = labstats.percentile_grid(labstats.numeric_value_counts(v.stored_labs(spark, sf)), bins=21)
     out = resample.counterfactual_lab(labs, target, grid, [-1000.0, 0.0, 1000.0], ["patient_id"])
     return out.select("patient_id", "record_no", "delta", F.col("bin").cast("long").alias("bin"))
 
@@ -320,7 +320,7 @@ _TRAJ = f"""(select 'real' as source, w.patient_id, 'real::' || w.patient_id ||
 def _trajectories(spark, sf):
     def make(spark, sf):
         spans = stays.audit_windows(v.windows(spark, sf))
-        real = slice_window_keep_demographics(v.evd(spark, sf), spans).select(
+        real = slice_window_keep_demographics(v.stored_evd(spark, sf), spans).select(
             F.lit("real").alias("source"), "patient_id",
             c.real_trajectory_id("patient_id", "admission_no").alias("trajectory_id"), "type", "code", "event_id")
         sims = slice_window_keep_demographics(v.simulated(spark, sf), spans, WINDOW).select(

@@ -185,8 +185,8 @@ from (select distinct patient_id, hospital_day from {_DAYS}) d cross join (selec
 left join (select * from evd where type <> 0) e on e.patient_id = d.patient_id and age_min >= hospital_day * 1440 + 720 and age_min <= hospital_day * 1440 + 720 + h * 1440
 group by 1, 2, 3, 4""")
 def baseline_distribution(spark, sf):
-    e = v.evd(spark, sf).filter(F.col("type") != 0)
-    days = stays.inpatient_day_table(v.evd(spark, sf), hour=12).select(
+    e = v.stored_evd(spark, sf).filter(F.col("type") != 0)
+    days = stays.inpatient_day_table(v.stored_evd(spark, sf), hour=12).select(
         "patient_id", "hospital_day").distinct()
     return stays.baseline_distribution(e, days, [
         F.count("event_id").alias("n_events"),

@@ -133,7 +133,7 @@ def metric_input(spark, sf):
 
 def snapshots(spark, sf):
     from chronoline.operators import stays
-    return stays.admission_day_snapshots(stays.complete_admissions(evd(spark, sf)))
+    return stays.admission_day_snapshots(stays.complete_admissions(stored_evd(spark, sf)))
 
 
 def simulations(spark, sf):
@@ -146,8 +146,8 @@ def simulations(spark, sf):
     snaps = snapshots(spark, sf)
     spans = snaps.select("patient_id", "admission_no", "day", "eval_min").withColumns({
         "start_min": F.col("eval_min"), "end_min": F.col("eval_min") + 7 * DAY})
-    real = events_in_windows(ev(spark, sf).select("patient_id", "event_id", "type", "age_min", "code",
-                                                  "result"), spans)
+    real = events_in_windows(stored_evd(spark, sf).filter(F.col("type") != 0).select(
+        "patient_id", "event_id", "type", "age_min", "code", "result"), spans)
     copies = F.explode(F.sequence(F.lit(0), F.lit(SIMULATIONS - 1)))
     shift = ((F.col("event_id") * 31 + F.col("i") * 17) % 5 - 1) * 700
     moved = real.withColumn("i", copies).withColumn("age_min", F.col("age_min") + shift)
@@ -176,6 +176,16 @@ def stage(spark, sf, name, make):
     return _STAGES[key]
 
 
+def stored_evd(spark, sf):
+    """`evd` for the queries that read it several times."""
+    return stage(spark, sf, "evd", evd)
+
+
+def stored_labs(spark, sf):
+    """`labs` for the queries that read it several times."""
+    return stage(spark, sf, "labs", labs)
+
+
 def evd_blocks(spark, sf):
     """`evd` in patient blocks."""
     from chronoline.session import shared_dir
