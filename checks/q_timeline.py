@@ -487,7 +487,7 @@ def single_patient_timeline(spark, sf):
         "patient_id", F.col("eval_min").alias("as_of_min"),
         F.concat_ws(":", "patient_id", F.col("admission_no").cast("string"), F.col("day").cast("string"))
         .alias("request_id"))
-    rows = plan.timelines_as_of(b.cleaned, b.people, requests, b.voc, SETTINGS)
+    rows = plan.timelines_as_of(b.cleaned, b.people, requests, b.voc, SETTINGS, b.keep)
     return rows.select("request_id", F.col("row_no").cast("long").alias("row_no"), "age_min", "type", "original_value",
                        F.round("numeric", 6).alias("num"), "label")
 

@@ -176,6 +176,26 @@ def dedup_lab_reports(labs: DataFrame, time: str = "age_min", record: str = "uni
     return picked.select(*keys, "r.*")
 
 
+def lab_report_spans(labs: DataFrame, time: str = "age_min", record: str = "unique_record_id",
+                     available: str = "time_available_min", until: str = "seen_until_min") -> DataFrame:
+    """The reports `dedup_lab_reports` picks from those known at any one time, for all times at once.
+
+    A report is picked from when it is known until a better one of its (patient, time, code)
+    is; `until` is null for the best. Copies known from the same time combine first, so a
+    window holds one row for each time at which reports of one result became known.
+    """
+    keys = ["patient_id", time, "item_code"]
+    count = F.coalesce("num_count", "nonnum_count", F.lit(-1))
+    rank = F.struct((-count).alias("n"), F.col(record).alias("id"))
+    rest = [n for n in labs.columns if n not in (*keys, available)]
+    best = labs.groupBy(*keys, available).agg(
+        F.min_by(F.struct(*rest), rank).alias("r"), F.min(rank).alias("__rank"))
+    better = Window.partitionBy(*keys).orderBy("__rank", available).rowsBetween(Window.unboundedPreceding, -1)
+    spans = best.withColumn(until, F.min(available).over(better))
+    return spans.filter(F.col(until).isNull() | (F.greatest(time, available) < F.col(until))).select(
+        *keys, available, "r.*", until)
+
+
 def value_segment(value: Column) -> Column:
     """Piece of a double for look-ups: 64 to a power of two above 2^-20, one for all values nearer to zero."""
     size = F.floor((F.log2(F.greatest(F.abs(value), F.lit(2.0 ** -20))) + 20) * 64)

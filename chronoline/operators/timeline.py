@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoline import fixed_values as fv
 from chronoline.functions import ordered as o
 from chronoline.functions import scalars as c
 from chronoline.operators.clean import flag_periods
-from chronoline.operators.labstats import dedup_lab_reports, nearest_bins
+from chronoline.operators.labstats import dedup_lab_reports, lab_report_spans, nearest_bins
 from chronoline.operators.lookups import attach_lab_stats, map_codes_to_tokens, pad_tokens
 from chronoline.operators.stays import admitted_markers, admitted_value
 
@@ -19,6 +19,10 @@ DAY = 1440
 ROW_KEY = ("patient_id", "ts", "age_min", "time_available_min", "original_value", "type",
            "sort_code", "priority", "numeric", "tokens")
 TIMELINE_ORDER = ("sort_age", "type", "sort_code", "priority", "unique_record_id")
+# Time from which a better report takes a row's place; only rows made for as-of timelines have it.
+UNTIL = "seen_until_min"
+# Pieces of a long history that requests meet, and of its rows.
+AS_OF_PIECE, ROW_PIECE = 90 * DAY, 4096
 
 
 def single_token(index: Column, width: int) -> Column:
@@ -38,7 +42,8 @@ def _record(df: DataFrame, kind: int, code: Column, code_tokens: Column | None,
         (numeric if numeric is not None else none_number).alias("result_numeric"),
         F.coalesce(result_index, F.lit(0)).cast("int").alias("result_index")
         if result_index is not None else F.lit(0).alias("result_index"),
-        (result_text if result_text is not None else none_text).alias("result_text"))
+        (result_text if result_text is not None else none_text).alias("result_text"),
+        *[n for n in (UNTIL,) if n in df.columns])
 
 
 def _special(df: DataFrame, specials: DataFrame, token: Column, out: str) -> DataFrame:
@@ -82,14 +87,15 @@ def sequence_codes(df: DataFrame, code_map: DataFrame, system: str, kind: int, w
 
 
 def sequence_labs(labs: DataFrame, grids: DataFrame, nonnumeric: DataFrame, code_map: DataFrame,
-                  specials: DataFrame, width: int, bins: int = 501) -> DataFrame:
+                  specials: DataFrame, width: int, bins: int = 501, spans: bool = False) -> DataFrame:
     """Lab results: best copy per time, code tokens, grid position or result token.
 
     A number without a grid keeps only its code row; an unknown text result is
-    out of vocabulary.
+    out of vocabulary. With `spans` every copy that is the best at some time stays,
+    with the time until which it is.
     """
     joined = attach_lab_stats(labs, grids, nonnumeric)
-    single = dedup_lab_reports(joined)
+    single = lab_report_spans(joined, until=UNTIL) if spans else dedup_lab_reports(joined)
     binned = nearest_bins(single, grids)
     mapped = map_codes_to_tokens(binned, code_map.filter(F.col("system") == "lab"), "item_code", width)
     rows = _special(mapped, specials, F.col("token"), "__i")
@@ -118,13 +124,14 @@ def explode_rows(records: DataFrame, width: int) -> DataFrame:
     result_row = F.struct(F.lit(2).alias("priority"), F.col("result_text").alias("original_value"),
                           F.col("result_numeric").alias("numeric"),
                           single_token(index, width).alias("tokens"))
+    extra = [n for n in (UNTIL,) if n in records.columns]
     rows = (records.withColumn("r", F.explode(F.array(time_row, code_row, result_row)))
             .withColumn("sort_code", F.when(F.col("r.priority") == 0, F.lit(""))
                         .otherwise(F.coalesce("code", F.lit(""))))
             .select("patient_id", "ts", "age_min", "time_available_min", "unique_record_id", "type",
-                    "sort_code", "r.*"))
+                    "sort_code", "r.*", *extra))
     filled = (F.col("priority") == 0) | (F.col("tokens")[0] != 0) | F.col("numeric").isNotNull()
-    return dedup_rows(rows.filter(filled), ROW_KEY)
+    return dedup_rows(rows.filter(filled), [*ROW_KEY, *extra])
 
 
 def dedup_rows(df: DataFrame, key: Sequence[str], record: str = "unique_record_id") -> DataFrame:
@@ -217,6 +224,89 @@ def build_timeline(rows: DataFrame, periods: dict[str, tuple[str, str]] | None,
     return with_components(shaped)
 
 
+def rows_with_spans(rows: DataFrame, segment_minutes: int | None = 7 * DAY) -> DataFrame:
+    """Token rows made with spans in timeline order, each with the times it is seen at.
+
+    Adds `position` in the patient's timeline, `seen_from_min` and the final `seen_until_min`
+    (null: for good): of equal rows the one with the smallest record id of those known is
+    seen. Rows that are never seen go.
+    """
+    rows = rows.withColumn("seen_from_min", F.when(
+        F.col("age_min").isNotNull() & F.col("time_available_min").isNotNull(),
+        F.greatest("age_min", "time_available_min")))
+    smaller = Window.partitionBy(*[k for k in ROW_KEY if k != "time_available_min"]).orderBy(
+        F.col("unique_record_id").asc_nulls_last(), "seen_from_min").rowsBetween(Window.unboundedPreceding, -1)
+    # Equal rows of labs are never seen together. Equal time rows stand side by side, where a timeline
+    # keeps the first.
+    alone = (F.col("priority") == 0) | (F.col("type") == fv.LAB)
+    spans = rows.withColumn(UNTIL, F.when(alone, F.col(UNTIL)).otherwise(F.min("seen_from_min").over(smaller)))
+    seen = spans.filter(F.col("seen_from_min").isNotNull()
+                        & (F.col(UNTIL).isNull() | (F.col("seen_from_min") < F.col(UNTIL))))
+    keyed = seen.withColumn("sort_age", F.when(F.col("type") == fv.DEMOGRAPHICS, F.lit(-1).cast("long"))
+                            .otherwise(F.col("age_min")))
+    return o.ordered_scan(keyed, ["patient_id"], TIMELINE_ORDER, o.time_segment("sort_age", segment_minutes),
+                          {"position": o.row_number()}).drop("sort_age")
+
+
+def seen_as_of(rows: DataFrame, requests: DataFrame, segment_minutes: int | None = AS_OF_PIECE) -> DataFrame:
+    """Rows with spans that each (patient_id, as_of_min) request sees; demographic rows at any time.
+
+    Requests meet the pieces of a long history as in `known_before`; without pieces the join is by
+    patient alone.
+    """
+    head = F.col("type") == fv.DEMOGRAPHICS
+    at = F.col("as_of_min")
+    seen = head | ((F.col("seen_from_min") <= at) & (F.col(UNTIL).isNull() | (at < F.col(UNTIL))))
+    if segment_minutes is None:
+        return rows.join(requests, "patient_id").filter(seen)
+    first = F.lit(-(1 << 40)).cast("long")
+    placed = rows.withColumn("__b", F.when(head, first).otherwise(o.time_segment("seen_from_min", segment_minutes)))
+    pieces = placed.select("patient_id", "__b").distinct()
+    spread = requests.join(pieces, "patient_id").filter(
+        F.col("__b") <= F.coalesce(o.time_segment("as_of_min", segment_minutes), first))
+    return placed.join(spread, ["patient_id", "__b"]).filter(seen).drop("__b")
+
+
+def lines_as_of(rows: DataFrame, requests: DataFrame, catalog: DataFrame, first_numeric: int | Column,
+                first_time: int | Column, bins: int = 501, small: int = 10, large: int = 60,
+                segment_minutes: int | None = 7 * DAY, sections: Sequence = fv.TIME_BIN_SECTIONS) -> DataFrame:
+    """Numbered, labelled timelines of requests from the rows of `rows_with_spans`.
+
+    All that is the same for every request is found before the rows are copied to them; a
+    copy then needs its neighbours only: of two time rows in a row the later one goes, the
+    demographics move to the day of the first event, and the rows are numbered.
+    """
+    head = F.col("type") == fv.DEMOGRAPHICS
+    ignored = F.lit(fv.IGNORED_LABEL)
+    fixed = label_codes(rows, catalog).withColumn("__fixed", F.coalesce(
+        numeric_label("numeric", first_numeric, bins), token_label(), F.col("code_label"), ignored)).drop("code_label")
+    copies = seen_as_of(fixed, requests, AS_OF_PIECE if segment_minutes is not None else None)
+    keys, order = ["patient_id", "request_id"], ["position"]
+    piece = F.floor(F.col("position") / F.lit(ROW_PIECE)) if segment_minutes is not None else None
+    scanned = o.ordered_scan(copies, keys, order, piece, {
+        "__before": o.lag(F.col("priority")),
+        "__first": o.total("min", F.when(~head, F.struct("age_min", "ts")))})
+    kept = scanned.filter((F.col("priority") != 0) | (F.coalesce("__before", F.lit(1)) != 0))
+    first_age, first_ts = F.coalesce(F.col("__first.age_min"), F.col("age_min")), F.coalesce(F.col("__first.ts"), F.col("ts"))
+    moved = kept.withColumns({
+        "ts": F.when(head, F.date_trunc("day", first_ts).cast("timestamp_ntz")).otherwise(F.col("ts")),
+        "age_min": F.when(head, F.floor(first_age / DAY) * DAY).otherwise(F.col("age_min"))}).drop("__before", "__first")
+    state, marker = admitted_markers("original_value")
+    numbered = o.ordered_scan(moved, keys, order, piece, {
+        "__n": o.row_number(), "__prev": o.lag(F.col("age_min")),
+        "effective_length": o.total("sum", F.lit(1)),
+        "__state": o.last_before(state, inclusive=True),
+        "__next": o.first_after(marker)})
+    row_no = (F.col("__n") - 1).cast("int")
+    label = (F.when(F.col("__n") == 1, ignored)
+             .when(F.col("priority") == 0, c.time_bin_label("__prev", "age_min", first_time, small, large, sections))
+             .otherwise(F.col("__fixed")))
+    return with_components(numbered.withColumns({
+        "row_no": row_no, "label": label.cast("int"),
+        "admitted": admitted_value(F.col("__state"), F.col("__next"), "original_value").cast("int")})).drop(
+        "__n", "__prev", "__state", "__next", "__fixed", "position", "seen_from_min", UNTIL)
+
+
 def append_end_row(df: DataFrame, code: str = "code") -> DataFrame:
     """One `[EOT]` row per patient after its last row (columns row_no, age_min, type)."""
     rest = [n for n in df.columns if n != "patient_id"]

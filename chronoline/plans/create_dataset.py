@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoline import fixed_values as fv
-from chronoline.functions import ordered
+from chronoline.functions import scalars
 from chronoline.operators import cohort, labstats, matrix, timeline, vocab
 from chronoline.operators.clean import clean_records, flag_periods
 from chronoline.schema import CLEANING_RULES
@@ -18,8 +18,6 @@ from chronoline.settings import Settings
 
 RECORD_TABLES = ("admissions", "discharges", "diagnoses", "prescription_orders",
                  "injection_orders", "laboratory_results")
-# Rows of one piece where a timeline is scanned by row number.
-ROW_PIECE = 4096
 # Time columns that the blocks of each patient-keyed stage are sorted by.
 BLOCK_ORDER = {**{f"cleaned_{n}": ["age_min"] for n in RECORD_TABLES}, "splits": [], "timeline": ["age_min", "row_no"],
                "labelled": ["age_min", "row_no"], "event_view": ["age_min"]}
@@ -104,7 +102,7 @@ def build_vocabulary(cleaned: dict[str, DataFrame], splits: DataFrame, names: Da
 
 
 def sequence_tables(cleaned: dict[str, DataFrame], patients: DataFrame, voc: Vocabulary,
-                    settings: Settings) -> DataFrame:
+                    settings: Settings, spans: bool = False) -> DataFrame:
     """All records in the common shape `timeline.explode_rows` reads."""
     prescription = fv.INJECTION if settings.merge_med_types else fv.PRESCRIPTION
     w = voc.width
@@ -114,7 +112,7 @@ def sequence_tables(cleaned: dict[str, DataFrame], patients: DataFrame, voc: Voc
         timeline.sequence_discharges(cleaned["discharges"], voc.specials, w),
         timeline.sequence_codes(cleaned["diagnoses"], voc.code_map, "dx", fv.DIAGNOSIS, w),
         timeline.sequence_labs(cleaned["laboratory_results"], voc.grids, voc.nonnumeric, voc.code_map,
-                               voc.specials, w, settings.numeric_bins),
+                               voc.specials, w, settings.numeric_bins, spans),
     ]
     for name, kind in (("prescription_orders", prescription), ("injection_orders", fv.INJECTION)):
         if name in cleaned:
@@ -176,31 +174,32 @@ def label_rows(line: DataFrame, voc: Vocabulary, splits: DataFrame | None, setti
 
 
 def timelines_as_of(cleaned: dict[str, DataFrame], patients: DataFrame, requests: DataFrame,
-                    voc: Vocabulary, settings: Settings) -> DataFrame:
+                    voc: Vocabulary, settings: Settings, keep: Callable | None = None) -> DataFrame:
     """Labelled timelines of many (patient_id, as_of_min) requests in one job.
 
     Each request sees the records of its patient known by then; no end row is
-    added. `request_id` names the request and stands in for the patient.
+    added. The rows of a patient are made, ordered and labelled once, with the span of
+    times each is seen in; only then do the requests pick theirs. `request_id` names
+    the request and stands in for the patient; asked twice, the later time counts. `keep`
+    is the `BlockStore` that holds `cleaned`, if one does.
     """
-    from chronoline.operators.clean import known_before
-    asked = requests.select("request_id", "patient_id", "as_of_min")
-    named = {}
-    for name, df in cleaned.items():
-        seen = known_before(df, asked, at="as_of_min")
-        named[name] = seen.drop("patient_id", "as_of_min").withColumnRenamed("request_id", "patient_id")
-    people = asked.join(patients, "patient_id").drop("patient_id", "as_of_min").withColumnRenamed(
-        "request_id", "patient_id")
-    rows = timeline.drop_oov(timeline.explode_rows(
-        sequence_tables(named, people, voc, settings), voc.width))
-    line = timeline.build_timeline(rows, None, fv.OPERATIONAL_TOKENS.index("[EOT]"), voc.width,
-                                   end_row=False, segment_minutes=settings.segment_minutes)
-    # Of two time rows in a row the later one goes, and the rows are numbered anew.
-    kept = timeline.drop_repeated_time_rows(line, ["row_no"], F.col("priority") == 0, ROW_PIECE)
-    numbered = ordered.ordered_scan(kept, ["patient_id"], ["row_no"], F.floor(F.col("row_no") / F.lit(ROW_PIECE)),
-                                    {"__n": ordered.row_number()})
-    line = numbered.withColumn("row_no", (F.col("__n") - 1).cast("int")).drop("__n")
-    labelled = label_rows(line, voc, None, settings)
-    return labelled.withColumnRenamed("patient_id", "request_id")
+    settings = scan_settings(settings, keep)
+    asked = (dealt_by_patient(requests.select("request_id", "patient_id", "as_of_min"), keep)
+             .groupBy("request_id", "patient_id").agg(F.max("as_of_min").alias("as_of_min")))
+    ids = asked.select("patient_id").distinct()
+    seq = sequence_tables({n: d.join(ids, "patient_id", "left_semi") for n, d in cleaned.items()},
+                          patients.join(ids, "patient_id", "left_semi"), voc, settings, spans=True)
+    rows = timeline.drop_oov(timeline.explode_rows(dealt_by_patient(seq, keep), voc.width))
+    first_numeric, first_time = label_bounds(voc.catalog)
+    lines = timeline.lines_as_of(
+        timeline.rows_with_spans(rows, settings.segment_minutes), asked, voc.catalog, first_numeric, first_time,
+        settings.numeric_bins, settings.td_small_step, settings.td_large_step, settings.segment_minutes,
+        settings.td_sections)
+    flagged = flag_periods(lines, periods_of(settings))
+    return flagged.select(
+        "request_id", "ts", "age_min", "time_available_min", "original_value", "type", "priority",
+        "unique_record_id", "numeric", "tokens", "row_no", "admitted", *scalars.COMPONENT_SCALE, *periods_of(settings),
+        "effective_length", "label")
 
 
 class BlockStore:

@@ -71,3 +71,58 @@ def test_counterfactual_labs_join_their_tables_once(spark, rows, tmp_path, monke
     monkeypatch.setattr(views, "labs", labs)
     assert entry.queries()["counterfactual_lab"](spark, str(tmp_path)).count() == 6
     assert len(calls) == 1
+
+
+def _plain_timelines(b, cleaned, times):
+    """Timelines of the records known by one time for each patient, by the steps of the dataset build."""
+    from pyspark.sql import functions as F
+    from checks.q_timeline import SETTINGS
+    from chronoline.functions import ordered as o
+    from chronoline.operators import timeline
+    from chronoline.plans import create_dataset as plan
+    seen = {n: d.join(times, "patient_id").filter("age_min <= as_of_min and time_available_min <= as_of_min").drop("as_of_min")
+            for n, d in cleaned.items()}
+    people = b.people.join(times, "patient_id").drop("as_of_min")
+    rows = timeline.drop_oov(timeline.explode_rows(plan.sequence_tables(seen, people, b.voc, SETTINGS), b.voc.width))
+    line = timeline.build_timeline(rows, None, 7, b.voc.width, end_row=False)
+    kept = timeline.drop_repeated_time_rows(line, ["row_no"], F.col("priority") == 0)
+    line = o.ordered_scan(kept, ["patient_id"], ["row_no"], F.floor(F.col("row_no") / 4096), {"n": o.row_number()})
+    return plan.label_rows(line.withColumn("row_no", (F.col("n") - 1).cast("int")).drop("n"), b.voc, None, SETTINGS)
+
+
+def test_requests_pick_from_rows_made_once(spark, rows, tmp_path):
+    """Rows are taken apart before they are copied to requests, and late copies, better ones among them,
+    are seen from their time on."""
+    from pyspark.sql import functions as F
+    from checks import q_timeline as q
+    from chronoline.plans import create_dataset as plan
+    b = q.build(spark, _events(rows, tmp_path))
+    rid = F.col("unique_record_id")
+    late = F.col("age_min") + F.when(F.crc32(rid) % 3 == 0, 0).when(F.crc32(rid) % 3 == 1, 600).otherwise(9000)
+    cleaned = dict(b.cleaned)
+    for name, letter in (("laboratory_results", "A"), ("laboratory_results", "X"), ("prescription_orders", "A"), ("discharges", "Z")):
+        copies = cleaned[name].withColumn("time_available_min", late.cast("long")).withColumn(
+            "unique_record_id", F.concat(F.lit(letter), rid))
+        if name == "laboratory_results":
+            copies = copies.withColumns({"nonnumeric": F.when(F.lit(letter == "X"), F.lit("(+)")).otherwise(F.col("nonnumeric")),
+                                         "numeric": F.when(F.lit(letter == "A"), F.col("numeric") + 1)})
+        cleaned[name] = cleaned[name].unionByName(copies)
+    first = spark.createDataFrame(b.cleaned["laboratory_results"].groupBy("patient_id").agg(F.min("age_min")).collect(),
+                                  "patient_id string, age long")
+    days = {"0": 3, "1": 5, "2": 9, "3": 14, "4": 40}
+    asked = first.select("patient_id", F.explode(F.array(*map(F.lit, days.values()))).alias("day"), "age").select(
+        F.concat_ws(":", "patient_id", "day").alias("request_id"), "patient_id", (F.col("age") + F.col("day") * 1440 + 5).alias("as_of_min"))
+    # asked again: earlier, or at no time
+    again = asked.withColumn("as_of_min", F.when(F.col("patient_id") == "1", F.col("as_of_min") - 700))
+    got = plan.timelines_as_of(cleaned, b.people, asked.unionByName(again), b.voc, q.SETTINGS)
+    tree = got._jdf.queryExecution().optimizedPlan().toString()
+    assert tree.index("as_of_min#") < tree.index("explode(array(")
+    cols = ["row_no", "ts", "age_min", "time_available_min", "original_value", "type", "priority", "unique_record_id",
+            "numeric", "admitted", "effective_length", "label"]
+    checked = [f"{p}:{d}" for p, d in days.items()]
+    times = asked.filter(F.col("request_id").isin(checked)).select("patient_id", "as_of_min")
+    expected = sorted(str(tuple(r)) for r in _plain_timelines(b, cleaned, times).select("patient_id", *cols).collect())
+    assert b.keep.whole and len(expected) > 300
+    for out in (got, plan.timelines_as_of(cleaned, b.people, asked.unionByName(again), b.voc, q.SETTINGS, b.keep)):
+        picked = out.filter(F.col("request_id").isin(checked))
+        assert sorted(str(tuple(r)) for r in picked.select(F.substring_index("request_id", ":", 1), *cols).collect()) == expected
