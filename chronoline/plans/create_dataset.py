@@ -180,8 +180,9 @@ def timelines_as_of(cleaned: dict[str, DataFrame], patients: DataFrame, requests
     Each request sees the records of its patient known by then; no end row is
     added. The rows of a patient are made, ordered and labelled once, with the span of
     times each is seen in; only then do the requests pick theirs. `request_id` names
-    the request and stands in for the patient; asked twice, the later time counts. `keep`
-    is the `BlockStore` that holds `cleaned`, if one does.
+    the request and stands in for the patient; asked twice for a patient, the later time
+    counts; of two patients, it names two timelines. `keep` is the `BlockStore` that holds `cleaned`,
+    if one does.
     """
     settings = scan_settings(settings, keep)
     asked = (dealt_by_patient(requests.select("request_id", "patient_id", "as_of_min"), keep)
